@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 SLICE = "_slice"
 MAX_SLICES = 4096
+# A table of at most this many rows may sit in one task, so it is not cut at all.
+WHOLE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -28,8 +30,14 @@ class Slices:
 
     @classmethod
     def of(cls, df: DataFrame, column: str, count: int | None = None) -> "Slices":
-        """Quantiles of ``column``: one aggregation over a single pruned column."""
+        """Quantiles of ``column``: one aggregation over a single pruned column.
+
+        Without an explicit ``count`` the rows are counted first, and an input that
+        fits one task is left whole.
+        """
         if count is None:
+            if df.count() <= WHOLE_ROWS:
+                return cls(())
             count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         count = max(1, min(count, MAX_SLICES))
         if count == 1:
@@ -84,7 +92,9 @@ def interval_sums(
     """
     payload = payload or []
     if slices is None:
-        slices = Slices.of(points, time)
+        axis_rows = points.select(F.col(time).cast("double").alias("_t"))
+        axis_rows = axis_rows.unionAll(intervals.select(F.col(hi).cast("double").alias("_t")))
+        slices = Slices.of(axis_rows, "_t")
     instants = points.groupBy(*keys, F.col(time).cast("double").alias("_t")).agg(
         *[F.sum(m).alias(f"_m_{m}") for m in measures]
     )
@@ -115,18 +125,16 @@ def interval_sums(
     inside = Window.partitionBy(*keys, SLICE).orderBy("_t", "_tag").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = axis.groupBy(*keys, SLICE).agg(*[F.sum(f"_m_{m}").alias(f"_s_{m}") for m in measures])
-    offsets = totals.select(
-        *keys, SLICE, *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]
-    )
     running = axis.select(
         *keys, SLICE, "_tag", "_who",
         *[F.sum(f"_m_{m}").over(inside).alias(f"_p_{m}") for m in measures],
     ).where(F.col("_tag") != 1)
-    answered = _carry_join(running, offsets, keys)
     sign = F.when(F.col("_tag") == 2, F.lit(1)).otherwise(F.lit(-1))
-    out = answered.groupBy(*keys, "_who").agg(
+    if slices.bounds:
+        running = _with_offsets(running, axis, keys, measures)
+    else:
+        running = running.select("*", *[F.lit(0).alias(f"_o_{m}") for m in measures])
+    out = running.groupBy(*keys, "_who").agg(
         *[F.sum(sign * (F.col(f"_p_{m}") + F.col(f"_o_{m}"))).alias(m) for m in measures]
     )
     return out.select(
@@ -135,6 +143,16 @@ def interval_sums(
     )
 
 
+def _with_offsets(running: DataFrame, axis: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Add what the earlier slices of the same key sum up to."""
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = axis.groupBy(*keys, SLICE).agg(*[F.sum(f"_m_{m}").alias(f"_s_{m}") for m in measures])
+    offsets = totals.select(
+        *keys, SLICE, *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]
+    )
+    return _carry_join(running, offsets, keys)
+
+
 def _neighbour(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str,
     forward: bool, slices: Slices | None,
@@ -145,12 +163,16 @@ def _neighbour(
     value = F.struct(*[F.col(v) for v in values])
     rank = F.struct(*[F.col(c) for c in order])
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    step = F.lead if forward else F.lag
+    rows = rows.withColumn("_near", step(value).over(inside))
+    if not slices.bounds:
+        return rows.select(
+            *df.columns, *[F.col("_near").getField(v).alias(f"{prefix}{v}") for v in values]
+        )
     across = Window.partitionBy(*keys).orderBy(SLICE)
     edge = F.min_by(value, rank) if forward else F.max_by(value, rank)
-    edges = rows.groupBy(*keys, SLICE).agg(edge.alias("_edge"))
-    step = F.lead if forward else F.lag
+    edges = slices.assign(df, order[0]).groupBy(*keys, SLICE).agg(edge.alias("_edge"))
     carried = edges.select(*keys, SLICE, step("_edge").over(across).alias("_carried"))
-    rows = rows.withColumn("_near", step(value).over(inside))
     joined = _carry_join(rows, carried, keys)
     near = F.coalesce(F.col("_near"), F.col("_carried"))
     return joined.select(
@@ -177,11 +199,14 @@ def dense_index(
         slices = Slices.of(df, order[0])
     rows = slices.assign(df, order[0])
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    rows = rows.withColumn("_rn", F.row_number().over(inside))
+    if not slices.bounds:
+        return rows.select(*df.columns, (F.col("_rn") - 1 + start).cast("bigint").alias(name))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    counts = slices.assign(df, order[0]).groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         *keys, SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    numbered = _carry_join(rows.withColumn("_rn", F.row_number().over(inside)), offsets, keys)
+    numbered = _carry_join(rows, offsets, keys)
     number = (F.col("_rn") - 1 + F.col("_offset") + start).cast("bigint")
     return numbered.select(*df.columns, number.alias(name))

@@ -244,10 +244,10 @@ SHAPE_APIS = (
 )
 
 
-def shape_by_site(rows: DataFrame, keys: list[str]) -> DataFrame:
+def shape_by_site(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
     """Shape label per site, from conditional counts in one aggregation."""
     counts = [F.count_if(F.col("api") == a).alias(f"_n{i}") for i, a in enumerate(SHAPE_APIS)]
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), *counts)
+    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), *counts, *aggregates)
     n = lambda a: F.col(f"_n{SHAPE_APIS.index(a)}")
     shaped = grouped.withColumn("shape", op_shape(F.col("count"), n))
     return shaped.drop(*[f"_n{i}" for i in range(len(SHAPE_APIS))])
@@ -265,13 +265,13 @@ def opcode_table(
     """
     rows = lookup.with_family(inside).where(F.col("family").isNotNull())
     keys = ["trace_id", *SITE]
-    shaped = shape_by_site(rows, keys)
-    extra = rows.groupBy(*keys).agg(
+    shaped = shape_by_site(
+        rows, keys,
         F.array_sort(F.collect_set("family")).alias("families"),
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
         F.min("file_index").alias("first_index"),
     )
-    table = join_null_safe(shaped, extra, keys).withColumn("role", site_role(F.col("families")))
+    table = shaped.withColumn("role", site_role(F.col("families")))
     table = top_k(table, ["trace_id"], k, F.desc("count"), F.asc("first_index"))
     table = table.withColumn("opcode", (F.col("rank") - 1).cast("bigint")).drop("rank")
     table = table.withColumn(
@@ -317,29 +317,30 @@ def densest_script(events: DataFrame, groups=lookup.DEFAULT_COMPUTE, script: str
 
 
 def window_profile(inside: DataFrame, k_api: int = 50, k_stack: int = 30) -> DataFrame:
-    """API, family and stack counts of a window as one long table."""
+    """API, family and stack counts of a window as one long table, in one aggregation."""
     rows = lookup.with_family(inside)
-    named = rows.where(F.col("family").isNotNull())
-    parts = [
-        top_k(_counted(named, "api", F.col("api")), ["trace_id", "kind"], k_api, F.desc("count"), F.asc("first_index")),
-        top_k(_counted(named, "family", F.col("family")), ["trace_id", "kind"], k_api, F.desc("count"), F.asc("first_index")),
-        top_k(
-            _counted(named, "stack", F.concat_ws(" ", "url", "function")),
-            ["trace_id", "kind"], k_stack, F.desc("count"), F.asc("first_index"),
-        ),
-        _counted(rows, "events", F.lit("")).withColumn("rank", F.lit(1)),
-        _counted(named, "family_events", F.lit("")).withColumn("rank", F.lit(1)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _counted(df: DataFrame, kind: str, item: Column) -> DataFrame:
-    return df.groupBy("trace_id", F.lit(kind).alias("kind"), item.alias("item")).agg(
-        F.count(F.lit(1)).alias("count"), F.min("file_index").alias("first_index")
+    named = F.col("family").isNotNull()
+    entry = lambda kind, item, k: F.struct(
+        F.lit(kind).alias("kind"), item.alias("item"), F.lit(k).alias("k")
+    )
+    stack = F.concat_ws(" ", "url", "function")
+    entries = F.array_compact(
+        F.array(
+            entry("events", F.lit(""), 1),
+            F.when(named, entry("family_events", F.lit(""), 1)),
+            F.when(named, entry("api", F.col("api"), k_api)),
+            F.when(named, entry("family", F.col("family"), k_api)),
+            F.when(named, entry("stack", stack, k_stack)),
+        )
+    )
+    counted = (
+        rows.select("trace_id", "file_index", F.explode(entries).alias("e"))
+        .groupBy("trace_id", F.col("e.kind").alias("kind"), F.col("e.item").alias("item"), F.col("e.k").alias("k"))
+        .agg(F.count(F.lit(1)).alias("count"), F.min("file_index").alias("first_index"))
     )
+    limit = max(k_api, k_stack)
+    ranked = top_k(counted, ["trace_id", "kind"], limit, F.desc("count"), F.asc("first_index"))
+    return ranked.where(F.col("rank") <= F.col("k")).drop("k")
 
 
 def first_last(inside: DataFrame, marked: Column, key_event: Column, k: int = 80) -> DataFrame:

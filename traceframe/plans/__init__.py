@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("profile_queries",)
+_MODULES = ("profile_queries", "text_queries")
 
 
 def load_queries():
