@@ -20,11 +20,9 @@ def _present(*cols: Column) -> Column:
 
 def decode_body(text: Column, hexed: Column) -> Column:
     """Body text, else the hex body as UTF-8; invalid bytes are dropped."""
-    raw = F.expr("try_to_binary(_hex, 'hex')") if hexed is None else F.try_to_binary(hexed, F.lit("hex"))
-    valid = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(
-        F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
-    )
-    return _present(text, valid)
+    raw = F.try_to_binary(hexed, F.lit("hex")).cast("string")
+    dropped = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
+    return _present(text, F.when(F.is_valid_utf8(raw), raw).otherwise(dropped))
 
 
 def requests(events: DataFrame) -> DataFrame:
