@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 8
+# Gram lengths; a needle uses the longest one that fits it.
+SIZES = (1, 2, 3, 4, 8, 16, 32)
 STEP = 512
 # The gram of a needle is looked for among its first characters.
 LEAD = 64
@@ -19,9 +20,15 @@ LEAD = 64
 LOCAL_MAX = 4096
 
 
+def _size(length: str) -> str:
+    """SQL for the gram length of a needle of the given length."""
+    steps = " ".join(f"WHEN {length} >= {n} THEN {n}" for n in reversed(SIZES))
+    return f"CASE {steps} END"
+
+
 def containment_pairs(
     texts: DataFrame, needles: DataFrame, keys: list[str], text: str = "text", needle: str = "needle",
-    text_id: str = "text_id", needle_id: str = "needle_id", gram: int = GRAM,
+    text_id: str = "text_id", needle_id: str = "needle_id",
 ) -> DataFrame:
     """Distinct (keys, text_id, needle_id) with the needle inside the text, exact.
 
@@ -30,14 +37,14 @@ def containment_pairs(
     needles = needles.where(F.length(needle) > 0)
     stats = needles.agg(
         F.max(F.length(needle)).alias("longest"),
-        F.sort_array(F.collect_set(F.least(F.length(needle), F.lit(gram)))).alias("sizes"),
+        F.sort_array(F.collect_set(F.expr(_size(f"length({needle})")))).alias("sizes"),
     ).first()
     if stats["longest"] is None:
         none = F.lit(None).cast(dict(needles.dtypes)[needle_id])
         return texts.select(*keys, text_id, none.alias(needle_id)).where("false")
     sizes, longest = stats["sizes"], stats["longest"]
 
-    size = f"least(length(_needle), {gram})"
+    size = _size("length(_needle)")
     leads = f"sequence(1, greatest(1, least(length(_needle), {LEAD}) - {size} + 1))"
     # Filed under the gram with the smallest hash, so a common opening is no hot key.
     filed = needles.select(*keys, needle_id, F.col(needle).alias("_needle")).withColumn("_gram", F.expr(
@@ -45,24 +52,27 @@ def containment_pairs(
         f"substr(_needle, i, {size}) AS g))).g"
     ))
     local = longest <= LOCAL_MAX
-    reach = longest if local else gram
+    reach = longest if local else max(SIZES)
     length = F.length(text)
-    piece_no = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / STEP).cast("int")))
-    pieces = texts.where(length > 0).select(*keys, text_id, F.col(text).alias("_text"), piece_no.alias("_k"))
-    # The middle STEP characters supply grams; the rest is context for comparing.
-    begin = F.greatest(F.col("_k") * STEP - LEAD, F.lit(0))
-    pieces = pieces.select(
-        *keys, text_id, "_k", (F.col("_k") * STEP - begin).alias("_skip"),
-        F.substr("_text", begin + 1, F.col("_k") * STEP - begin + STEP + reach).alias("_piece"),
-    )
-    # A gram is one of its own length, so lengths need no column of their own.
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / STEP).cast("int"))
+
+    # The middle STEP characters supply grams; the rest is context for comparing. Pieces
+    # come out of a generator, so each is cut from its text once and then only read.
+    def piece(k):
+        begin = F.greatest(k * STEP - LEAD, F.lit(0))
+        body = F.substr(F.col(text), begin + 1, k * STEP - begin + STEP + reach)
+        core = F.substr(F.col(text), k * STEP + 1, F.lit(STEP + max(sizes) - 1))
+        return F.struct(k.alias("k"), core.alias("core"), body.alias("piece"))
+
+    cut = texts.where(length > 0).select(*keys, text_id, F.explode(F.transform(numbers, piece)).alias("_p"))
+    pieces = cut.select(*keys, text_id, F.col("_p.k").alias("_k"), F.col("_p.piece").alias("_piece"))
+    # Every gram of one length by a lookahead match; its length tells the sizes apart.
     starts = lambda n: (
-        f"transform(sequence(_skip + 1, greatest(_skip + 1, least(_skip + {STEP}, length(_piece) - {n} + 1))), "
-        f"i -> substr(_piece, i, {n}))"
+        f"regexp_extract_all(substr(_p.core, 1, {STEP + n - 1}), '(?s)(?=(.{{{n}}}))', 1)"
     )
     grams = F.explode(F.expr("concat(" + ", ".join(starts(n) for n in sizes) + ")")).alias("_gram")
     # Only short rows meet in the join; text comes back for the pairs that met.
-    asked = pieces.select(*keys, text_id, "_k", grams)
+    asked = cut.select(*keys, text_id, F.col("_p.k").alias("_k"), grams)
     met = asked.join(filed, [*keys, "_gram"])
     if local:
         candidates = met.select(*keys, text_id, "_k", needle_id, "_needle").distinct()
