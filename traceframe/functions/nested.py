@@ -10,20 +10,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Unit separator between the keys of one path on their way out of the worker.
-_SEP = "\x1f"
-
 _LEAF_FIELDS = (
     ("leaf_no", T.LongType(), pa.int64()),
     ("path", T.StringType(), pa.string()),
-    ("_keys", T.StringType(), pa.string()),
-    ("_containers", T.StringType(), pa.string()),
+    ("keys", T.ArrayType(T.StringType()), pa.list_(pa.string())),
+    ("containers", T.ArrayType(T.StringType()), pa.list_(pa.string())),
     ("tail", T.IntegerType(), pa.int32()),
     ("depth", T.IntegerType(), pa.int32()),
     ("kind", T.StringType(), pa.string()),
@@ -50,16 +48,15 @@ class _Collector:
 
     def add(self, row: int, root) -> None:
         self.row, self.count = row, 0
-        self.visit(root, "", None, None, 0, 0)
+        self.visit(root, "", (), (), 0, 0)
 
     def visit(self, value, path, keys, containers, tail, depth) -> None:
         if value.__class__ is dict and value:
-            inside = path if containers is None else containers + _SEP + path
+            inside = (*containers, path)
             for key, item in value.items():
                 if not key.isascii():
                     key = _clean(key)
-                below = key if keys is None else keys + _SEP + key
-                self.visit(item, path + "." + key if path else key, below, inside, 0, depth + 1)
+                self.visit(item, path + "." + key if path else key, (*keys, key), inside, 0, depth + 1)
             return
         if value.__class__ is list and value:
             for i, item in enumerate(value):
@@ -86,6 +83,14 @@ class _Collector:
             column.append(entry)
 
 
+def _to_arrow(values: list, kind: pa.DataType) -> pa.Array:
+    """Arrow array of a column; lists go in as one flat run with offsets."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    offsets = pa.array([0, *accumulate(map(len, values))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(chain.from_iterable(values), pa.string()))
+
+
 def leaves(df: DataFrame, value: str, keep: list[str], only: str | None = None) -> DataFrame:
     """One row per leaf of the JSON in ``value`` (text or VARIANT).
 
@@ -114,16 +119,11 @@ def leaves(df: DataFrame, value: str, keep: list[str], only: str | None = None)
                 found.add(i, root)
             taken = batch.take(pa.array(found.rows, pa.int64()))
             arrays = [taken.column(j) for j in range(batch.num_columns - 1)]
-            arrays += [pa.array(c, t) for c, (_, _, t) in zip(found.columns, _LEAF_FIELDS)]
+            arrays += [_to_arrow(c, t) for c, (_, _, t) in zip(found.columns, _LEAF_FIELDS)]
             names = [*batch.schema.names[:-1], *[n for n, _, _ in _LEAF_FIELDS]]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    split = lambda c: F.coalesce(F.split(c, _SEP), F.array().cast("array<string>"))
-    flat = narrow.mapInArrow(flatten, schema)
-    return flat.select(
-        *keep, "leaf_no", "path", split("_keys").alias("keys"), split("_containers").alias("containers"),
-        "tail", "depth", "kind", "text",
-    )
+    return narrow.mapInArrow(flatten, schema)
 
 
 def dot_path(path: Column) -> Column:
