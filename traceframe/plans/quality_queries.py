@@ -51,7 +51,13 @@ def event_lines(spark, d):
         '","api":"', F.col("api"), '","args":', args, ',"stack":', stack, ',"pid":1,"tid":2,"frame_url":"', frame, '",', origin,
         '"result":null,"error":null,"truncated":', cut, "}",
     )
-    return e.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), line.alias("line"))
+    return _as_lines(e, line)
+
+
+def _as_lines(df, line):
+    """Rows as read from a text file. The generator keeps the planner from writing the
+    long line expression again into every use of a parsed column."""
+    return df.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), F.explode(F.array(line)).alias("line"))
 
 
 def events_typed(spark, d):
@@ -177,7 +183,7 @@ def dq_branch(spark, d):
         blob, _json('"value_kind":"blob","filename":"f","filename_length":1,"filename_ref":"r","blob_type":"t","blob_type_length":1,"blob_type_ref":"r","blob_size":', i, ',"blob_uuid":"u"', F.when(i % 4 == 0, "").otherwise(',"blob_uuid_ref":"r"'))
     ).otherwise(_json('"value_kind":"string","value":"v","value_ref":"r"', F.when(i % 5 == 0, "").otherwise(',"value_length":1')))
     line = _json('{"api":"FormData.append","args":[{', body, "}]}")
-    lines = o.select(F.lit("orders").alias("trace_id"), i.alias("file_index"), F.lit(0).cast("bigint").alias("block_start"), line.alias("line"))
+    lines = _as_lines(o.withColumn("trace_id", F.lit("orders")).withColumn("file_index", i), line)
     e = typed_events(parse_lines(lines, repair=False))
     return _plain(rules.form_branches(e, rules.event_leaves(e)))
 
@@ -212,7 +218,7 @@ def _call_lines(spark, d):
         text(F.col("call_id")), ',"parent_id":', text(parent), ',"depth":', depth, ',"causality_kind":"',
         F.col("causality_kind"), '","duration_us":', F.when(end, F.lit("5")).otherwise("null"), "}",
     )
-    return c.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), line.alias("line"))
+    return _as_lines(c, line)
 
 
 @query(
@@ -233,7 +239,7 @@ def dq_record_v2(spark, d):
         ',"depth":', F.when(i % 17 == 0, "-1").otherwise("0"), ',"causality_kind":"', F.when(i % 31 == 0, "loop").otherwise("singleton"),
         '","duration_us":', F.when((i % 23 == 0) & (i % 31 != 0), "4").otherwise("null"), "}",
     )
-    lines = e.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), line.alias("line"))
+    lines = _as_lines(e, line)
     return _plain(rules.record_v2(typed_events(parse_lines(lines, repair=False))))
 
 
