@@ -48,7 +48,9 @@ def parse_lines(lines: DataFrame, repair: bool) -> DataFrame:
     event = F.try_parse_json("line")
     if repair:
         event = F.coalesce(event, F.try_parse_json(repair_line(F.col("line"))))
-    parsed = lines.withColumn("event", event)
+    # The generator parses a line once; without it the planner may write the parse
+    # again into each of the many columns read from it.
+    parsed = lines.select("*", F.explode(F.array(event)).alias("event"))
     if repair:
         plain = F.try_parse_json("line").isNotNull()
         parsed = parsed.withColumn("_plain", plain).withColumn(
