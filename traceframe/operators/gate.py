@@ -13,7 +13,7 @@ from traceframe.functions import text
 from traceframe.operators.profile import top_k
 
 # --- fixed values -----------------------------------------------------------
-TAIL_APIS = ("BrowserNetwork.request", "fetch", "XMLHttpRequest.open", "XMLHttpRequest.send")
+TAIL_APIS = ("BrowserNetwork.request", "Request.constructor", "fetch", "XMLHttpRequest.open", "XMLHttpRequest.send")
 REJECT_CLASSES = ("document_request", "static_resource", "telemetry_endpoint")
 SHOWN_ENDPOINTS = 8
 SHOWN_EXAMPLES = 3

@@ -45,7 +45,7 @@ def scan_assets(spark: SparkSession, manifest_path: str, root: str, tolerant: bo
         get("content_path").alias("content_path"), get("source").alias("inline_source"),
     )
     base = root.rstrip("/")
-    contents = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(base)
+    contents = spark.read.text(base, wholetext=True, recursiveFileLookup=True)
     contents = contents.select(
         F.substring_index(F.url_decode(F.col("_metadata.file_path")), base + "/", -1).alias("content_path"),
         F.col("value").alias("file_source"),
