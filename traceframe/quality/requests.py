@@ -123,6 +123,10 @@ def parameter_materialisation(events: DataFrame, leaf_rows: DataFrame, params) -
     return out.unionByName(_violations(asked.join(shaped, keys, "left_anti"), "parameter", "no_materialisation", F.col("param")))
 
 
+def _labelled(label: str):
+    return lambda name: F.concat(F.lit(f"{label}: "), name)
+
+
 @dataclass(frozen=True)
 class RequestContract:
     """What a capture of one endpoint must show; all lists are the caller's."""
@@ -245,7 +249,7 @@ def request_conformance(events: DataFrame, contract: RequestContract) -> DataFra
     for label, _, names, given, cond in sets:
         if names:
             known = F.array_intersect(given, F.array(*[F.lit(n) for n in names]))
-            met.append(F.when(F.coalesce(cond, F.lit(False)), F.transform(known, lambda n, lab=label: F.concat(F.lit(lab + ": "), n))))
+            met.append(F.when(F.coalesce(cond, F.lit(False)), F.transform(known, _labelled(label))))
     answers = reads.select("trace_id", F.explode(F.flatten(F.array_compact(F.array(*met)))).alias("check")).distinct()
 
     need = {

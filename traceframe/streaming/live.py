@@ -6,26 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.operators import gate
-from traceframe.sources.ndjson import _text_lines, number_lines, parse_lines, typed_events
+from traceframe.sources.ndjson import _text_lines, parse_lines, typed_events
 
 # Poll interval and the bytes read per poll.
 POLL = "500 milliseconds"
-POLL_BYTES = "2m"
+POLL_BYTES = 2 * 1024 * 1024
 
 
-def tail_ndjson(spark: SparkSession, directory: str, max_bytes: str = POLL_BYTES) -> DataFrame:
+def tail_ndjson(spark: SparkSession, directory: str, max_bytes: int = POLL_BYTES) -> DataFrame:
     """New lines of a folder as they arrive; a malformed line is kept as a marker row.
 
     The checkpoint is the offset. A file is read when it appears and is not read
     again, so producers roll files instead of appending to one; a finished file holds
     whole lines only.
     """
-    lines = number_lines(_text_lines(spark, directory, stream=True, maxBytesPerTrigger=max_bytes))
-    return parse_lines(lines, repair=False)
+    lines = _text_lines(spark, directory, stream=True, maxBytesPerTrigger=str(max_bytes))
+    return parse_lines(lines.withColumn("file_index", F.lit(None).cast("bigint")), repair=False)
 
 
 def live_events(tail: DataFrame) -> DataFrame:
-    return typed_events(tail.where("status = 'ok'"))
+    """Typed events; a stream has no line numbers, so the producer's order stands in."""
+    typed = typed_events(tail.where("status = 'ok'"))
+    order = F.coalesce("global_seq", "mono_time_us", "wall_time_us", "ts", "seq")
+    return typed.withColumn("file_index", order.cast("bigint"))
 
 
 def without_replays(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
