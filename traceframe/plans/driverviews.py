@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores, for work that is heavy per row.
+
+    A small single-file table arrives as one partition. A scan that already has a
+    partition per core, as any large table does, is left alone, so nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since the epoch, whatever the session zone."""
     if dict(df.dtypes)[name] == "timestamp_ntz":

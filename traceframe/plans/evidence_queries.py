@@ -8,7 +8,7 @@ from traceframe.functions import text
 from traceframe.operators import derive, evidence, profile
 from traceframe.operators.containment import containment_pairs
 from traceframe.plans.catalogue import query
-from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_EVENTS, table, v_events
+from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_EVENTS, spread, table, v_events
 from traceframe.plans.nested_queries import LEAVES_SQL, _json_events
 from traceframe.plans.profile_queries import FOCUS_SQL
 
@@ -28,7 +28,7 @@ def containment_match(spark, d):
     needles = b.select(F.explode(pieces).alias("needle")).select(F.trim("needle").alias("needle"))
     needles = needles.where("needle <> ''").distinct()
     needles = needles.withColumn("needle_id", F.col("needle"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
     return containment_pairs(docs, needles, []).select(
         F.col("text_id").alias("doc_id"), F.col("needle_id").alias("needle")
     )
@@ -204,7 +204,7 @@ uni AS (
 
 
 def _universe(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     made = derive.universe(
         docs, ["doc_id"], "text", digests=("md5", "sha1", "sha256"), structures=("H(input)",)
     )
@@ -219,7 +219,7 @@ def digest_universe(spark, d):
 @query("derivation_universe")
 def derivation_universe(spark, d):
     """Number and total length of all single-input transforms, by structure and algorithm."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     made = derive.universe(docs, ["doc_id"], "text")
     return made.groupBy("structure", "algo", "encoding").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("produced")).alias("chars")

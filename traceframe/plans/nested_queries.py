@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from traceframe.functions import nested
 from traceframe.plans.catalogue import query
-from traceframe.plans.driverviews import V_EVENTS, v_events
+from traceframe.plans.driverviews import V_EVENTS, spread, v_events
 from traceframe.sources import merge
 
 
 def _json_events(spark, d):
     """Each event as one nested object, with a list and an inner object."""
-    e = v_events(spark, d)
+    e = spread(v_events(spark, d))
     obj = F.struct(
         F.col("api").alias("name"),
         F.array(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceframe.plans.catalogue import query
-from traceframe.plans.driverviews import V_EVENTS, table, v_events
+from traceframe.plans.driverviews import V_EVENTS, spread, table, v_events
 from traceframe.plans.graph_queries import v_calls
 from traceframe.quality import report, requests, rules
 from traceframe.session import cut_lineage
@@ -57,7 +57,8 @@ def event_lines(spark, d):
 def _as_lines(df, line):
     """Rows as read from a text file. The generator keeps the planner from writing the
     long line expression again into every use of a parsed column."""
-    return df.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), F.explode(F.array(line)).alias("line"))
+    lines = df.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), F.explode(F.array(line)).alias("line"))
+    return spread(lines)
 
 
 def events_typed(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from traceframe.functions import text
 from traceframe.plans.catalogue import query
 from traceframe.plans.driverviews import (
-    V_ASSETS, V_EVENTS, V_REQUESTS, table, v_assets, v_events, v_requests,
+    V_ASSETS, V_EVENTS, V_REQUESTS, spread, table, v_assets, v_events, v_requests,
 )
 
 TOKEN_SQL = "[A-Za-z0-9_\\-+/=.]{16,}"
@@ -56,8 +56,8 @@ SELECT d.doc_id, coalesce(round(e.entropy, 6), 0.0) AS entropy FROM documents d
   FROM counts c JOIN totals t ON c.doc_id = t.doc_id GROUP BY c.doc_id) e ON d.doc_id = e.doc_id""",
 )
 def entropy(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.round(text.text_entropy("text"), 6).alias("entropy"))
 
 
 @query(
