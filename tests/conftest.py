@@ -14,6 +14,8 @@ def spark():
     session = build_session(
         "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
+        # A handful of rows per test: compiling each plan would take most of the time.
+        spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

@@ -6,6 +6,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceframe.functions import lookup
 
@@ -43,7 +44,7 @@ def entropy(s: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(-total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_entropy(values: pd.Series) -> pd.Series:
     """The same measure for long texts, counted in one pass per text.
 

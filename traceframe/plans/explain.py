@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
 from traceframe.operators import carriers, derive, evidence, lineage, profile
-from traceframe.sources.requests import MATERIAL_MIN_LEN
+from traceframe.session import cut_lineage
 
 
 def window_join(events: DataFrame, anchors: DataFrame, window_us: int) -> DataFrame:
@@ -53,7 +53,8 @@ def explain(
     a carrier name the best-ranked one of each trace is used.
     """
     raw = tuple(dict.fromkeys([*hints, *([carrier] if carrier else [])]))
-    found = carriers.request_carriers(requests, min_entropy, raw)
+    # What every artefact starts from is stored once: carriers, windows, matches.
+    found = cut_lineage(carriers.request_carriers(requests, min_entropy, raw))
     if carrier is None:
         from traceframe.sources.requests import compute_events
 
@@ -74,7 +75,10 @@ def explain(
 
     usable = events.where("coalesce(category, '') <> 'network' AND arg0 IS NOT NULL")
     inside = window_join(usable, anchors.select("trace_id", "anchor_id", "mono_time_us"), window_us)
-    scripts = inside.withColumn("script", F.coalesce(_arg("callsite_script"), F.lit("")))
+    scripts = cut_lineage(inside.select(
+        "trace_id", "anchor_id", "file_index", "global_seq", "d_ms", "api", "category", "arg0",
+        F.coalesce(_arg("callsite_script"), F.lit("")).alias("script"),
+    ))
     if script == "auto":
         counted = scripts.where(lookup.is_compute(F.col("api"), groups)).groupBy("anchor_id", "script").agg(
             F.count(F.lit(1)).alias("n"), F.min("file_index").alias("first_index")
@@ -98,6 +102,7 @@ def explain(
     envelope = tokens.select("anchor_id", F.col("token").alias("label"), F.col("value").alias("field_value"))
     fields = envelope.unionByName(leaf).dropDuplicates(["anchor_id", "label"])
     rows, matches = evidence.timeline(strings, fields, params)
+    rows, matches = cut_lineage(rows), cut_lineage(matches)
     paired = evidence.pairing(rows, matches, leaf)
     inputs = evidence.with_full_value(
         rows.where(evidence.is_input_row(F.col("api"), F.col("value_preview"))), strings)
@@ -120,7 +125,7 @@ def explain(
     )
     return {
         "anchors": anchors, "tokens": tokens.join(visible, ["anchor_id", "token"], "left"), "ops": op_rows(ops),
-        "materials_timeline": rows, "field_matches": matches, "phases": phases, "env": evidence.env_reads(inside),
+        "materials_timeline": rows, "field_matches": matches, "phases": phases, "env": evidence.env_reads(scripts),
         "candidate_inputs": inputs, "candidate_outputs": outputs, "pairing": paired, "fields": leaf,
         "dag_edges": edges, "dag_producers": producers, "dag_inputs": leaves, "ref_values": values,
         "materials": lineage.ref_materials(leaves.unionByName(producers.select("anchor_id", "ref")), values, ["anchor_id"]),
