@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,26 @@ def build_session(app: str = "traceframe", master: str | None = None, **conf: st
     merged = {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}
     for key, value in merged.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers of the session's application, once."""
+    context = spark.sparkContext
+    if getattr(context, "_traceframe_shipped", False):
+        return spark
+    top = os.path.dirname(os.path.abspath(__file__))
+    # The driver's own temporary file: Spark serves it to the executors.
+    archive = os.path.join(tempfile.mkdtemp(prefix="traceframe-code-"), "traceframe.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._traceframe_shipped = True
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
