@@ -10,17 +10,26 @@ from __future__ import annotations
 
 import os
 import re
+from collections import ChainMap
 
 import numpy as np
-
-from traceframe.llm.common import Bounded
+import regex
 
 #: White space beyond ASCII, as UTF-8: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 CHUNK = re.compile(rb"\s*\S+|\s+")
+#: Characters from U+0250 on, as UTF-8 start bytes: what follows them is left to the library.
+BEYOND_LATIN = re.compile(rb"[\xca-\xff]|\xc9[\x90-\xff]")
 #: Longer words are encoded but not kept, so the cache is bounded in bytes too.
 KEEP_BYTES = 64
 
+# How the two files split a text before merges, over ASCII and over Latin letters.
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+WORD_ASCII = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\sa-z0-9]+".encode())
+WORD_LATIN = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+")
+CHUNK_ASCII = re.compile(rf"{CONTRACTIONS}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+".encode())
+CHUNK_LATIN = regex.compile(rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+")
+
 
 def vocabulary_file(name: str) -> str:
     import public_tokenizers
@@ -35,53 +44,74 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+class Pieces:
+    """What the library makes of words, kept by word and by pre-token.
+
+    An unknown word is split as the file splits it and its pre-tokens are looked up; only unknown
+    pre-tokens are encoded. Words with special strings or characters beyond Latin are encoded whole.
+    """
+
+    def __init__(self, path: str, ascii_split, latin_split, lower: bool, convert, combine, frequent: dict | None = None, limit: int = 400_000):
+        self.library, self.limit, self.lower = load(path), limit, lower
+        self.ascii_split, self.latin_split, self.convert, self.combine = ascii_split, latin_split, convert, combine
+        self.frequent = frequent or {}
+        self.words: dict = {}
+        self.pretokens: dict = dict(self.frequent)
+
+    def split(self, word: bytes) -> list[bytes]:
+        if b"<|" in word or BEYOND_LATIN.search(word):
+            return [word]
+        # Lower-casing ASCII alone never changes what the library makes of the word.
+        word = word.lower() if self.lower else word
+        if word.isascii():
+            return self.ascii_split.findall(word)
+        return [p.encode() for p in self.latin_split.findall(word.decode())]
+
+    def learn(self, lists: list[list[bytes]]) -> dict:
+        """The table of all words in the lists; valid until the next call."""
+        if len(self.words) > self.limit:
+            self.words = {}
+        if len(self.pretokens) > self.limit + len(self.frequent):
+            self.pretokens = dict(self.frequent)
+        known, pretokens = self.words, self.pretokens
+        missing = [w for w in set().union(*lists) if w not in known]
+        parts = [self.split(w) for w in missing]
+        unknown = [p for p in set().union(*parts) if p not in pretokens]
+        now: dict = {}
+        for start in range(0, len(unknown), 4096):
+            some = unknown[start : start + 4096]
+            for piece, e in zip(some, self.library.encode_batch([p.decode() for p in some], add_special_tokens=False)):
+                (pretokens if len(piece) <= KEEP_BYTES else now)[piece] = self.convert(e.ids)
+        long: dict = {}
+        for word, own in zip(missing, parts):
+            value = self.combine([pretokens[p] if p in pretokens else now[p] for p in own])
+            (known if len(word) <= KEEP_BYTES else long)[word] = value
+        # Few words are too long to keep; they stand in front of the kept ones for this call.
+        return ChainMap(long, known) if long else known
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers; for files that drop white space."""
 
     def __init__(self, path: str, limit: int = 400_000):
-        self.library, self.words = load(path), Bounded(None, limit)
+        self.pieces = Pieces(path, WORD_ASCII, WORD_LATIN, True, lambda ids: np.array(ids, dtype="<u4").tobytes(), b"".join, limit=limit)
 
     def __call__(self, raw: list[bytes]) -> list[bytes]:
         split = [x.split() for x in raw]
-        known = self.words
-        if len(known) >= known.limit:
-            known.clear()
-        missing = [w for w in set().union(*split) if w not in known]
-        long = {}
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            encoded = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for word, e in zip(part, encoded):
-                (known if len(word) <= KEEP_BYTES else long)[word] = np.array(e.ids, dtype="<u4").tobytes()
-        if long:
-            return [b"".join([long[w] if w in long else known[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        table = self.pieces.learn(split)
+        return [b"".join(map(table.__getitem__, words)) for words in split]
 
 
 class ChunkLengths:
-    """Token counts of whole texts: a given table of frequent pieces, then a cache, then the library."""
+    """Token counts of whole texts: a given table of frequent pre-tokens, then a cache, then the library."""
 
     def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 400_000):
-        self.library, self.frequent, self.cache = load(path), frequent, Bounded(None, limit)
-        self.table = dict(frequent)
+        self.pieces = Pieces(path, CHUNK_ASCII, CHUNK_LATIN, False, len, sum, frequent, limit)
 
     def __call__(self, raw: list[bytes]) -> list[int]:
-        chunks = [None if WIDE_SPACE.search(x) else CHUNK.findall(x) for x in raw]
-        known = self.table
-        if len(known) >= len(self.frequent) + self.cache.limit:
-            known = self.table = dict(self.frequent)
-        missing = [c for c in set().union(*(x for x in chunks if x)) if c not in known]
-        long = {}
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            for chunk, e in zip(part, self.library.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-                (known if len(chunk) <= KEEP_BYTES else long)[chunk] = len(e.ids)
-        out = []
-        for text, parts in zip(raw, chunks):
-            if parts is None:
-                out.append(len(self.library.encode(text.decode(), add_special_tokens=False).ids))
-            elif long:
-                out.append(sum(long[c] if c in long else known[c] for c in parts))
-            else:
-                out.append(sum(map(known.__getitem__, parts)))
-        return out
+        chunks = [[] if WIDE_SPACE.search(x) else CHUNK.findall(x) for x in raw]
+        table = self.pieces.learn(chunks)
+        return [
+            sum(map(table.__getitem__, parts)) if parts or not text else len(self.pieces.library.encode(text.decode(), add_special_tokens=False).ids)
+            for text, parts in zip(raw, chunks)
+        ]
