@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def in_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: in
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) if x else 0 for x in as_bytes(batch.column(column))], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, size in enumerate(sizes):
             if i > start and total + size > limit:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.llm.common import as_bytes, in_slices, texts
-from traceframe.llm.tokens import ChunkLengths, vocabulary_file
+from traceframe.llm.tokens import TokenLengths, vocabulary_file
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -27,7 +27,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def frequent_pretokens(path: str) -> dict[bytes, int]:
-    """Whole pre-tokens that are one vocabulary entry, as the chunks that a text is cut into, with length 1."""
+    """Pre-tokens that are one vocabulary entry, with length 1."""
     with open(path, encoding="utf-8") as f:
         entries = json.load(f)["model"]["vocab"]
     back, out = byte_alphabet(), {}
@@ -40,7 +40,7 @@ def frequent_pretokens(path: str) -> dict[bytes, int]:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int = 700_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
     A null text counts as empty (0 tokens); rows with a null or repeated id keep a row each; other
@@ -50,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int
     frequent = spark.sparkContext.broadcast(frequent_pretokens(tokenizer))
 
     def count(batches):
-        lengths = ChunkLengths(tokenizer, frequent.value, cache)
+        lengths = TokenLengths(tokenizer, frequent.value, cache)
         for part in in_slices(batches):
             raw = as_bytes(part.column(1))
             yield pa.RecordBatch.from_arrays(

@@ -1,9 +1,8 @@
-"""Public tokenizer files applied word by word, with a cache of what each word becomes.
+"""Public tokenizer files applied by pre-token, with a cache of what each pre-token becomes.
 
-Both files split a text before any merge: ``word_bpe`` never lets a piece cross white space, and
-``byte_bpe`` ends a piece wherever white space follows something else. Cutting there first gives
-the library's own ids while a frequent word is encoded once per worker. Texts that hold white
-space outside ASCII go to the library whole.
+Merges never cross pre-tokens, so a text is split as the file splits it and each pre-token is looked
+up; only unknown ones are encoded, by the library, in batches. Texts whose characters lie beyond Latin letters, and
+texts with special strings, go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,24 +10,24 @@ from __future__ import annotations
 import os
 import re
 from collections import ChainMap
+from itertools import filterfalse
+from struct import pack
 
-import numpy as np
 import regex
 
-#: White space beyond ASCII, as UTF-8: U+0085, 00A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
-WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-CHUNK = re.compile(rb"\s*\S+|\s+")
-#: Characters from U+0250 on, as UTF-8 start bytes: what follows them is left to the library.
-BEYOND_LATIN = re.compile(rb"[\xca-\xff]|\xc9[\x90-\xff]")
-#: Longer words are encoded but not kept, so the cache is bounded in bytes too.
+#: Beyond ASCII, the fast split takes only the letters U+00C0 to U+00FF (two of these places are signs).
+NOT_PLAIN = re.compile(rb"<\||[\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+#: From U+0250 on, as UTF-8: left to the library, since normal forms and letter classes are its own.
+BEYOND_LATIN = re.compile(rb"<\||[\xca-\xff]|\xc9[\x90-\xff]")
+#: Longer pre-tokens are encoded but not kept, so the cache is bounded in bytes too.
 KEEP_BYTES = 64
 
-# How the two files split a text before merges, over ASCII and over Latin letters.
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-WORD_ASCII = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\sa-z0-9]+".encode())
-WORD_LATIN = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+")
-CHUNK_ASCII = re.compile(rf"{CONTRACTIONS}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+".encode())
-CHUNK_LATIN = regex.compile(rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+")
+# How the two files split a text before merges, over plain bytes and over Latin text.
+CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
+WORD_PLAIN = re.compile(rb"[a-z\x80-\xff]+|[0-9]|" + CONTRACTION.encode() + rb"|[^\sa-z0-9\x80-\xff]+")
+WORD_LATIN = regex.compile(rf"\p{{L}}+|\p{{N}}|{CONTRACTION}|[^\s\p{{L}}\p{{N}}]+")
+TEXT_PLAIN = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+|" + CONTRACTION.encode() + rb"| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
+TEXT_LATIN = regex.compile(rf" ?\p{{L}}+| ?\p{{N}}+|{CONTRACTION}| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+")
 
 
 def vocabulary_file(name: str) -> str:
@@ -44,74 +43,59 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class Pieces:
-    """What the library makes of words, kept by word and by pre-token.
+class Pretokens:
+    """What the library makes of each pre-token, converted; a bounded cache over a given table."""
 
-    An unknown word is split as the file splits it and its pre-tokens are looked up; only unknown
-    pre-tokens are encoded. Words with special strings or characters beyond Latin are encoded whole.
-    """
-
-    def __init__(self, path: str, ascii_split, latin_split, lower: bool, convert, combine, frequent: dict | None = None, limit: int = 400_000):
+    def __init__(self, path: str, plain, latin, lower: bool, convert, given: dict | None = None, limit: int = 700_000):
         self.library, self.limit, self.lower = load(path), limit, lower
-        self.ascii_split, self.latin_split, self.convert, self.combine = ascii_split, latin_split, convert, combine
-        self.frequent = frequent or {}
-        self.words: dict = {}
-        self.pretokens: dict = dict(self.frequent)
-
-    def split(self, word: bytes) -> list[bytes]:
-        if b"<|" in word or BEYOND_LATIN.search(word):
-            return [word]
-        # Lower-casing ASCII alone never changes what the library makes of the word.
-        word = word.lower() if self.lower else word
-        if word.isascii():
-            return self.ascii_split.findall(word)
-        return [p.encode() for p in self.latin_split.findall(word.decode())]
-
-    def learn(self, lists: list[list[bytes]]) -> dict:
-        """The table of all words in the lists; valid until the next call."""
-        if len(self.words) > self.limit:
-            self.words = {}
-        if len(self.pretokens) > self.limit + len(self.frequent):
-            self.pretokens = dict(self.frequent)
-        known, pretokens = self.words, self.pretokens
-        missing = [w for w in set().union(*lists) if w not in known]
-        parts = [self.split(w) for w in missing]
-        unknown = [p for p in set().union(*parts) if p not in pretokens]
-        now: dict = {}
-        for start in range(0, len(unknown), 4096):
-            some = unknown[start : start + 4096]
-            for piece, e in zip(some, self.library.encode_batch([p.decode() for p in some], add_special_tokens=False)):
-                (pretokens if len(piece) <= KEEP_BYTES else now)[piece] = self.convert(e.ids)
+        self.plain, self.latin, self.convert = plain, latin, convert
+        self.given = given or {}
+        self.known: dict = dict(self.given)
+
+    def split(self, raw: bytes) -> list[bytes] | None:
+        """The text's pre-tokens; None where the library has to see the text whole."""
+        if not NOT_PLAIN.search(raw):
+            # Lower-casing ASCII alone never changes what a lower-casing file makes of a text.
+            return self.plain.findall(raw.lower() if self.lower else raw)
+        if BEYOND_LATIN.search(raw):
+            return None
+        return [p.encode() for p in self.latin.findall((raw.lower() if self.lower else raw).decode())]
+
+    def values(self, raw: list[bytes], combine) -> list:
+        """For each text the combined values of its pre-tokens."""
+        lists = [self.split(x) for x in raw]
+        if len(self.known) > self.limit + len(self.given):
+            self.known = dict(self.given)
+        known, missing = self.known, set()
+        for pieces in lists:
+            missing.update(filterfalse(known.__contains__, pieces or ()))
         long: dict = {}
-        for word, own in zip(missing, parts):
-            value = self.combine([pretokens[p] if p in pretokens else now[p] for p in own])
-            (known if len(word) <= KEEP_BYTES else long)[word] = value
-        # Few words are too long to keep; they stand in front of the kept ones for this call.
-        return ChainMap(long, known) if long else known
+        ordered = list(missing)
+        for start in range(0, len(ordered), 4096):
+            some = ordered[start : start + 4096]
+            for piece, e in zip(some, self.library.encode_batch([p.decode() for p in some], add_special_tokens=False)):
+                (known if len(piece) <= KEEP_BYTES else long)[piece] = self.convert(e.ids)
+        # The few that are too long to keep stand in front of the kept ones for this call.
+        table = ChainMap(long, known) if long else known
+        whole = lambda x: self.convert(self.library.encode(x.decode(), add_special_tokens=False).ids)
+        return [whole(x) if pieces is None else combine(map(table.__getitem__, pieces)) for x, pieces in zip(raw, lists)]
 
 
 class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; for files that drop white space."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers; for the file that lower-cases."""
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.pieces = Pieces(path, WORD_ASCII, WORD_LATIN, True, lambda ids: np.array(ids, dtype="<u4").tobytes(), b"".join, limit=limit)
+    def __init__(self, path: str, limit: int = 700_000):
+        self.pretokens = Pretokens(path, WORD_PLAIN, WORD_LATIN, True, lambda ids: pack(f"<{len(ids)}I", *ids), limit=limit)
 
     def __call__(self, raw: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in raw]
-        table = self.pieces.learn(split)
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        return self.pretokens.values(raw, b"".join)
 
 
-class ChunkLengths:
+class TokenLengths:
     """Token counts of whole texts: a given table of frequent pre-tokens, then a cache, then the library."""
 
-    def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 400_000):
-        self.pieces = Pieces(path, CHUNK_ASCII, CHUNK_LATIN, False, len, sum, frequent, limit)
+    def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 700_000):
+        self.pretokens = Pretokens(path, TEXT_PLAIN, TEXT_LATIN, False, len, frequent, limit)
 
     def __call__(self, raw: list[bytes]) -> list[int]:
-        chunks = [[] if WIDE_SPACE.search(x) else CHUNK.findall(x) for x in raw]
-        table = self.pieces.learn(chunks)
-        return [
-            sum(map(table.__getitem__, parts)) if parts or not text else len(self.pieces.library.encode(text.decode(), add_special_tokens=False).ids)
-            for text, parts in zip(raw, chunks)
-        ]
+        return self.pretokens.values(raw, sum)
