@@ -51,6 +51,16 @@ def test_languages_and_mixtures(spark, languages):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.lang) for r in kept) == sorted([(0, "aa"), (1, "bb"), (2, "cc"), (10, "aa"), (-1, "bb"), (0, "aa")])
 
 
+def test_a_long_text_is_read_in_parts(languages):
+    rng = random.Random(6)
+    text = sentence(rng, "cc", 30_000)
+    assert "".join(language_id.parts(text, 1000)) == text and max(map(len, language_id.parts("x" * 2500, 1000))) == 1000
+    letters = language_id.letter_table()
+    whole = languages.words([text], letters)[0]
+    pieces = np.concatenate([languages.words([p], letters)[0] for p in language_id.parts(text, 5000)])
+    assert np.array_equal(whole, pieces)
+
+
 def test_expectation_maximisation_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     likelihood = np.exp(rng.normal(size=(60, 3)))

@@ -61,7 +61,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(kind).to_pylist()
 
 
-def in_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:

@@ -18,6 +18,8 @@ from traceframe.llm.common import U64, fold, in_slices
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
+#: Characters looked at together; the arrays take some 100 bytes for each.
+SLICE = 1 << 20
 
 
 def letter_table() -> np.ndarray:
@@ -44,18 +46,29 @@ def words_of(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams, first, np.searchsorted(ends, at[first], side="right") if len(at) else at
 
 
+def parts(text: str, size: int = SLICE) -> list[str]:
+    """A long text in parts of about ``size`` characters, cut at blanks where there are any."""
+    out, start = [], 0
+    while len(text) - start > size:
+        cut = text.rfind(" ", start + size // 2, start + size) + 1 or start + size
+        out.append(text[start:cut])
+        start = cut
+    return [*out, text[start:]]
+
+
 def count_grams(docs: DataFrame, lang: str = "lang") -> DataFrame:
     """(lang, bucket, n) over all texts; a task sends at most one row per language and bucket."""
 
     def count(batches):
         letters, totals = letter_table(), {}
-        for part in in_slices(batches):
+        for part in in_slices(batches, limit=SLICE):
             langs = np.array(part.column(1).to_pylist(), dtype=object)
             texts = part.column(0).to_pylist()
             for name in set(langs.tolist()):
-                grams, _, _ = words_of([texts[i] for i in np.flatnonzero(langs == name)], letters)
+                own = [texts[i] for i in np.flatnonzero(langs == name)]
                 totals.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
-                totals[name] += np.bincount(grams, minlength=BUCKETS)
+                for some in [own] if len(own) > 1 else [[p] for p in parts(own[0])]:
+                    totals[name] += np.bincount(words_of(some, letters)[0], minlength=BUCKETS)
         for name, counts in totals.items():
             seen = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -77,6 +90,9 @@ class Model:
 
     def words(self, texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each word under each language, and each word's text."""
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            logs = np.concatenate([self.words([p], letters)[0] for p in parts(texts[0])])
+            return logs, np.zeros(len(logs), dtype=np.int64)
         grams, first, owner = words_of(texts, letters)
         if not len(first):
             return np.zeros((0, len(self.names)), dtype=np.float64), owner
@@ -181,7 +197,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 3.0, rounds:
 
     def predict(batches):
         predictor = Predictor(shared.value, penalty, rounds)
-        for part in in_slices(batches):
+        for part in in_slices(batches, limit=SLICE):
             names, scores, sets = predictor(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())],
@@ -201,7 +217,7 @@ def annotate(docs: DataFrame, model: Model | None, penalty: float = 3.0, rounds:
 
     def keep(batches):
         predictor = Predictor(shared.value, penalty, rounds)
-        for part in in_slices(batches):
+        for part in in_slices(batches, limit=SLICE):
             names = predictor(part.column(at).to_pylist())[0]
             filled = [old if old is not None else new for old, new in zip(part.column(lang).to_pylist(), names)]
             part = part.set_column(lang, part.schema.field(lang), pa.array(filled, part.schema.field(lang).type))
