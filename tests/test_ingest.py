@@ -25,6 +25,16 @@ def test_strict_scan_fails(spark, write_trace, bad):
         ndjson.scan_ndjson(spark, write_trace([record(1), bad])).collect()
 
 
+def test_strict_scan_fails_whatever_is_read(spark, write_trace):
+    path = write_trace([record(1), "", "{broken", record(2), "[1]"])
+    events = ndjson.scan_ndjson(spark, path)
+    for query in (events, events.groupBy("trace_id").count(), events.select("api")):
+        with pytest.raises(Exception, match="malformed line in|not_object line in"):
+            query.count() if query is events else query.collect()
+    bad = ndjson.bad_lines(spark, path).orderBy("line_number").collect()
+    assert [(r.line_number, r.status, r.line) for r in bad] == [(3, "malformed", "{broken"), (5, "not_object", "[1]")]
+
+
 def test_empty_input_fails(spark, write_trace):
     with pytest.raises(ValueError, match="no events"):
         ndjson.scan_ndjson(spark, write_trace(["", " "]))
@@ -35,6 +45,8 @@ def test_quarantine_repairs_and_rejects(spark, write_trace):
     events, rejects = ndjson.scan_ndjson(spark, write_trace([record(1), lost, "{oops", "[1,2]"]), mode="quarantine")
     assert [r.api for r in events.orderBy("file_index").collect()] == ["TextEncoder.encode", "a"]
     assert [r.line for r in rejects.collect()] == ["{oops"]
+    still_bad = '{"a":"1""result":2,'
+    assert [r.line for r in ndjson.scan_ndjson(spark, write_trace([record(1), still_bad]), mode="quarantine")[1].collect()] == [still_bad]
 
 
 def test_line_order_over_many_splits(spark, tmp_path):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
-from traceframe.operators import ordered, profile, provenance, sequence
+from traceframe.operators import profile, provenance, sequence
 
 SCHEMA = (
     "trace_id STRING, session_id STRING, file_index BIGINT, seq BIGINT, mono_time_us BIGINT, api STRING, "
@@ -27,9 +27,7 @@ FOCUS = [
 ]
 
 
-@pytest.mark.parametrize("whole_rows", [1_000_000, 0])
-def test_focus_window(spark, monkeypatch, whole_rows):
-    monkeypatch.setattr(ordered, "WHOLE_ROWS", whole_rows)
+def test_focus_window(spark):
     r = profile.focus_by_session(events(spark, FOCUS), 350).first()
     assert (r.focus_seq, r.window_event_count, r.window_score) == (103, 4, 18)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.operators.profile import top_k
@@ -17,6 +17,11 @@ def call_nodes(events: DataFrame) -> DataFrame:
     )
 
 
+def id_session(call_id: Column) -> Column:
+    """Session of a call id: what stands before the last colon, so a session may hold colons itself."""
+    return F.regexp_extract(call_id, "^(.*):[^:]*$", 1)
+
+
 def first_nodes(events: DataFrame) -> DataFrame:
     """First row of each call id."""
     cols = F.struct("file_index", "depth", "api", "parent_id", "session_id", "causality_kind", "phase")
@@ -37,7 +42,7 @@ def link_status(events: DataFrame) -> DataFrame:
     parent = F.col("parent")
     status = (
         F.when(F.col("parent_id").isNull(), "root")
-        .when(F.substring_index("parent_id", ":", 1) != F.col("session_id"), "session")
+        .when(id_session(F.col("parent_id")) != F.col("session_id"), "session")
         .when(parent.isNull(), "missing")
         .when(parent["file_index"] >= F.col("file_index"), "forward")
         .when(F.col("depth") != parent["depth"] + 1, "depth")

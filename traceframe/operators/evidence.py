@@ -14,7 +14,6 @@ from traceframe.operators.containment import containment_pairs
 # Shortest string of a timeline, and characters of a preview.
 TIMELINE_MIN_LEN = 12
 PREVIEW = 80
-REPLAY_VALUE = 8192
 
 
 def deduped_strings(strings: DataFrame, min_len: int = TIMELINE_MIN_LEN) -> DataFrame:
@@ -216,11 +215,11 @@ def token_visibility(strings: DataFrame, tokens: DataFrame) -> DataFrame:
     return tokens.select("anchor_id", "token").join(first, ["anchor_id", "token"], "left")
 
 
-def with_full_value(rows: DataFrame, strings: DataFrame, cap: int = REPLAY_VALUE) -> DataFrame:
-    """Put the first full string of each fingerprint back beside its preview."""
+def with_full_value(rows: DataFrame, strings: DataFrame) -> DataFrame:
+    """Put the first full string of each fingerprint, of any length, back beside its preview."""
     full = strings.where(F.length("value") >= TIMELINE_MIN_LEN).withColumn(
         "value_sha", text.sha8(F.col("value"))
     ).groupBy("anchor_id", "value_sha").agg(F.min(F.struct("file_index", "value")).alias("f"))
-    full = full.select("anchor_id", "value_sha", F.substring("f.value", 1, cap).alias("full_value"))
+    full = full.select("anchor_id", "value_sha", F.col("f.value").alias("full_value"))
     joined = rows.drop("full_value").join(full, ["anchor_id", "value_sha"], "left")
     return joined.withColumn("full_value", F.coalesce("full_value", "value_preview"))

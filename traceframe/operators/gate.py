@@ -52,15 +52,15 @@ def endpoint_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def rejected_endpoints(counts: DataFrame) -> DataFrame:
-    """Per rejected class: endpoints, events and the first three examples."""
+def rejected_endpoints(counts: DataFrame, shown_examples: int = SHOWN_EXAMPLES) -> DataFrame:
+    """Per rejected class: endpoints, events and the first examples."""
     rejected = counts.where("resource_class <> ''").groupBy("trace_id", "resource_class", "endpoint").agg(
         F.sum("events").alias("events"), F.min("first_index").alias("first_index")
     )
     sizes = rejected.groupBy("trace_id", "resource_class").agg(
         F.count(F.lit(1)).alias("endpoint_count"), F.sum("events").alias("event_count")
     )
-    shown = top_k(rejected, ["trace_id", "resource_class"], SHOWN_EXAMPLES, F.asc("first_index"))
+    shown = top_k(rejected, ["trace_id", "resource_class"], shown_examples, F.asc("first_index"))
     examples = shown.groupBy("trace_id", "resource_class").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "endpoint"))), lambda x: x["endpoint"]).alias("examples")
     )
@@ -68,12 +68,13 @@ def rejected_endpoints(counts: DataFrame) -> DataFrame:
     return sizes.join(examples, ["trace_id", "resource_class"]).withColumn("position", position)
 
 
-def capture_gate(counts: DataFrame, traces: DataFrame | None = None, start_url: str = "") -> DataFrame:
-    """Per trace: passed once an actionable endpoint was seen, with up to eight of them."""
+def capture_gate(counts: DataFrame, traces: DataFrame | None = None, start_url: str = "", shown_endpoints: int = SHOWN_ENDPOINTS) -> DataFrame:
+    """Per trace: passed once an actionable endpoint was seen; their number, and the first of them."""
     actionable = counts.where("actionable").groupBy("trace_id", "endpoint").agg(F.min("first_index").alias("first_index"))
-    shown = top_k(actionable, ["trace_id"], SHOWN_ENDPOINTS, F.asc("first_index")).groupBy("trace_id").agg(
+    shown = top_k(actionable, ["trace_id"], shown_endpoints, F.asc("first_index")).groupBy("trace_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "endpoint"))), lambda x: x["endpoint"]).alias("matched_endpoints")
     )
+    seen = actionable.groupBy("trace_id").agg(F.count(F.lit(1)).alias("endpoints"))
     rejected = rejected_endpoints(counts).groupBy("trace_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "resource_class", "endpoint_count", "event_count"))),
@@ -81,14 +82,14 @@ def capture_gate(counts: DataFrame, traces: DataFrame | None = None, start_url:
         ).alias("rejected")
     )
     base = (traces if traces is not None else counts).select("trace_id").distinct()
-    out = base.join(shown, "trace_id", "left").join(rejected, "trace_id", "left")
+    out = base.join(shown, "trace_id", "left").join(seen, "trace_id", "left").join(rejected, "trace_id", "left")
     none = F.array().cast("array<string>")
     matched = F.coalesce("matched_endpoints", none)
     passed = F.size(matched) > 0
     fallback = F.array(text.same_origin_pattern(F.lit(start_url)), F.lit("fetch/XMLHttpRequest non-static endpoint"))
     return out.select(
         "trace_id", F.when(passed, "passed").otherwise("pending").alias("status"),
-        F.size(matched).cast("bigint").alias("observed_actionable_endpoint_count"), matched.alias("matched_endpoints"),
+        F.coalesce("endpoints", F.lit(0)).cast("bigint").alias("observed_actionable_endpoint_count"), matched.alias("matched_endpoints"),
         F.when(passed, none).otherwise(F.array(F.lit("business_api_anchor_not_captured"))).alias("missing"),
         "rejected", F.when(passed, matched).otherwise(fallback).alias("target_endpoint_patterns"),
     )

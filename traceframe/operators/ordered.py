@@ -17,9 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
-MAX_SLICES = 4096
-# A table of at most this many rows may sit in one task, so it is not cut at all.
-WHOLE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -32,14 +29,11 @@ class Slices:
     def of(cls, df: DataFrame, column: str, count: int | None = None) -> "Slices":
         """Quantiles of ``column``: one aggregation over a single pruned column.
 
-        Without an explicit ``count`` the rows are counted first, and an input that
-        fits one task is left whole.
+        Inputs of every size are cut alike: into ``count`` slices, or as many as the session has
+        shuffle partitions, which is what a cluster sizes to its rows.
         """
         if count is None:
-            if df.count() <= WHOLE_ROWS:
-                return cls(())
             count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        count = max(1, min(count, MAX_SLICES))
         if count == 1:
             return cls(())
         probs = [i / count for i in range(1, count)]

@@ -133,7 +133,7 @@ def explain(
     }
 
 
-# Fixed value: rows of a candidate pool kept in an artefact.
+# Fixed value: rows of a candidate pool shown in an artefact; checks use whole pools.
 POOL_ROWS = 200
 
 
@@ -158,14 +158,14 @@ def artifact(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def candidate_rows(tables: dict[str, DataFrame], kind: str) -> DataFrame:
-    """First rows of a candidate pool (``inputs`` or ``outputs``) by time."""
+    """First rows of a candidate pool (``inputs`` or ``outputs``) by time, for display."""
     return profile.top_k(tables[f"candidate_{kind}"], ["anchor_id"], POOL_ROWS, F.asc("d_ms"), F.asc("value_sha"), F.asc("api"))
 
 
 def verify(tables: dict[str, DataFrame], digests=derive.DIGESTS) -> DataFrame:
     """Check every field of every anchor against its own candidate inputs and outputs."""
-    inputs = candidate_rows(tables, "inputs").select("anchor_id", F.col("full_value").alias("value"), F.col("rank").alias("file_index"))
+    inputs = tables["candidate_inputs"].select("anchor_id", F.col("full_value").alias("value"), "file_index")
     pool = derive.candidate_pool(inputs, ["anchor_id"])
-    outputs = candidate_rows(tables, "outputs").select("anchor_id", F.col("full_value").alias("value"), "api", "d_ms", "value_sha")
+    outputs = tables["candidate_outputs"].select("anchor_id", F.col("full_value").alias("value"), "api", "d_ms", "value_sha")
     targets = tables["fields"].select("anchor_id", F.col("label").alias("field"), F.col("field_value").alias("target"))
     return derive.verify_fields(pool, targets, ["anchor_id"], outputs, digests)

@@ -33,7 +33,7 @@ def rejected_endpoints(spark, d):
     "capture_gate",
     f"""WITH {V_REQUESTS}, {REQUEST_PARTS_SQL}, a AS (SELECT endpoint, min(file_index) AS fi FROM classed WHERE resource_class = '' GROUP BY endpoint),
 r AS (SELECT *, row_number() OVER (ORDER BY fi) AS rn FROM a)
-SELECT CASE WHEN count(*) > 0 THEN 'passed' ELSE 'pending' END AS status, CAST(count_if(rn <= 8) AS BIGINT) AS observed_actionable_endpoint_count,
+SELECT CASE WHEN count(*) > 0 THEN 'passed' ELSE 'pending' END AS status, CAST(count(*) AS BIGINT) AS observed_actionable_endpoint_count,
   string_agg(CASE WHEN rn <= 8 THEN endpoint END, ' ' ORDER BY rn) AS matched_endpoints FROM r""",
 )
 def capture_gate(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, material, text
 from traceframe.functions.nested import leaves
-from traceframe.operators.causal import call_nodes, first_nodes
+from traceframe.operators.causal import call_nodes, first_nodes, id_session
 from traceframe.operators.sequence import non_monotonic
 
 # --- fixed values -----------------------------------------------------------
@@ -127,7 +127,7 @@ def causality(events: DataFrame) -> DataFrame:
     ends = "causality_kind = 'paired' AND phase IN ('return', 'exception')"
     node = live.where(f"NOT ({ends})").join(own, ["trace_id", "call_id"], "left").join(parent, ["trace_id", "parent_id"], "left")
     paired, up = F.col("causality_kind") == "paired", F.col("parent")
-    other_session = F.regexp_extract("parent_id", "^(.*):[^:]*$", 1) != F.col("session_id")
+    other_session = id_session(F.col("parent_id")) != F.col("session_id")
     has_parent = F.col("parent_id").isNotNull()
     gone = has_parent & ~other_session & F.coalesce(up["file_index"] >= F.col("file_index"), F.lit(True))
     nodes = _exploded(node, "causality", [

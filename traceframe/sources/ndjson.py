@@ -8,7 +8,7 @@ dense. ``ordered.dense_index`` numbers rows where a message needs an ordinal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Keys before which a lost comma is put back.
@@ -44,7 +44,10 @@ def _text_lines(spark: SparkSession, path, stream: bool = False, **options) -> D
 
 
 def parse_lines(lines: DataFrame, repair: bool) -> DataFrame:
-    """Add ``event`` (VARIANT or NULL) and ``status``: ok, repaired, malformed, not_object."""
+    """Add ``event`` (VARIANT or NULL), ``json`` (the text it was read from) and ``status``: ok, repaired, malformed, not_object.
+
+    ``line`` stays as it was read.
+    """
     event = F.try_parse_json("line")
     if repair:
         event = F.coalesce(event, F.try_parse_json(repair_line(F.col("line"))))
@@ -53,9 +56,10 @@ def parse_lines(lines: DataFrame, repair: bool) -> DataFrame:
     parsed = lines.select("*", F.explode(F.array(event)).alias("event"))
     if repair:
         plain = F.try_parse_json("line").isNotNull()
-        parsed = parsed.withColumn("_plain", plain).withColumn(
-            "line", F.when(F.col("_plain"), F.col("line")).otherwise(repair_line(F.col("line")))
-        )
+        text = F.when(F.col("_plain") | F.col("event").isNull(), F.col("line")).otherwise(repair_line(F.col("line")))
+        parsed = parsed.withColumn("_plain", plain).withColumn("json", text)
+    else:
+        parsed = parsed.withColumn("json", F.col("line"))
     is_object = F.schema_of_variant("event").startswith("OBJECT")
     status = F.when(F.col("event").isNull(), "malformed").when(~is_object, "not_object")
     if repair:
@@ -66,9 +70,10 @@ def parse_lines(lines: DataFrame, repair: bool) -> DataFrame:
 def scan_ndjson(spark: SparkSession, path, mode: str = "strict", repair: bool | None = None):
     """Read traces; ``trace_id`` is the file.
 
-    ``strict``: a malformed or non-object line fails the query and an empty input
-    fails at once; returns the events. ``quarantine``: returns (events, rejects),
-    where rejects holds the malformed lines; non-objects are dropped.
+    ``strict``: a malformed or non-object line fails every query over the events, a count
+    too, and an empty input fails at once; returns the events. ``bad_lines`` names the
+    line numbers. ``quarantine``: returns (events, rejects), where rejects holds the malformed
+    lines as they were read; non-objects are dropped.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -77,7 +82,8 @@ def scan_ndjson(spark: SparkSession, path, mode: str = "strict", repair: bool |
     if mode == "strict":
         where = F.concat(F.col("status"), F.lit(" line in "), F.col("trace_id"), F.lit(": "), F.col("line"))
         bad = F.col("status").isin("malformed", "not_object")
-        checked = parsed.withColumn("event", F.when(bad, F.raise_error(where).cast("variant")).otherwise(F.col("event")))
+        # A filter, since a column that nothing reads would be pruned and its failure with it.
+        checked = parsed.where(F.when(bad, F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
         if checked.isEmpty():
             raise ValueError(f"no events found in {path}")
         return typed_events(checked)
@@ -85,6 +91,23 @@ def scan_ndjson(spark: SparkSession, path, mode: str = "strict", repair: bool |
     return typed_events(parsed.where("status IN ('ok', 'repaired')")), rejects
 
 
+def bad_lines(spark: SparkSession, path) -> DataFrame:
+    """trace_id, line_number (from 1, blank lines counted), status and line of every line that a strict scan refuses.
+
+    Rows are numbered inside their split; only one row per split is summed over a file.
+    """
+    raw = spark.read.text(path).select(
+        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("trace_id"),
+        F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("_row"),
+    )
+    blocks = raw.groupBy("trace_id", "block_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    order = Window.partitionBy("trace_id").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(order), F.lit(0)))
+    bad = parse_lines(raw.where("line <> ''"), repair=False).where("status <> 'ok'")
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return bad.join(blocks, ["trace_id", "block_start"]).select("trace_id", number.alias("line_number"), "status", "line")
+
+
 def _kind(path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get("event", path, "variant")), F.lit(""))
 
@@ -115,7 +138,7 @@ def typed_events(parsed: DataFrame) -> DataFrame:
         part("truncation"), part("result"), part("error"), part("args"), arg0.alias("arg0"),
         F.try_variant_get("event", "$.stack", _FRAMES).alias("stack"),
         text("call_id"), text("parent_id"), whole("depth"), text("causality_kind"), whole("duration_us"),
-        F.json_object_keys("line").alias("keys"), F.col("line").alias("raw"),
+        F.json_object_keys("json").alias("keys"), F.col("json").alias("raw"),
     ]
     return parsed.select(*cols)
 

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from traceframe.operators import gate
 from traceframe.sources.ndjson import _text_lines, parse_lines, typed_events
 
-# Poll interval and the bytes read per poll.
+# Fixed value: poll interval.
 POLL = "500 milliseconds"
-POLL_BYTES = 2 * 1024 * 1024
 
 
-def tail_ndjson(spark: SparkSession, directory: str, max_bytes: int = POLL_BYTES) -> DataFrame:
+def tail_ndjson(spark: SparkSession, directory: str, max_bytes: int | None = None) -> DataFrame:
     """New lines of a folder as they arrive; a malformed line is kept as a marker row.
 
     The checkpoint is the offset. A file is read when it appears and is not read
     again, so producers roll files instead of appending to one; a finished file holds
-    whole lines only.
+    whole lines only. Without ``max_bytes`` a poll reads all that has arrived, so a tail never
+    falls behind by design.
     """
-    lines = _text_lines(spark, directory, stream=True, maxBytesPerTrigger=str(max_bytes))
+    limit = {} if max_bytes is None else {"maxBytesPerTrigger": str(max_bytes)}
+    lines = _text_lines(spark, directory, stream=True, **limit)
     return parse_lines(lines.withColumn("file_index", F.lit(None).cast("bigint")), repair=False)
 
 
