@@ -40,7 +40,7 @@ def frequent_pretokens(path: str) -> dict[bytes, int]:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int = 500_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int = 600_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
     A null text counts as empty (0 tokens); rows with a null or repeated id keep a row each; other

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections import ChainMap
-from itertools import filterfalse
+from itertools import filterfalse, islice
 from struct import pack
 
 import regex
@@ -46,7 +46,7 @@ def load(path: str):
 class Pretokens:
     """What the library makes of each pre-token, converted; a bounded cache over a given table."""
 
-    def __init__(self, path: str, plain, latin, lower: bool, convert, given: dict | None = None, limit: int = 500_000):
+    def __init__(self, path: str, plain, latin, lower: bool, convert, given: dict | None = None, limit: int = 600_000):
         self.library, self.limit, self.lower = load(path), limit, lower
         self.plain, self.latin, self.convert = plain, latin, convert
         self.given = given or {}
@@ -65,7 +65,8 @@ class Pretokens:
         """For each text the combined values of its pre-tokens."""
         lists = [self.split(x) for x in raw]
         if len(self.known) > self.limit + len(self.given):
-            self.known = dict(self.given)
+            # What was met first is what is met most; the later half goes.
+            self.known = dict(islice(self.known.items(), self.limit // 2 + len(self.given)))
         known, missing = self.known, set()
         for pieces in lists:
             missing.update(filterfalse(known.__contains__, pieces or ()))
@@ -84,7 +85,7 @@ class Pretokens:
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers; for the file that lower-cases."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         self.pretokens = Pretokens(path, WORD_PLAIN, WORD_LATIN, True, lambda ids: pack(f"<{len(ids)}I", *ids), limit=limit)
 
     def __call__(self, raw: list[bytes]) -> list[bytes]:
@@ -94,7 +95,7 @@ class WordIds:
 class TokenLengths:
     """Token counts of whole texts: a given table of frequent pre-tokens, then a cache, then the library."""
 
-    def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 500_000):
+    def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 600_000):
         self.pretokens = Pretokens(path, TEXT_PLAIN, TEXT_LATIN, False, len, frequent, limit)
 
     def __call__(self, raw: list[bytes]) -> list[int]:
