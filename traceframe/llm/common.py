@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,9 @@ class Bounded(dict):
         return value
 
 
-def word_hashes(limit: int = 400_000) -> Bounded:
+@lru_cache(maxsize=1)
+def word_hashes(limit: int = 300_000) -> Bounded:
+    """Hash of each word; one cache serves all tasks that a worker runs."""
     return Bounded(xxhash.xxh3_64_intdigest, limit)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.llm.common import as_bytes, in_slices, stored, texts
-from traceframe.llm.tokens import WordIds
+from traceframe.llm.tokens import worker_ids
 
 PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("row", pa.int64())])
 
@@ -56,7 +56,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) ->
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches):
-        encode, end, row = WordIds(tokenizer), struct.pack("<I", end_id), 0
+        encode, end, row = worker_ids(tokenizer), struct.pack("<I", end_id), 0
         for part in in_slices(batches):
             at, columns = [], [[] for _ in PIECES]
             for i, ids in enumerate(encode(as_bytes(part.column(1)))):

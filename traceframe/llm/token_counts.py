@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.llm.common import as_bytes, in_slices, texts
-from traceframe.llm.tokens import TokenLengths, vocabulary_file
+from traceframe.llm.tokens import vocabulary_file, worker_lengths
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,7 +40,7 @@ def frequent_pretokens(path: str) -> dict[bytes, int]:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int = 600_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
     A null text counts as empty (0 tokens); rows with a null or repeated id keep a row each; other
@@ -50,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, cache: int
     frequent = spark.sparkContext.broadcast(frequent_pretokens(tokenizer))
 
     def count(batches):
-        lengths = TokenLengths(tokenizer, frequent.value, cache)
+        lengths = worker_lengths(tokenizer, frequent.value, cache)
         for part in in_slices(batches):
             raw = as_bytes(part.column(1))
             yield pa.RecordBatch.from_arrays(

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.llm.common import as_bytes, in_slices, new_folder, texts
-from traceframe.llm.tokens import WordIds, vocabulary_file
+from traceframe.llm.tokens import vocabulary_file, worker_ids
 
 SKIPPABLE, MAGIC, FOOTER = 0x184D2A5E, 0x54464652, struct.Struct("<QIIII")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("frame", "<u4"), ("first", "<u4"), ("count", "<u4")])
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     spark = docs.sparkSession
 
     def write(batches):
-        encode, part, writer, count, tokens = WordIds(tokenizer), None, None, 0, 0
+        encode, part, writer, count, tokens = worker_ids(tokenizer), None, None, 0, 0
         target, where = open_folder(folder)
         end = struct.pack("<I", end_id)
         for piece in in_slices(batches):
