@@ -47,7 +47,7 @@ def load(path: str):
 class Pretokens:
     """What the library makes of each pre-token, converted; a bounded cache over a given table."""
 
-    def __init__(self, path: str, plain, latin, lower: bool, convert, given: dict | None = None, limit: int = 500_000):
+    def __init__(self, path: str, plain, latin, lower: bool, convert, given: dict | None = None, limit: int = 400_000):
         self.library, self.limit, self.lower = load(path), limit, lower
         self.plain, self.latin, self.convert = plain, latin, convert
         self.given = given or {}
@@ -86,7 +86,7 @@ class Pretokens:
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers; for the file that lower-cases."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.pretokens = Pretokens(path, WORD_PLAIN, WORD_LATIN, True, lambda ids: pack(f"<{len(ids)}I", *ids), limit=limit)
 
     def __call__(self, raw: list[bytes]) -> list[bytes]:
@@ -96,7 +96,7 @@ class WordIds:
 class TokenLengths:
     """Token counts of whole texts: a given table of frequent pre-tokens, then a cache, then the library."""
 
-    def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 500_000):
+    def __init__(self, path: str, frequent: dict[bytes, int], limit: int = 400_000):
         self.pretokens = Pretokens(path, TEXT_PLAIN, TEXT_LATIN, False, len, frequent, limit)
 
     def __call__(self, raw: list[bytes]) -> list[int]:
