@@ -106,11 +106,14 @@ def test_derivations(spark):
         "mac": hexed(hmac.new(key.encode(), msg.encode(), "sha256").digest()), "concat": hashlib.sha1((key + msg).encode()).hexdigest(),
         "wrong": hexed(hmac.new(b"other key", msg.encode(), "sha256").digest()), "crc": "%08x" % __import__("zlib").crc32(msg.encode()), "short": "abc",
     }
-    got = _verify(spark, [key, msg], targets)
+    got = _verify(spark, [key, msg], targets, pair_values=24)
     assert {f for f, r in got.items() if r.status == "unresolved"} == {"wrong", "short"}
     assert got["plain"].spec == "hex(sha256(input))" and got["sha3"].spec == "hex(sha3_256(input))[:20]"
     assert got["inner"].spec == "hex(md5(input))[4:20]" and got["chain"].spec == "hex(sha1(md5(input)[digest]))"
     assert got["enc"].spec == "hex(md5(hex_lower(input)))" and got["mac"].spec == "hex(HMAC_sha256(key, msg))"
+    assert {r.pair_values_left_out for r in got.values()} == {0}
+    fewer = _verify(spark, [key, msg], {"mac": targets["mac"]}, pair_values=1)["mac"]
+    assert (fewer.status, fewer.pair_values_left_out) == ("unresolved", 1)
     assert got["concat"].spec == "hex(sha1(input || salt))" and got["crc"].algo == "crc32"
 
 
@@ -118,7 +121,7 @@ def test_derivation_from_json_leaves_and_outputs(spark):
     envelope = json.dumps({"key": "k-123456", "body": {"msg": "hello world"}})
     mac = hmac.new(b"k-123456", b"hello world", "sha1").hexdigest()
     outputs = spark.createDataFrame([("a", "xx" + "9" * 12 + "yy", "SubtleCrypto.sign.ret", -1.0, "sha")], "anchor_id STRING, value STRING, api STRING, d_ms DOUBLE, value_sha STRING")
-    got = _verify(spark, [envelope], {"mac": mac, "seen": "9" * 12}, outputs=outputs)
+    got = _verify(spark, [envelope], {"mac": mac, "seen": "9" * 12}, outputs=outputs, pair_values=24)
     assert got["mac"].status == "derived" and got["seen"].status == "observed_output" and got["seen"].edge.match_kind == "substring"
 
 

@@ -122,7 +122,7 @@ def test_explain_one_anchor(spark, write_trace, tmp_path):
     assert tables["dag_edges"].count() == 24
     art = plan.artifact(tables).first()
     assert art.evidence == "direct" and len(art.outputs) == 1 and art.materials == []
-    status = plan.verify(tables, digests=("md5", "sha1", "sha256")).first()
+    status = plan.verify(tables, pair_values=24, digests=("md5", "sha1", "sha256")).first()
     assert status.status == "observed_output"
     paths = sinks.write_artefacts({k: tables[k] for k in ("tokens", "phases", "summary")}, str(tmp_path / "out"))
     assert spark.read.parquet(paths["tokens"]).first().token == "sig"

@@ -88,9 +88,24 @@ def test_mined_leaves_limits(spark):
     deep = {"a": {"b": {"c": {"d": {"e": "too deep"}, "ok": "four levels"}}}, "s": "abc", "n": 12345}
     many = {f"k{i}": f"value-{i}" for i in range(50)}
     df = spark.createDataFrame([(1, json.dumps(deep)), (2, json.dumps(many)), (3, '"plain"')], "id INT, j STRING")
-    got = nested.mined_leaves(df, "j", ["id"]).collect()
+    got = nested.mined_leaves(df, "j", ["id"], per_value=32).collect()
     assert [(r.json_path, r.leaf) for r in got if r.id == 1] == [("a.b.c.ok", "four levels")]
     assert sorted(r.leaf_rank for r in got if r.id == 2) == list(range(32))
+    assert nested.mined_leaves(df, "j", ["id"]).where("id = 2").count() == 50
+
+
+def test_leaves_of_deep_values_and_many(spark, monkeypatch):
+    deep = '{"k":[' * 30_000 + '"x", 1.5, {"a": null}' + "]}" * 30_000
+    assert nested._parse(deep)["k"][0]["k"] and nested._parse('[{"a": [1, "b"], "c": {}}]') == [{"a": [1, "b"], "c": {}}]
+    for broken in (deep[:-1], deep + "]", deep + "1"):
+        with pytest.raises(ValueError):
+            nested._parse(broken)
+    nest = "[" * 4000 + '"x"' + "]" * 4000
+    monkeypatch.setattr(nested, "OUT_ROWS", 3)
+    df = spark.createDataFrame([(1, nest), (2, json.dumps(list(range(10)))), (3, "[1")], "id INT, j STRING")
+    got = nested.leaves(df, "j", ["id"]).collect()
+    assert [r.depth for r in got if r.id == 1] == [4000] and [r.text for r in got if r.id == 2] == [str(i) for i in range(10)]
+    assert not [r for r in got if r.id == 3]
 
 
 def _merge_inputs(spark, with_global=True):

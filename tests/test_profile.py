@@ -79,6 +79,15 @@ def test_site_role(spark, families, role):
     assert df.select(profile.site_role(F.col("f"))).first()[0] == role
 
 
+def test_catalogue_is_used_by_operators(spark):
+    events = spark.createDataFrame([("t", 1, "Reflect.get"), ("t", 2, "Own.call"), ("t", 3, "Own.call")], "trace_id STRING, file_index BIGINT, api STRING")
+    listed = spark.createDataFrame([("Own.call", "int_bitwise"), ("Own.call", "int_bitwise")], "api STRING, family STRING")
+    named = lookup.with_family(events, listed)
+    assert sorted((r.file_index, r.family, r.weight) for r in named.collect()) == [(1, None, 0), (2, "int_bitwise", 3), (3, "int_bitwise", 3)]
+    again = lookup.with_family(named)
+    assert again.columns == named.columns and sorted(r.weight for r in again.collect()) == [0, 3, 3]
+
+
 def test_families(spark):
     want = {
         "btoa": "base64", "Array.prototype.push": "array_table", "Array.from": "array_table", "Array.isArray": "dynamic_dispatch",

@@ -11,12 +11,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from itertools import accumulate, chain
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Leaves after which a batch is handed on.
+OUT_ROWS = 50_000
+
 _LEAF_FIELDS = (
     ("leaf_no", T.LongType(), pa.int64()),
     ("path", T.StringType(), pa.string()),
@@ -38,6 +42,50 @@ def _clean(value: str) -> str:
         return value.encode("utf-8", "replace").decode("utf-8")
 
 
+def _parse(raw: str):
+    """The value of a JSON text; nesting too deep for the library's parser is read with a list of open containers."""
+    try:
+        return json.loads(raw)
+    except RecursionError:
+        pass
+    root: list = []
+    open_, keys, at = [root], [None], 0
+    while at < len(raw):
+        c = raw[at]
+        if c in " \t\r\n,:":
+            at += 1
+            continue
+        if c in "]}":
+            if len(open_) == 1:
+                raise ValueError("closed too often")
+            open_.pop()
+            keys.pop()
+            at += 1
+            continue
+        if c in "[{":
+            value, at = ([] if c == "[" else {}), at + 1
+        elif c == '"':
+            value, at = scanstring(raw, at + 1, True)
+        else:
+            value, at = json.JSONDecoder().raw_decode(raw, at)
+        holder = open_[-1]
+        if holder.__class__ is list:
+            holder.append(value)
+        elif keys[-1] is None:
+            if c != '"':
+                raise ValueError("a key is no string")
+            keys[-1] = value
+            continue
+        else:
+            holder[keys[-1]], keys[-1] = value, None
+        if c in "[{":
+            open_.append(value)
+            keys.append(None)
+    if len(open_) > 1 or len(root) != 1:
+        raise ValueError("not one value")
+    return root[0]
+
+
 class _Collector:
     """Appends the leaves of one value after another to column lists."""
 
@@ -48,20 +96,24 @@ class _Collector:
 
     def add(self, row: int, root) -> None:
         self.row, self.count = row, 0
-        self.visit(root, "", (), (), 0, 0)
-
-    def visit(self, value, path, keys, containers, tail, depth) -> None:
-        if value.__class__ is dict and value:
-            inside = (*containers, path)
-            for key, item in value.items():
-                if not key.isascii():
-                    key = _clean(key)
-                self.visit(item, path + "." + key if path else key, (*keys, key), inside, 0, depth + 1)
-            return
-        if value.__class__ is list and value:
-            for i, item in enumerate(value):
-                self.visit(item, f"{path}[{i}]", keys, containers, tail + 1, depth + 1)
-            return
+        # An explicit stack: values nest as deep as they like.
+        stack = [(root, "", (), (), 0, 0)]
+        while stack:
+            value, path, keys, containers, tail, depth = stack.pop()
+            if value.__class__ is dict and value:
+                inside = (*containers, path)
+                below = []
+                for key, item in value.items():
+                    if not key.isascii():
+                        key = _clean(key)
+                    below.append((item, path + "." + key if path else key, (*keys, key), inside, 0, depth + 1))
+                stack.extend(reversed(below))
+            elif value.__class__ is list and value:
+                stack.extend((value[i], f"{path}[{i}]", keys, containers, tail + 1, depth + 1) for i in range(len(value) - 1, -1, -1))
+            else:
+                self.leaf(value, path, keys, containers, tail, depth)
+
+    def leaf(self, value, path, keys, containers, tail, depth) -> None:
         no = self.count
         self.count = no + 1
         if value.__class__ is str:
@@ -82,6 +134,13 @@ class _Collector:
         for column, entry in zip(self.columns, (no, path, keys, containers, tail, depth, kind, text)):
             column.append(entry)
 
+    def batch(self, source: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+        """The leaves beside the kept columns of their rows."""
+        taken = source.take(pa.array(self.rows, pa.int64()))
+        arrays = [taken.column(j) for j in range(source.num_columns - 1)]
+        arrays += [_to_arrow(c, t) for c, (_, _, t) in zip(self.columns, _LEAF_FIELDS)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
 
 def _to_arrow(values: list, kind: pa.DataType) -> pa.Array:
     """Arrow array of a column; lists go in as one flat run with offsets."""
@@ -106,22 +165,24 @@ def leaves(df: DataFrame, value: str, keep: list[str], only: str | None = None)
     fields = [narrow.schema[k] for k in keep]
     schema = T.StructType(fields + [T.StructField(n, t) for n, t, _ in _LEAF_FIELDS])
 
+    narrow_names = list(keep)
+
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*narrow_names, *[n for n, _, _ in _LEAF_FIELDS]]
         for batch in batches:
             found = _Collector(only)
             for i, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if raw is None:
                     continue
                 try:
-                    root = json.loads(raw)
+                    root = _parse(raw)
                 except ValueError:
                     continue
                 found.add(i, root)
-            taken = batch.take(pa.array(found.rows, pa.int64()))
-            arrays = [taken.column(j) for j in range(batch.num_columns - 1)]
-            arrays += [_to_arrow(c, t) for c, (_, _, t) in zip(found.columns, _LEAF_FIELDS)]
-            names = [*batch.schema.names[:-1], *[n for n, _, _ in _LEAF_FIELDS]]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                if len(found.rows) >= OUT_ROWS:
+                    yield found.batch(batch, names)
+                    found = _Collector(only)
+            yield found.batch(batch, names)
 
     return narrow.mapInArrow(flatten, schema)
 
@@ -154,19 +215,22 @@ def marked_events(df: DataFrame, value: str, keep: list[str], markers: list[str]
 
 
 def mined_leaves(
-    df: DataFrame, text: str, keep: list[str], min_len: int = 4, max_depth: int = 4, per_value: int = 32
+    df: DataFrame, text: str, keep: list[str], min_len: int = 4, max_depth: int = 4, per_value: int | None = None
 ) -> DataFrame:
-    """Distinct string leaves of values that parse as a JSON container.
+    """Distinct string leaves of values that parse as a JSON container, ranked by their place in it.
 
-    The minimum length, the depth and the number per value define this operator; a
-    value contributes at most ``per_value`` rows, gathered per value.
+    The minimum length and the depth define this operator. ``leaf_rank`` is the leaf's
+    position among all leaves of its value; with ``per_value`` only so many first
+    leaves of each value stay, as a top-k by that rank.
     """
     found = string_leaves(df, text, keep).where(
         (F.length("text") >= min_len) & (F.col("depth") <= max_depth) & (F.col("depth") > 0)
     )
     first = found.groupBy(*keep, "text").agg(F.min(F.struct("leaf_no", "path")).alias("at"))
-    one = first.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("_all"))
-    return one.select(*keep, F.posexplode(F.slice("_all", 1, per_value)).alias("leaf_rank", "_l")).select(
-        *keep, F.col("leaf_rank").cast("bigint").alias("leaf_rank"),
-        F.col("_l.at.path").alias("json_path"), F.col("_l.text").alias("leaf"),
+    ranked = first.select(
+        *keep, F.col("at.leaf_no").alias("leaf_rank"), F.col("at.path").alias("json_path"), F.col("text").alias("leaf")
     )
+    if per_value is None:
+        return ranked
+    order = Window.partitionBy(*keep).orderBy("leaf_rank")
+    return ranked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_value).drop("_n")

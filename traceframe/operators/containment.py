@@ -3,7 +3,8 @@
 A needle is filed under one of its own short substrings (a gram); a text asks for
 every gram it has. Grams meet in an equi-join, which the planner broadcasts when the
 needles are small and shuffles otherwise, and only pairs that share a gram are
-compared. Needles shorter than the gram length are filed whole, under their length.
+compared. Needles shorter than the gram length are filed whole, under their length,
+and such common grams are salted.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ SIZES = (1, 2, 3, 4, 8, 16, 32)
 STEP = 512
 # The gram of a needle is looked for among its first characters.
 LEAD = 64
-# Longest needle for which a piece of text carries enough context to compare at once.
+# Needles up to this length are compared with a piece of a text, longer ones with the whole text.
 LOCAL_MAX = 4096
+# Grams below this length are common in any text, so each is spread over SALTS keys.
+COMMON = 8
+SALTS = 16
 
 
 def _size(length: str) -> str:
@@ -32,17 +36,11 @@ def containment_pairs(
 ) -> DataFrame:
     """Distinct (keys, text_id, needle_id) with the needle inside the text, exact.
 
-    ``keys`` are further equality columns; empty needles match nothing.
+    ``keys`` are further equality columns; empty needles match nothing. Nothing runs
+    before the result is read: the gram lengths in use are a scalar subquery.
     """
     needles = needles.where(F.length(needle) > 0)
-    stats = needles.agg(
-        F.max(F.length(needle)).alias("longest"),
-        F.sort_array(F.collect_set(F.expr(_size(f"length({needle})")))).alias("sizes"),
-    ).first()
-    if stats["longest"] is None:
-        none = F.lit(None).cast(dict(needles.dtypes)[needle_id])
-        return texts.select(*keys, text_id, none.alias(needle_id)).where("false")
-    sizes, longest = stats["sizes"], stats["longest"]
+    in_use = needles.agg(F.collect_set(F.expr(_size(f"length({needle})")))).scalar()
 
     size = _size("length(_needle)")
     leads = f"sequence(1, greatest(1, least(length(_needle), {LEAD}) - {size} + 1))"
@@ -51,8 +49,8 @@ def containment_pairs(
         f"array_min(transform({leads}, i -> struct(xxhash64(substr(_needle, i, {size})) AS h, "
         f"substr(_needle, i, {size}) AS g))).g"
     ))
-    local = longest <= LOCAL_MAX
-    reach = longest if local else max(SIZES)
+    salts = F.sequence(F.lit(0), F.when(F.length("_gram") < COMMON, F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    filed = filed.withColumn("_salt", F.explode(salts))
     length = F.length(text)
     numbers = F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / STEP).cast("int"))
 
@@ -60,25 +58,28 @@ def containment_pairs(
     # come out of a generator, so each is cut from its text once and then only read.
     def piece(k):
         begin = F.greatest(k * STEP - LEAD, F.lit(0))
-        body = F.substr(F.col(text), begin + 1, k * STEP - begin + STEP + reach)
-        core = F.substr(F.col(text), k * STEP + 1, F.lit(STEP + max(sizes) - 1))
+        body = F.substr(F.col(text), begin + 1, k * STEP - begin + STEP + LOCAL_MAX)
+        core = F.substr(F.col(text), k * STEP + 1, F.lit(STEP + max(SIZES) - 1))
         return F.struct(k.alias("k"), core.alias("core"), body.alias("piece"))
 
     cut = texts.where(length > 0).select(*keys, text_id, F.explode(F.transform(numbers, piece)).alias("_p"))
     pieces = cut.select(*keys, text_id, F.col("_p.k").alias("_k"), F.col("_p.piece").alias("_piece"))
     # Every gram of one length by a lookahead match; its length tells the sizes apart.
     starts = lambda n: (
-        f"regexp_extract_all(substr(_p.core, 1, {STEP + n - 1}), '(?s)(?=(.{{{n}}}))', 1)"
+        f"CASE WHEN array_contains(_sizes, {n}) THEN "
+        f"regexp_extract_all(substr(_p.core, 1, {STEP + n - 1}), '(?s)(?=(.{{{n}}}))', 1) ELSE array() END"
     )
-    grams = F.explode(F.expr("concat(" + ", ".join(starts(n) for n in sizes) + ")")).alias("_gram")
+    grams = F.explode(F.expr("concat(" + ", ".join(starts(n) for n in SIZES) + ")")).alias("_gram")
     # Only short rows meet in the join; text comes back for the pairs that met.
-    asked = cut.select(*keys, text_id, F.col("_p.k").alias("_k"), grams)
-    met = asked.join(filed, [*keys, "_gram"])
-    if local:
-        candidates = met.select(*keys, text_id, "_k", needle_id, "_needle").distinct()
-        near = pieces.select(*keys, text_id, "_k", "_piece").join(candidates, [*keys, text_id, "_k"])
-        return near.where(F.contains("_piece", F.col("_needle"))).select(*keys, text_id, needle_id).distinct()
-    pairs = met.select(*keys, text_id, needle_id).distinct()
+    asked = cut.withColumn("_sizes", in_use).select(*keys, text_id, F.col("_p.k").alias("_k"), grams)
+    salt = F.when(F.length("_gram") < COMMON, F.pmod(F.xxhash64(F.col(text_id), "_k"), F.lit(SALTS)).cast("int"))
+    met = asked.withColumn("_salt", F.coalesce(salt, F.lit(0))).join(filed, [*keys, "_gram", "_salt"])
+    short = F.length("_needle") <= LOCAL_MAX
+    candidates = met.where(short).select(*keys, text_id, "_k", needle_id, "_needle").distinct()
+    near = pieces.join(candidates, [*keys, text_id, "_k"])
+    inside = near.where(F.contains("_piece", F.col("_needle"))).select(*keys, text_id, needle_id)
+    pairs = met.where(~short).select(*keys, text_id, needle_id).distinct()
     back = pairs.join(needles.select(*keys, needle_id, F.col(needle).alias("_needle")), [*keys, needle_id])
     back = back.join(texts.select(*keys, text_id, F.col(text).alias("_text")), [*keys, text_id])
-    return back.where(F.contains("_text", F.col("_needle"))).select(*keys, text_id, needle_id)
+    around = back.where(~short & F.contains("_text", F.col("_needle"))).select(*keys, text_id, needle_id)
+    return inside.unionByName(around).distinct()

@@ -25,10 +25,12 @@ CHAIN_DIGESTS = ("md5", "sha1", "sha256", "sha512")
 ENCODINGS = ("hex_lower", "hex_upper", "base64", "base64_nopad", "base64url", "base64url_nopad")
 ENCODING_NAMES = {"hex_lower": "hex", "hex_upper": "HEX"}
 MIN_MATCH_LEN = 8
-PAIR_VALUES = 24
 SHOWN_DERIVATIONS = 12
 # --- end of fixed values ----------------------------------------------------
 
+# Fields looked up beside one anchor's values at a time.
+BATCH_TARGETS = 1024
+
 _OUTSIDE_JVM = ("sha3_256", "sha3_512", "blake2b", "blake2s")
 
 
@@ -174,7 +176,6 @@ def aes_pairs(pool: DataFrame, keys: list[str], value: str = "value") -> DataFra
     """Encryptions of observed texts under observed keys of the same anchor.
 
     Only values that are a key (16, 24 or 32 bytes, or that many in hex) act as one.
-    ``pool`` is already cut to the values that are paired.
     """
     v = F.col(value)
     size = F.octet_length(v)
@@ -214,21 +215,25 @@ def _hits(produced: str, targets: list[str]):
             yield target
 
 
-def pair_matches(pool: DataFrame, targets: DataFrame, keys: list[str], order: str = "first_order") -> DataFrame:
-    """HMAC(key, msg) and H(a||b) over the first values of each anchor, matches only.
+def pair_matches(
+    pool: DataFrame, targets: DataFrame, keys: list[str], pair_values: int, order: str = "first_order"
+) -> DataFrame:
+    """HMAC(key, msg) and H(a||b) over the first ``pair_values`` values of each anchor, matches only.
 
-    The operator is defined on the first 24 values of a pool. They are picked by a
-    pruned rank, sit in one row per anchor beside its fields, and are combined inside
-    the task; only combinations that reproduce a field leave it.
+    Pairs grow with the square of that number, so the caller names it;
+    ``pairs_left_out`` counts what stays outside. The values are picked by a pruned
+    rank, sit in one row per anchor beside its fields, and are combined inside the
+    task; only combinations that reproduce a field leave it.
     """
-    picked = top_k(pool.select(*keys, "value", order), keys, PAIR_VALUES, F.asc(order), F.asc("value"))
+    picked = top_k(pool.select(*keys, "value", order), keys, pair_values, F.asc(order), F.asc("value"))
     sets = picked.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("values"))
-    # Fields are looked up in batches of bounded size, so a request with very many
-    # fields becomes several rows instead of one large one.
+    # An anchor's fields are dealt over as many rows as they need, so a row stays small
+    # and an anchor of few fields makes its digests once.
     distinct = targets.select(*keys, "target").where("target <> ''").distinct()
-    batch = F.pmod(F.xxhash64("target"), F.lit(64))
-    wanted = distinct.groupBy(*keys, batch.alias("_batch")).agg(F.collect_list("target").alias("targets"))
+    sizes = distinct.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BATCH_TARGETS).alias("_batches"))
+    batch = F.pmod(F.xxhash64("target"), F.col("_batches"))
+    wanted = distinct.join(sizes, keys).groupBy(*keys, batch.alias("_batch")).agg(F.collect_list("target").alias("targets"))
     rows = wanted.join(sets, keys).drop("_batch")
     fields = [rows.schema[k] for k in keys]
     schema = T.StructType(fields + [
@@ -261,6 +266,12 @@ def pair_matches(pool: DataFrame, targets: DataFrame, keys: list[str], order: st
     return rows.mapInPandas(search, schema).join(targets, [*keys, "target"])
 
 
+def pairs_left_out(pool: DataFrame, keys: list[str], pair_values: int) -> DataFrame:
+    """Per anchor: the values that ``pair_matches`` of the same bound does not combine."""
+    left = F.greatest(F.count(F.lit(1)) - pair_values, F.lit(0))
+    return pool.groupBy(*keys).agg(left.cast("bigint").alias("pair_values_left_out"))
+
+
 def derivation_expr(df: DataFrame) -> Column:
     """Readable form of a match, such as ``hex(sha256(input))[:16]``."""
     have = set(df.columns)
@@ -323,23 +334,28 @@ def field_status(targets: DataFrame, ranked: DataFrame, counts: DataFrame, keys:
 
 def verify_fields(
     pool: DataFrame, targets: DataFrame, keys: list[str], outputs: DataFrame | None = None,
-    digests: tuple[str, ...] = DIGESTS, pairs: bool = True,
+    digests: tuple[str, ...] = DIGESTS, *, pair_values: int,
 ) -> DataFrame:
-    """All checks of every field, over observed material only."""
+    """All checks of every field, over observed material only.
+
+    Pair transforms combine the first ``pair_values`` values of each pool (0: none);
+    ``pair_values_left_out`` says how many of the pool's values they did not see.
+    """
     single = universe(pool, [*keys, "value"], digests=digests).withColumnRenamed("value", "input")
     found = match_derivations(single, targets, keys)
-    if pairs:
-        two = pair_matches(pool, targets, keys)
+    if pair_values:
+        two = pair_matches(pool, targets, keys, pair_values)
         at = F.instr("produced", F.col("target")).cast("bigint") - 1
         two = two.withColumn("match_kind", match_kind(F.col("target"), F.col("produced"))).withColumn(
             "slice_start", at).withColumn("slice_end", at + F.length("target"))
-        picked = top_k(pool, keys, PAIR_VALUES, F.asc("first_order"), F.asc("value")).select(*keys, "value")
+        picked = top_k(pool, keys, pair_values, F.asc("first_order"), F.asc("value")).select(*keys, "value")
         aes = match_derivations(aes_pairs(picked, keys), targets, keys)
         found = found.unionByName(two, allowMissingColumns=True).unionByName(aes, allowMissingColumns=True)
     counts = found.groupBy(*keys, "field").agg(F.count(F.lit(1)).alias("derivation_count"))
     ranked = rank_derivations(found, keys, ["structure", "algo", "encoding", "input"])
     edges = observed_edges(targets, outputs, keys) if outputs is not None else None
-    return field_status(targets, ranked, counts, keys, edges)
+    status = field_status(targets, ranked, counts, keys, edges).join(pairs_left_out(pool, keys, pair_values), keys, "left")
+    return status.fillna(0, ["pair_values_left_out"])
 
 
 def resolution_summary(status: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from traceframe.functions import text
 
 def run_diff(events: DataFrame, item: str = "api", run: str = "run_id") -> DataFrame:
     """Per item: lowest and highest count over the runs (0 where absent), constant or not."""
-    runs = events.select(run).distinct().count()
+    runs = events.select(run).distinct().agg(F.count(F.lit(1))).scalar()
     counted = events.groupBy(run, item).agg(F.count(F.lit(1)).alias("n"))
     out = counted.groupBy(item).agg(
         F.count(F.lit(1)).alias("runs_seen"), F.min("n").alias("_low"), F.max("n").alias("max_count")

@@ -67,9 +67,9 @@ def closure(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id") ->
 
     Breadth first on narrow, de-duplicated pairs. Each round joins only the newest
     nodes and is checkpointed, so a lost executor recomputes one round and the plan
-    does not grow; rounds equal the longest path.
+    does not grow; the edges are stored once. Rounds equal the longest path.
     """
-    hops = edges.select(F.col("from").alias("_from"), F.col("to").alias("_to")).distinct()
+    hops = cut_lineage(edges.select(F.col("from").alias("_from"), F.col("to").alias("_to")).distinct())
     fresh = cut_lineage(anchors.select(anchor, "node").distinct().withColumn("hop", F.lit(0)))
     reached = fresh
     rounds = 0

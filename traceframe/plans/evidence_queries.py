@@ -17,15 +17,13 @@ W = FOCUS_WINDOW_US
 
 @query(
     "containment_match",
-    """WITH n AS (SELECT item_id, k, trim(split_part(text, '.', k)) AS needle
-  FROM benchmark, (VALUES (1), (2), (3)) t(k)),
+    """WITH n AS (SELECT trim(unnest(string_split(text, '.'))) AS needle FROM benchmark),
 u AS (SELECT DISTINCT needle FROM n WHERE needle <> '')
 SELECT d.doc_id, u.needle FROM documents d JOIN u ON contains(d.text, u.needle)""",
 )
 def containment_match(spark, d):
     b = table(spark, d, "benchmark")
-    pieces = F.slice(F.split("text", r"\."), 1, 3)
-    needles = b.select(F.explode(pieces).alias("needle")).select(F.trim("needle").alias("needle"))
+    needles = b.select(F.explode(F.split("text", r"\.")).alias("needle")).select(F.trim("needle").alias("needle"))
     needles = needles.where("needle <> ''").distinct()
     needles = needles.withColumn("needle_id", F.col("needle"))
     docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
@@ -51,8 +49,10 @@ def _strings(spark, d):
 
 
 def _tokens(spark, d):
-    c = table(spark, d, "conversations").where("turn = 0")
-    return c.select(F.col("conv_id").alias("anchor_id"), F.lit("tok").alias("token"), F.col("text").alias("value"))
+    """Every turn is a token of its conversation."""
+    c = table(spark, d, "conversations")
+    token = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    return c.select(F.col("conv_id").alias("anchor_id"), token.alias("token"), F.col("text").alias("value"))
 
 
 STRINGS_SQL = """raw AS (
@@ -61,10 +61,10 @@ STRINGS_SQL = """raw AS (
     SELECT conv_id, turn, role, parts, unnest(range(1, len(parts) + 1)) AS i
     FROM (SELECT *, string_split(text, '.') AS parts FROM conversations))),
 rows_ AS (SELECT a, api, v, count(*) AS n, min(d) AS d, arg_min(role, fi) AS role FROM raw WHERE length(v) >= 12 GROUP BY a, api, v),
-f0 AS (SELECT conv_id AS a, string_split(text, '.') AS parts, text FROM conversations WHERE turn = 0),
-fields AS (SELECT a, CASE WHEN contains(text, '.') THEN 'tok.f' || CAST(i - 1 AS VARCHAR) ELSE 'tok' END AS label,
+f0 AS (SELECT conv_id AS a, 't' || CAST(turn AS VARCHAR) AS tok, string_split(text, '.') AS parts, text FROM conversations),
+fields AS (SELECT a, CASE WHEN contains(text, '.') THEN tok || '.f' || CAST(i - 1 AS VARCHAR) ELSE tok END AS label,
     CASE WHEN contains(text, '.') THEN parts[i] ELSE text END AS fv
-  FROM (SELECT a, parts, text, unnest(range(1, len(parts) + 1)) AS i FROM f0)),
+  FROM (SELECT a, tok, parts, text, unnest(range(1, len(parts) + 1)) AS i FROM f0)),
 m0 AS (SELECT r.a, r.v, f.label, length(f.fv) AS fl, CASE WHEN r.v = f.fv THEN 0 WHEN contains(f.fv, r.v) THEN 1 ELSE 2 END AS k
   FROM (SELECT DISTINCT a, v FROM rows_) r JOIN fields f ON r.a = f.a AND f.fv <> '' AND (contains(f.fv, r.v) OR contains(r.v, f.fv))),
 m AS (SELECT * FROM (SELECT *, min(k) OVER (PARTITION BY a, v) AS best FROM m0) WHERE k = best)"""
@@ -109,7 +109,7 @@ def pairing(spark, d):
 
 @query(
     "token_provenance",
-    """WITH t AS (SELECT conv_id, substr(text, 3, 16) AS v FROM conversations
+    """WITH t AS (SELECT conv_id, text AS v FROM conversations
   WHERE (conv_id, turn) IN (SELECT conv_id, max(turn) FROM conversations GROUP BY conv_id))
 SELECT t.conv_id AS anchor_id, CAST(min(c.turn) AS DOUBLE) AS earliest_d_ms FROM t LEFT JOIN conversations c
   ON c.conv_id = t.conv_id AND contains(c.text, t.v) AND t.v <> '' GROUP BY t.conv_id""",
@@ -117,7 +117,7 @@ SELECT t.conv_id AS anchor_id, CAST(min(c.turn) AS DOUBLE) AS earliest_d_ms FROM
 def token_provenance(spark, d):
     c = table(spark, d, "conversations")
     last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("t"))
-    tokens = last.select(F.col("conv_id").alias("anchor_id"), F.lit("tok").alias("token"), F.substring("t", 3, 16).alias("value"))
+    tokens = last.select(F.col("conv_id").alias("anchor_id"), F.lit("tok").alias("token"), F.col("t").alias("value"))
     strings = c.select(F.col("conv_id").alias("anchor_id"), F.col("turn").cast("double").alias("d_ms"), F.col("text").alias("value"))
     return evidence.token_visibility(strings, tokens).select("anchor_id", "earliest_d_ms")
 
@@ -165,14 +165,15 @@ def env_reads(spark, d):
 
 @query(
     "truncation_stats",
-    """SELECT lang, CAST(count_if(n_chars > length(substr(text, 1, 1000))) AS BIGINT) AS truncated_events,
-  max(n_chars) AS max_input_len FROM documents GROUP BY lang""",
+    """SELECT lang, CAST(count_if(strlen(text) > length(text)) AS BIGINT) AS truncated_events,
+  max(strlen(text)) AS max_input_len FROM documents GROUP BY lang""",
 )
 def truncation_stats(spark, d):
+    """The bytes of a text are the length it states, its characters what was captured."""
     docs = table(spark, d, "documents")
     none = F.lit(None)
     inputs = docs.select(
-        "lang", F.col("n_chars").alias("len"), F.substring("text", 1, 1000).alias("value"),
+        "lang", F.octet_length("text").cast("bigint").alias("len"), F.col("text").alias("value"),
         none.cast("bigint").alias("byte_length"), none.cast("string").alias("hex"),
     )
     return evidence.truncation_stats(inputs, ["lang"])
@@ -228,14 +229,14 @@ def derivation_universe(spark, d):
 
 TARGET_SQL = """targets AS (SELECT 'doc' || CAST(doc_id AS VARCHAR) AS field,
     CASE WHEN doc_id % 20 = 0 THEN sha256(text) WHEN doc_id % 30 = 0 THEN substr(sha1(text), 9, 20)
-    ELSE substr(sha256(text), 1, 16) END AS target FROM documents WHERE doc_id % 10 = 0)"""
+    ELSE substr(sha256(text), 1, 16) END AS target FROM documents)"""
 MATCH_SQL = """hits AS (SELECT t.field, t.target, u.doc_id, u.algo, u.encoding, u.produced,
     instr(u.produced, t.target) AS at_ FROM uni u JOIN targets t ON contains(u.produced, t.target)),
 kinds AS (SELECT *, CASE WHEN produced = target THEN 'exact' WHEN at_ = 1 THEN 'prefix' ELSE 'substring' END AS match_kind FROM hits)"""
 
 
 def _targets(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 10 = 0")
+    docs = table(spark, d, "documents")
     full = F.sha2("text", 256)
     target = (
         F.when(F.col("doc_id") % 20 == 0, full)
@@ -257,8 +258,8 @@ def derivation_match(spark, d):
 @query(
     "spec_status",
     f"""WITH {DIGEST_SQL}, {TARGET_SQL}, {MATCH_SQL},
-all_t AS (SELECT * FROM targets UNION ALL SELECT 'conv' || CAST(conv_id AS VARCHAR), substr(sha256(text), 1, 24)
-  FROM conversations WHERE turn = 0),
+all_t AS (SELECT * FROM targets UNION ALL SELECT 'conv' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR),
+  substr(sha256(text), 1, 24) FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY CASE match_kind WHEN 'exact' THEN 0 WHEN 'prefix' THEN 1 ELSE 2 END,
     algo, encoding, doc_id) AS rn, count(*) OVER (PARTITION BY field) AS n FROM kinds)
 SELECT t.field, CASE WHEN r.field IS NULL THEN 'unresolved' ELSE 'derived' END AS status, coalesce(r.n, 0) AS derivation_count,
@@ -268,9 +269,9 @@ SELECT t.field, CASE WHEN r.field IS NULL THEN 'unresolved' ELSE 'derived' END A
 FROM all_t t LEFT JOIN r ON r.field = t.field AND r.rn = 1""",
 )
 def spec_status(spark, d):
-    c = table(spark, d, "conversations").where("turn = 0")
+    c = table(spark, d, "conversations")
     other = c.select(
-        F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("field"),
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("field"),
         F.substring(F.sha2("text", 256), 1, 24).alias("target"),
     )
     targets = _targets(spark, d)
@@ -281,8 +282,10 @@ def spec_status(spark, d):
     return out.select("field", "status", "derivation_count", "spec")
 
 
-PAIR_SQL = """u AS (SELECT conv_id, text, min(turn) AS t FROM conversations WHERE text <> '' GROUP BY conv_id, text),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, text) AS rn FROM u) WHERE rn <= 24),
+# Values of a conversation that the pair queries combine.
+PAIR_VALUES = 24
+PAIR_SQL = f"""u AS (SELECT conv_id, text, min(turn) AS t FROM conversations WHERE text <> '' GROUP BY conv_id, text),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, text) AS rn FROM u) WHERE rn <= {PAIR_VALUES}),
 tg AS (SELECT a.conv_id, substr(sha256(a.text || b.text), 5, 24) AS target FROM pool a JOIN pool b
   ON a.conv_id = b.conv_id AND a.rn = 1 AND b.rn = 2)"""
 
@@ -307,7 +310,7 @@ WHERE contains(sha256(a.text || b.text), t.target)""",
 )
 def concat_digest(spark, d):
     pool, targets = _pair_case(spark, d, F.substring(F.sha2(F.concat("a", "b"), 256), 5, 24))
-    hits = derive.pair_matches(pool, targets, ["conv_id"]).where(
+    hits = derive.pair_matches(pool, targets, ["conv_id"], PAIR_VALUES).where(
         "structure = 'H(a||b)' AND algo = 'sha256' AND encoding = 'hex_lower'"
     )
     # ``input`` is the left part of a concatenation, ``key_value`` the right one.
@@ -320,5 +323,5 @@ def concat_digest(spark, d):
 def hmac_match(spark, d):
     """Fields that are the HMAC-SHA1 of two turns, found among all pair transforms."""
     pool, targets = _pair_case(spark, d, derive.hmac_sha1_hex("a", "b"))
-    hits = derive.pair_matches(pool, targets, ["conv_id"])
+    hits = derive.pair_matches(pool, targets, ["conv_id"], PAIR_VALUES)
     return hits.select("conv_id", "field", "structure", "algo", "encoding")
