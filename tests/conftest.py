@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from traceframe.functions.lookup import with_family  # noqa: E402
 from traceframe.session import build_session  # noqa: E402
 
 
@@ -32,6 +33,19 @@ def write_trace(tmp_path):
     return write
 
 
+FAMILY_ROWS = [
+    ("Function.prototype.call", "dynamic_dispatch"), ("Function.prototype.apply", "dynamic_dispatch"), ("Reflect.apply", "dynamic_dispatch"),
+    ("Bitwise.xor", "int_bitwise"), ("Bitwise.or", "int_bitwise"), ("Shift.left", "int_bitwise"), ("Shift.unsignedRight", "int_bitwise"),
+    ("Date.now", "anti_debug_timing"), ("String.prototype.slice", "string_transform"), ("TextEncoder.encode", "text_codec"),
+    ("JSON.stringify", "json_serialization"), ("btoa", "base64"), ("DataView.getUint8", "byte_buffer"),
+]
+
+
+def with_families(events):
+    """Events with the families that the tests use."""
+    return with_family(events, events.sparkSession.createDataFrame(FAMILY_ROWS, "api STRING, family STRING"))
+
+
 def record(i=1, version=1, **over):
     """A record that meets the contract, with members replaced or (None marker ...) dropped."""
     row = {

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import record
+from conftest import record, with_families
 from traceframe.operators import gate
 from traceframe.plans import explain as plan
 from traceframe.plans.summary import trace_summary
@@ -140,7 +140,7 @@ def test_window_scan_and_material(spark, write_trace):
 
 
 def test_trace_summary(spark, write_trace):
-    e = scan_ndjson(spark, write_trace(burst_trace())).withColumn("raw_args", F.to_json("args"))
+    e = with_families(scan_ndjson(spark, write_trace(burst_trace()))).withColumn("raw_args", F.to_json("args"))
     r = trace_summary(e, 15_000_000, markers=("sig",)).first()
     assert r.event_count == 16 and r.network_signed_url_count == 1 and not r.available
     assert "signed_url_reached_network" in r.conclusions and "no_focus" not in r.gaps

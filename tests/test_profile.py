@@ -1,4 +1,5 @@
 import pytest
+from conftest import with_families
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
@@ -16,7 +17,7 @@ def events(spark, rows):
         r = {"trace_id": "t", "session_id": "s", "file_index": i, "url": "u", "function": "f", "line": None, "column": 1, **r}
         r.setdefault("mono_time_us", r.get("seq", 0) * 100)
         full.append(tuple(r.get(c.split()[0]) for c in SCHEMA.split(", ")))
-    return spark.createDataFrame(full, SCHEMA)
+    return with_families(spark.createDataFrame(full, SCHEMA))
 
 
 FOCUS = [
@@ -89,19 +90,15 @@ def test_catalogue_is_used_by_operators(spark):
 
 
 def test_families(spark):
-    want = {
-        "btoa": "base64", "Array.prototype.push": "array_table", "Array.from": "array_table", "Array.isArray": "dynamic_dispatch",
-        "Array.prototype.keys": "sequence_iterator", "Function.prototype.call": "dynamic_dispatch", "Function.prototype.toString": "source_probe",
-        "String.prototype.charAt": "string_decode", "String.prototype.slice": "string_transform", "StringAdd.constant_lhs": "string_transform",
-        "StringAdd": "string_transform", "Math.imul": "int_arithmetic", "Math.random": "random_source", "DataView.getInt8": "byte_buffer",
-        "RegExp.prototype.@@match": "regexp_probe", "WeakSet.prototype.add": "collection_table", "fetch": None, "Map": None,
-    }
-    df = spark.createDataFrame([(k,) for k in want], "api STRING")
-    assert {r.api: r.family for r in lookup.with_family(df).collect()} == want
-    weights = {r.api: r.weight for r in lookup.with_family(df).collect()}
-    assert (weights["Function.prototype.call"], weights["DataView.getInt8"], weights["btoa"], weights["fetch"]) == (5, 3, 1, 0)
-    own = lookup.with_family(df, spark.createDataFrame([("fetch", "net")], "api STRING, family STRING"))
-    assert {r.api for r in own.where("family = 'net'").collect()} == {"fetch"}
+    listed = {"btoa": "base64", "Function.prototype.call": "dynamic_dispatch", "DataView.getInt8": "byte_buffer", "Map": None}
+    catalogue = spark.createDataFrame(list(listed.items()), "api STRING, family STRING")
+    names = [*listed, "Function.prototype.notAnApi", "Function.prototype", "DataView", "fetch", None]
+    df = spark.createDataFrame([(k,) for k in names], "api STRING")
+    got = {r.api: (r.family, r.weight) for r in lookup.with_family(df, catalogue).collect()}
+    weights = {"btoa": 1, "Function.prototype.call": 5, "DataView.getInt8": 3}
+    assert got == {k: (listed.get(k), weights.get(k, 0)) for k in names}
+    with pytest.raises(ValueError, match="catalogue"):
+        lookup.with_family(df)
 
 
 def test_utf16_and_lines(spark):

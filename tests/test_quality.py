@@ -1,14 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import record
+from conftest import record, with_families
 from traceframe.quality import report, requests, rules
 from traceframe.sources.ndjson import scan_ndjson
 
 
 @pytest.fixture
 def load(spark, write_trace):
-    return lambda rows: scan_ndjson(spark, write_trace(rows))
+    return lambda rows: with_families(scan_ndjson(spark, write_trace(rows)))
 
 
 def named(df):

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceframe.functions import lookup
+
+# The family catalogue of the views: the APIs that occur in them.
+FAMILY_ROWS = [
+    ("Function.prototype.call", "dynamic_dispatch"), ("DataView.getUint8", "byte_buffer"),
+    ("Bitwise.xor", "int_bitwise"), ("Date.now", "anti_debug_timing"),
+]
 FOCUS_WINDOW_US = 21_600_000_000
 
 
@@ -29,6 +36,10 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name))
 
 
+def family_catalogue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FAMILY_ROWS, "api STRING, family STRING")
+
+
 def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events")
     kind = F.col("event_type")
@@ -39,6 +50,12 @@ def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "error", "Date.now")
         .otherwise("BrowserNetwork.request")
     )
+    family = (
+        F.when(kind == "click", "dynamic_dispatch")
+        .when(kind == "view", "byte_buffer")
+        .when(kind == "signup", "int_bitwise")
+        .when(kind == "error", "anti_debug_timing")
+    )
     category = (
         F.when(kind == "purchase", "network").when(kind == "error", "fingerprint").otherwise("reverse")
     )
@@ -50,6 +67,8 @@ def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         micros(raw, "ts").alias("mono_time_us"),
         api.alias("api"),
         category.alias("category"),
+        family.alias("family"),
+        lookup.family_weight(family).alias("weight"),
         F.lit("call").alias("phase"),
         F.concat(F.lit("app"), (F.col("user_id") % 3).cast("string")).alias("url"),
         F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("function"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from traceframe.functions import lookup
 from traceframe.operators import profile
 from traceframe.plans.catalogue import query
-from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_EVENTS, v_events
+from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_EVENTS, family_catalogue, v_events
 
 W = FOCUS_WINDOW_US
 
@@ -61,7 +61,7 @@ def api_counts(spark, d):
 SELECT file_index, api, coalesce(family, '') AS family, CAST(weight AS BIGINT) AS weight FROM v_events""",
 )
 def family_lookup(spark, d):
-    return lookup.with_family(v_events(spark, d)).select(
+    return lookup.with_family(v_events(spark, d), family_catalogue(spark)).select(
         "file_index", "api", F.coalesce("family", F.lit("")).alias("family"), "weight"
     )
 

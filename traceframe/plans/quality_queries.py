@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traceframe.functions.lookup import with_family
 from traceframe.plans.catalogue import query
-from traceframe.plans.driverviews import V_EVENTS, spread, table, v_events
+from traceframe.plans.driverviews import V_EVENTS, family_catalogue, spread, table, v_events
 from traceframe.plans.graph_queries import v_calls
 from traceframe.quality import report, requests, rules
 from traceframe.session import cut_lineage
@@ -62,7 +63,7 @@ def _as_lines(df, line):
 
 
 def events_typed(spark, d):
-    return typed_events(parse_lines(event_lines(spark, d), repair=False))
+    return with_family(typed_events(parse_lines(event_lines(spark, d), repair=False)), family_catalogue(spark))
 
 
 def _plain(df):

@@ -288,7 +288,7 @@ def site_candidates(spark, d):
     rows = profile.window_events(e, focus, W).select(
         "trace_id", "url", F.lit(None).cast("string").alias("source_hash"), "function",
         F.lit(None).cast("bigint").alias("function_start_position"), F.col("column").alias("source_position"),
-        "api", "seq", "file_index", "mono_time_us", "focus_time_us", F.contains("props", F.lit("7")).alias("marked"),
+        "api", "family", "weight", "seq", "file_index", "mono_time_us", "focus_time_us", F.contains("props", F.lit("7")).alias("marked"),
     )
     return provenance.site_candidates(rows, proximity_us=3_600_000_000).select(
         "url", "function", "source_position", "role", "score", "event_count", "marker_count",
