@@ -93,6 +93,30 @@ def test_secret_rows(spark):
     assert secrets.secret_spans(spark.createDataFrame([], CLASH)).collect() == []
 
 
+def test_keys_in_longer_runs_and_long_runs_are_found(spark):
+    rng = random.Random(11)
+
+    def key(n, signs=""):
+        return "".join(rng.choice(string.ascii_letters + string.digits + signs) for _ in range(n))
+
+    cases = [(f"{name}={(k := key(40))}", k) for name in ("SESSION_KEY", "sig", "auth", "a_very_long_name_of_a_setting_1")]
+    cases += [(f"x=1=sig={(k := key(40))}==", k), (f"={(k := key(40))}", k), (f"/srv_a/{(k := key(40))}", k), (f"my-app/{(k := key(40))}", k)]
+    cases += [(f"section_one-section_two-{(k := key(40))}/the/rest/of/the/path/to/it", k)]
+    cases += [((k := key(n, signs)), k) for n in (512, 513, 2000, 20_000) for signs in ("", "+/", "-_")]
+    cases += [(f"-----{(k := key(1600, '+/'))}==-----END", k), (f"blob={(k := key(1600, '-_'))}", k)]
+    cases += [(f"{(k := key(40))}/sha=0123456789abcdef0123456789abcdef", k)]
+    rows = [(i, f"see {text} here", "x", 1) for i, (text, _) in enumerate(cases)]
+    plain = ["section_1=of_the_report/section_1_of_the_report-section_1", "1-a/" * 300, "a1=" * 300]
+    rows += [(1000 + i, text, "x", 1) for i, text in enumerate(plain)]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(rows, CLASH)).collect()}
+    for i, (_, k) in enumerate(cases):
+        at = rows[i][1].index(k)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("random:")]
+        assert any(a <= at and at + len(k) <= b for a, b in spans), (rows[i][1][:80], got[i].spans)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:])) and got[i].n_random == len(spans)
+    assert all(got[1000 + i].n_random == 0 for i in range(len(plain)))
+
+
 @pytest.mark.parametrize("text, kind, source", [
     ("write john.doe at example dot com now", "email", "john.doe at example dot com"),
     ("write john (at) example [dot] com now", "email", "john (at) example [dot] com"),

@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other long tokens.
 
-A candidate is a maximal run of 20 to 512 characters of ``[A-Za-z0-9+/_=-]`` that touches no base
+A candidate is a maximal run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that touches no base
 span and holds a letter and a digit. Its encoding is inferred from its characters (hex, base 32, base 62,
-base 64), and three tests of "drawn evenly and independently from that alphabet" are made:
+base 64). Where no encoding fits the run or a base span touches it, the candidates are its parts of 20 or
+more characters: split at inner '=', then at '-' and '_', at '+' and '/', and at all four. Three tests of
+"drawn evenly and independently from that alphabet" are made:
 
 * chi-squared of the symbol counts against uniform, symbols pooled so that each cell expects 2 or more;
 * Wald-Wolfowitz runs above and below the middle of the alphabet;
@@ -13,8 +15,8 @@ not random (paths, identifiers, repeated text) get small ones. They are told apa
 of the false discovery rate, weighted by length: a long token's tests have more power, so its weight in the
 Benjamini-Hochberg step is larger, with mean weight 1 over all candidates of the corpus. What
 the step rejects is ordinary text, by which at most a share ``rate`` of rejections are expected to be
-random; what it keeps is reported as kind ``random`` if the encoding makes it at least ``bits`` bits long.
-The step needs only a histogram of (length, p) over all candidates, counted by Spark.
+random; what it keeps is reported as kind ``random`` if the encoding makes it at least ``bits`` bits long; of parts
+that overlap, the longest. The step needs only a histogram of (length, p) over all candidates, counted by Spark.
 """
 
 from __future__ import annotations
@@ -41,9 +43,13 @@ ASSIGN = re.compile(KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# Parts of a run: around '=', which ends the last part as padding, and of one alphabet each.
+FIELD = re.compile(r"[^=]+(?:=+\Z)?")
+PARTS = tuple(re.compile(p) for p in (r"[^=_-]+=*", r"[^=+/]+=*", r"[A-Za-z0-9]+=*"))
 
 BINS = 200
-LENGTHS = (20, 24, 32, 40, 48, 64, 96, 128, 256, 513)
+# Shortest length of each class; the last one is open.
+LENGTHS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -149,6 +155,49 @@ def battery(token: str) -> tuple[float, float] | None:
     return min(1.0, 3 * p), len(ranks) * math.log2(size)
 
 
+def candidates(text: str, spans: list[Span]) -> list[tuple[int, int, float, float]]:
+    """Start, end, p-value and bits of each run, or of its parts where the run as a whole cannot be tested."""
+    out = []
+
+    def tested(a: int, b: int) -> bool:
+        found = None if overlaps(a, b, spans) else battery(text[a:b])
+        if found:
+            out.append((a, b, *found))
+        return found is not None
+
+    for m in CANDIDATE.finditer(text):
+        if tested(*m.span()):
+            continue
+        for f in FIELD.finditer(m.group()):
+            a, b = m.start() + f.start(), m.start() + f.end()
+            if b - a < LENGTHS[0] or ((a, b) != m.span() and tested(a, b)):
+                continue
+            parts = {(a + p.start(), a + p.end()) for pattern in PARTS for p in pattern.finditer(f.group())}
+            for x, y in sorted(parts - {(a, b)}):
+                if y - x >= LENGTHS[0]:
+                    tested(x, y)
+    return out
+
+
+def longest(spans: list[Span]) -> list[Span]:
+    """Of spans that overlap, the longest, the first among equals; in order of their starts."""
+    kept, end = [], 0
+    # Parts of one run meet only each other: each group of spans that meet is settled on its own.
+    group: list[Span] = []
+    for span in [*sorted(spans, key=lambda s: s[1:]), None]:
+        if group and (span is None or span[1] >= end):
+            taken = []
+            for s in sorted(group, key=lambda s: (s[1] - s[2], s[1])):
+                if not overlaps(s[1], s[2], taken):
+                    taken.append(s)
+            kept += sorted(taken, key=lambda s: s[1])
+            group = []
+        if span:
+            end = max(end, span[2]) if group else span[2]
+            group.append(span)
+    return kept
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base spans, and the candidates with their p-values."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -161,13 +210,10 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                rows = []
-                for m in CANDIDATE.finditer(text):
-                    a, b = m.span()
-                    if b - a <= 512 and not overlaps(a, b, spans) and (tested := battery(m.group())):
-                        cell = length_class(b - a) * BINS + p_bin(tested[0])
-                        rows.append({"start": a, "end": b, "p": tested[0], "bits": tested[1], "cell": cell})
-                more.append(rows)
+                more.append([
+                    {"start": a, "end": b, "p": p, "bits": bits, "cell": length_class(b - a) * BINS + p_bin(p)}
+                    for a, b, p, bits in candidates(text, spans)
+                ])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(base, pa.list_(item)), pa.array(more, pa.list_(candidate))], names=["doc_id", "base", "candidates"]
             )
@@ -182,7 +228,7 @@ def p_bin(p: float) -> int:
 
 
 def length_class(length: int) -> int:
-    return max(i for i, low in enumerate(LENGTHS[:-1]) if length >= low)
+    return max(i for i, low in enumerate(LENGTHS) if length >= low)
 
 
 def rejection_limit(histogram: dict[tuple[int, int], int], rate: float) -> dict[int, float]:
@@ -194,7 +240,7 @@ def rejection_limit(histogram: dict[tuple[int, int], int], rate: float) -> dict[
     total = sum(histogram.values())
     if not total:
         return {}
-    raw = {i: math.sqrt(low) for i, low in enumerate(LENGTHS[:-1])}
+    raw = {i: math.sqrt(low) for i, low in enumerate(LENGTHS)}
     mean = sum(raw[c] * n for (c, _), n in histogram.items()) / total
     weight = {c: w / mean for c, w in raw.items()}
     edges = sorted((10 ** (-(BINS - 1 - b) / 10) / weight[c], n) for (c, b), n in histogram.items())
@@ -222,12 +268,12 @@ def secret_spans(docs: DataFrame, rate: float = 0.05, bits: float = 96.0) -> Dat
     def finish(batches):
         for batch in batches:
             rows = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")}
-            for base, candidates in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for base, tested in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 spans = [(s["kind"], s["start"], s["end"]) for s in base]
-                extra = [
-                    ("random", c["start"], c["end"]) for c in candidates
+                extra = longest([
+                    ("random", c["start"], c["end"]) for c in tested
                     if c["bits"] >= bits and c["p"] > limits[length_class(c["end"] - c["start"])]
-                ]
+                ])
                 for k in KINDS[:3]:
                     rows[f"n_{k}"].append(sum(s[0] == k for s in spans))
                 rows["n_random"].append(len(extra))
