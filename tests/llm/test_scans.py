@@ -132,6 +132,35 @@ def test_disguises_map_back(text, kind, source):
     assert source not in pii.masked(text) and f"[{kind.upper()}]" in pii.masked(text)
 
 
+@pytest.mark.parametrize("at", ["@", " at ", " (at) ", "[at]", " AT "])
+@pytest.mark.parametrize("dots", [(a, b, c) for a in (".", " dot ", "[dot]") for b in (".", " dot ", " [dot] ") for c in (".", " dot ", "(dot)")])
+def test_mixed_signs_of_addresses(at, dots):
+    source = f"john{dots[0]}doe{at}example{dots[1]}co{dots[2]}uk"
+    text = f"write {source}, please; and we look at home"
+    base, added = pii.find_spans(text)
+    hidden = at.strip().lower() != "at" or any(d != "." for d in dots)
+    assert (("email", source) in [(k, text[a:b]) for k, a, b in base + added]) == hidden
+    assert (pii.masked(text) == "write [EMAIL], please; and we look at home") == hidden
+
+
+@pytest.mark.parametrize("source", [
+    "john (at) example dot com", "john at example [dot] com", "john[at]example dot co dot uk", "john@example dot com", "john dot doe@example.com",
+    "192 dot 168 dot 0 dot 1", "192.168 dot 0[dot]1", "192 [dot] 168.0 dot 1", "10  DOT  0.0.1", "+1 dot 555 dot 555 dot 0100",
+])
+def test_mixed_signs_map_back(source):
+    kind = "phone" if source[0] == "+" else "ip" if source[0].isdigit() else "email"
+    text = f"see {source} now"
+    assert (kind, 4, 4 + len(source)) in pii.find_spans(text)[1]
+    assert pii.masked(text).startswith(f"see [{kind.upper()}]") and pii.masked(text).endswith("] now")
+
+
+def test_signs_in_prose_and_in_long_runs():
+    for text in ("look at example.com now", "the score is 3 dot 4 at home", "we met at 5 dot 7", "a dot b dot c", "at dot", "version 1 dot 2 dot 3"):
+        assert pii.find_spans(text) == ([], []), text
+    for text in ("a dot " * 40_000, "a at " * 40_000, "at dot " * 40_000, "a at b dot at" + " dot at" * 30_000 + ".1", "1 dot " * 40_000, "a dot b" + " " * 100_000 + "at"):
+        pii.find_spans(text)
+
+
 def test_ordinary_prose_is_left_alone():
     for text in ("we met at home and dot it", "one two three", "look at the house. com is", "Τὸ κείμενο είναι ελληνικό", "это просто текст"):
         assert pii.find_spans(text) == ([], []) and pii.masked(text) == text

@@ -5,7 +5,7 @@ plain characters while an offset map keeps, for each character written, the sour
 
 1. homoglyphs: full-width forms and the Cyrillic and Greek letters that look like Latin ones;
 2. spelled digits: runs of digit words ("five five five") become digits;
-3. disguised signs: "(at)", "[dot]", and "name at host dot tld" in words.
+3. disguised signs: in addresses and dotted numbers, each "at" and "dot" may be bracketed, worded or plain.
 
 The detectors run on the rewritten text, and each span found is mapped back through the composed
 offsets. Texts without any disguise are never rewritten.
@@ -42,9 +42,13 @@ HOMOGLYPH = re.compile("[" + "".join(CYRILLIC) + "".join(GREEK) + "！-～]")
 NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
 SPELLED = re.compile(rf"(?<![^\W_])\+?{NUMBER}(?:[ .\-]{{1,2}}(?:{NUMBER}|[0-9]+)(?![^\W_]))+", re.I | re.A)
 SPELLED_PART = re.compile(rf"{NUMBER}|[0-9]+|\+", re.I | re.A)
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I | re.A)
-WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+(?:(?: +dot +|\.)[A-Za-z0-9-]+)+", re.I | re.A)
-DOT_WORD = re.compile(r" +dot +", re.I | re.A)
+BRACKETED = re.compile(r"[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I | re.A)
+AT = re.compile(r"@|(?<! ) ++at +", re.I | re.A)
+DOT_WORD = re.compile(r"(?<! ) ++dot +", re.I | re.A)
+HOST_DOT = re.compile(r" +dot +|\.", re.I | re.A)
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?: ++dot ++|\.)[A-Za-z0-9-]++)++", re.I | re.A)
+NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:(?: ++dot ++|\.)[0-9]++)++", re.I | re.A)
+TLD = re.compile(r"[A-Za-z]{2}\Z")
 # A cheap test that some transducer could have work to do.
 HINT = re.compile(rf"[\[({{<]\s*(?:at|dot)\s*[\])}}>]| dot |(?<![^\W_]){NUMBER}[ .\-]{{1,2}}(?:{NUMBER}|[0-9])", re.I | re.A)
 
@@ -134,17 +138,55 @@ def spelled_digits(mapped: Mapped) -> Mapped:
     return rewrite(mapped, edits)
 
 
+def local_part(text: str, end: int, limit: int, words: dict[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """Start of the local part that ends at ``end``, not before ``limit``, and the worded dots in it."""
+    start, dots = end, []
+    while True:
+        a = b = dots[-1][0] if dots else end
+        while a > limit and text[a - 1] in LOCAL_SET:
+            a -= 1
+        if a == b:
+            return start, dots[:-1]
+        start = a
+        if words.get(a, -1) < limit:
+            return start, dots
+        dots.append((words[a], a))
+
+
 def signs(mapped: Mapped) -> Mapped:
-    edits = [(*m.span(), [("@" if m.group(1).lower() == "at" else ".", *m.span())]) for m in BRACKETED.finditer(mapped[0])]
-    mapped = rewrite(mapped, edits)
-    edits = []
-    for m in WORDED.finditer(mapped[0]):
-        # "at" alone is an ordinary word: the host needs a spelled dot and a last label of letters.
-        dots = [d.span() for d in DOT_WORD.finditer(mapped[0], m.end(1), m.end())]
-        if dots and re.search(r"[A-Za-z]{2,}\Z", m.group()):
-            edits.append((*m.span(1), [("@", *m.span(1))]))
-            edits += [(a, b, [(".", a, b)]) for a, b in dots]
-    return rewrite(mapped, edits)
+    """Bracketed signs everywhere, then worded ones in addresses and dotted numbers; a sign may be plain beside others."""
+    edits, done = [], 0
+    for m in BRACKETED.finditer(mapped[0]):
+        a, b = m.span()
+        # Looked for backwards: as a head of the pattern, each blank of a long run would be a start.
+        while a > done and mapped[0][a - 1] in " \t\n\r\f\v":
+            a -= 1
+        edits.append((a, b, [("@" if m.group(1).lower() == "at" else ".", a, b)]))
+        done = b
+    mapped = text, ranges = rewrite(mapped, edits)
+    words = {m.end(): m.start() for m in DOT_WORD.finditer(text)}
+    found, limit = {}, 0
+    for at in AT.finditer(text):
+        if at.start() < limit:
+            continue
+        host, worded = HOST.match(text, at.end()), at.group() != "@"
+        start, local = local_part(text, at.start(), limit, words)
+        limit = at.end()
+        if not host or start == at.start():
+            continue
+        end, dots = host.end(), [d.span() for d in HOST_DOT.finditer(text, at.end(), host.end())]
+        # What a word joins to an address, or "at" to a name, has a last label that ends in letters.
+        while dots and (worded or text[dots[-1][0]] == " ") and not TLD.search(text, dots[-1][1], end):
+            end = dots.pop()[0]
+        spelled = local + [d for d in dots if text[d[0]] == " "]
+        # "at" alone is an ordinary word: it needs a disguised dot, worded or bracketed.
+        bracketed = any(text[i] == "." and ranges[i][1] - ranges[i][0] > 1 for i in range(start, end))
+        if dots and (spelled or bracketed or not worded):
+            found |= {d: "." for d in spelled} | ({at.span(): "@"} if worded else {})
+            limit = end
+    for m in NUMBERS.finditer(text):
+        found |= {d.span(): "." for d in DOT_WORD.finditer(text, *m.span())}
+    return rewrite(mapped, [(a, b, [(c, a, b)]) for (a, b), c in sorted(found.items())])
 
 
 def disguised_spans(text: str) -> list[Span]:
@@ -158,11 +200,12 @@ def disguised_spans(text: str) -> list[Span]:
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those that the transducers add: never over a base span of the same kind."""
+    """Base spans, and those that the transducers add: over a base span of the same kind only if they say more than it."""
     base = plain_spans(text)
     added = []
     for span in disguised_spans(text):
-        if not overlaps(span[1], span[2], [s for s in base if s[0] == span[0]]) and span not in added:
+        met = [s for s in base if s[0] == span[0] and overlaps(span[1], span[2], [s])]
+        if span not in met and all(span[1] <= a and b <= span[2] for _, a, b in met) and span not in added:
             added.append(span)
     return base, added
 
