@@ -117,6 +117,27 @@ def test_derivations(spark):
     assert got["concat"].spec == "hex(sha1(input || salt))" and got["crc"].algo == "crc32"
 
 
+def test_pairs_of_late_values(spark):
+    values = [f"value number {i}" for i in range(70)] + ["0123456789abcdef"]
+    aes = spark.range(1).select(F.lower(F.hex(F.aes_encrypt(F.lit(values[60].encode()), F.lit(values[70].encode()), F.lit("ECB"), F.lit("PKCS"))))).first()[0]
+    targets = {
+        "mac": hmac.new(values[69].encode(), values[30].encode(), "sha256").hexdigest(), "back": hmac.new(values[2].encode(), values[66].encode(), "md5").hexdigest(),
+        "concat": hashlib.sha512((values[50] + values[49]).encode()).hexdigest()[8:40], "aes": aes, "self": hmac.new(values[5].encode(), values[5].encode(), "md5").hexdigest(),
+    }
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "anchor_id STRING, first_order BIGINT, value STRING")
+    asked = spark.createDataFrame([("a", n, v) for n, v in targets.items()], "anchor_id STRING, field STRING, target STRING")
+    for block in (7, 64, 1000):
+        got = sorted((r.field, r.structure, r.algo, r.key_value, r.input) for r in derive.pair_matches(rows, asked, ["anchor_id"], block=block).collect())
+        assert got == [
+            ("back", "HMAC(key, msg)", "md5", values[2], values[66]), ("concat", "H(a||b)", "sha512", values[49], values[50]),
+            ("mac", "HMAC(key, msg)", "sha256", values[69], values[30]),
+        ]
+    hits = derive.match_derivations(derive.aes_pairs(rows, ["anchor_id"]), asked, ["anchor_id"])
+    assert {(r.field, r.key_value, r.input) for r in hits.collect()} == {("aes", values[70], values[60])}
+    got = _verify(spark, values, {k: targets[k] for k in ("mac", "self")})
+    assert {f: (r.status, r.pair_values_left_out) for f, r in got.items()} == {"mac": ("derived", 0), "self": ("unresolved", 0)}
+
+
 def test_derivation_from_json_leaves_and_outputs(spark):
     envelope = json.dumps({"key": "k-123456", "body": {"msg": "hello world"}})
     mac = hmac.new(b"k-123456", b"hello world", "sha1").hexdigest()

@@ -30,6 +30,8 @@ SHOWN_DERIVATIONS = 12
 
 # Fields looked up beside one anchor's values at a time.
 BATCH_TARGETS = 1024
+# Values of one anchor in a block; a task combines two blocks.
+BLOCK_VALUES = 64
 
 _OUTSIDE_JVM = ("sha3_256", "sha3_512", "blake2b", "blake2s")
 
@@ -184,7 +186,10 @@ def aes_pairs(pool: DataFrame, keys: list[str], value: str = "value") -> DataFra
     hexed = F.when(F.length(v).isin(32, 48, 64) & v.rlike("^[0-9A-Fa-f]+$"), F.struct(
         F.concat(F.lit("hex"), (F.length(v) * 4).cast("string")).alias("name"), F.unhex(v).alias("key")))
     keyed = pool.select(*keys, v.alias("key_value"), F.explode(F.array_compact(F.array(utf8, hexed))).alias("k"))
-    pairs = keyed.join(pool.select(*keys, v.alias("input")), keys).where("key_value <> input")
+    # The values that a key meets are dealt into blocks, so one anchor's pairs do not share a task.
+    inputs = _blocks(pool.select(*keys, v.alias("value")), keys, BLOCK_VALUES).withColumnRenamed("value", "input")
+    keyed = keyed.join(inputs.select(*keys, "_block").distinct(), keys)
+    pairs = keyed.join(inputs.drop("_blocks"), [*keys, "_block"]).where("key_value <> input")
     msg = F.encode("input", "UTF-8")
     blocks = (F.octet_length(msg) % 16 == 0) & (F.octet_length(msg) > 0)
     ecb = F.aes_encrypt(msg, F.col("k.key"), F.lit("ECB"), F.lit("PKCS"))
@@ -209,66 +214,89 @@ def _forms(raw: bytes):
     return zip(ENCODINGS, (raw.hex(), raw.hex().upper(), b64, b64.rstrip("="), url, url.rstrip("=")))
 
 
-def _hits(produced: str, targets: list[str]):
-    for target in targets:
-        if target == produced or (len(target) >= MIN_MATCH_LEN and target in produced):
-            yield target
+def _pair_digests(a: bytes, b: bytes):
+    made = [("HMAC(key, msg)", n, hmac.digest(a, b, n)) for n in DIGESTS]
+    return made + [("H(a||b)", n, hashlib.new(n, a + b).digest()) for n in CHAIN_DIGESTS]
+
+
+def _blocks(pool: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """The pool with each anchor's number of blocks of about ``size`` values, and the block of each value."""
+    sizes = pool.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
+    return pool.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("value"), F.col("_blocks")).cast("int"))
 
 
 def pair_matches(
-    pool: DataFrame, targets: DataFrame, keys: list[str], pair_values: int, order: str = "first_order"
+    pool: DataFrame, targets: DataFrame, keys: list[str], pair_values: int | None = None, order: str = "first_order",
+    block: int = BLOCK_VALUES,
 ) -> DataFrame:
-    """HMAC(key, msg) and H(a||b) over the first ``pair_values`` values of each anchor, matches only.
+    """HMAC(key, msg) and H(a||b) over all ordered pairs of each anchor's values, matches only.
 
-    Pairs grow with the square of that number, so the caller names it;
-    ``pairs_left_out`` counts what stays outside. The values are picked by a pruned
-    rank, sit in one row per anchor beside its fields, and are combined inside the
-    task; only combinations that reproduce a field leave it.
+    Pairs grow with the square of the values. A caller may name a bound, ``pair_values``, on the
+    values by ``order``; ``pairs_left_out`` counts what then stays outside. Each anchor's values
+    are dealt into blocks, and a row holds two blocks and a batch of fields, combined
+    inside a task; only combinations that reproduce a field leave it.
     """
-    picked = top_k(pool.select(*keys, "value", order), keys, pair_values, F.asc(order), F.asc("value"))
-    sets = picked.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("values"))
+    picked = pool.select(*keys, "value", order).where("value IS NOT NULL")
+    if pair_values is not None:
+        picked = top_k(picked, keys, pair_values, F.asc(order), F.asc("value"))
+    dealt = _blocks(picked.select(*keys, "value"), keys, block)
+    sets = dealt.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list("value")).alias("values"), F.first("_blocks").alias("_blocks"))
     # An anchor's fields are dealt over as many rows as they need, so a row stays small
     # and an anchor of few fields makes its digests once.
     distinct = targets.select(*keys, "target").where("target <> ''").distinct()
     sizes = distinct.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BATCH_TARGETS).alias("_batches"))
     batch = F.pmod(F.xxhash64("target"), F.col("_batches"))
     wanted = distinct.join(sizes, keys).groupBy(*keys, batch.alias("_batch")).agg(F.collect_list("target").alias("targets"))
-    rows = wanted.join(sets, keys).drop("_batch")
+    left = sets.withColumn("_other", F.explode(F.sequence("_block", F.col("_blocks") - 1))).drop("_blocks")
+    right = sets.select(*keys, F.col("_block").alias("_other"), F.col("values").alias("others"))
+    rows = left.join(right, [*keys, "_other"]).join(wanted, keys)
+    # By a number, so that rows, small beside their work, are not gathered in a few tasks again.
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *keys, "_block", "_other", "_batch")
     fields = [rows.schema[k] for k in keys]
     schema = T.StructType(fields + [
         T.StructField(n, T.StringType())
         for n in ("structure", "algo", "encoding", "produced", "key_value", "input", "target")
     ])
 
+    def hits(first, second, asked):
+        a, b = first.encode("utf-8", "surrogatepass"), second.encode("utf-8", "surrogatepass")
+        made = [(s, n, list(_forms(raw))) for s, n, raw in _pair_digests(a, b)]
+        # One look at all forms at once; which form it was is asked only after a hit.
+        everything = "\n".join([produced for _, _, forms in made for _, produced in forms])
+        for target in asked:
+            if target not in everything:
+                continue
+            for structure, algo, forms in made:
+                # Concatenation names the left part input and the right part salt.
+                named = (first, second) if structure.startswith("HM") else (second, first)
+                for encoding, produced in forms:
+                    if target in produced:
+                        yield (structure, algo, encoding, produced, *named, target)
+
     def search(batches):
         for pdf in batches:
             found = []
             for rec in pdf.to_dict("records"):
                 own = [rec[k] for k in keys]
-                values, asked = list(rec["values"]), list(rec["targets"])
-                raws = [v.encode("utf-8", "surrogatepass") for v in values]
-                for i, a in enumerate(raws):
-                    for j, b in enumerate(raws):
-                        if i == j:
+                same = rec["_block"] == rec["_other"]
+                # Every form is longer than a target that may only match as a whole.
+                asked = [t for t in rec["targets"] if len(t) >= MIN_MATCH_LEN]
+                for i, a in enumerate(rec["values"] if asked else ()):
+                    for j, b in enumerate(rec["others"]):
+                        if same and i == j:
                             continue
-                        made = [("HMAC(key, msg)", n, hmac.new(a, b, n).digest()) for n in DIGESTS]
-                        made += [("H(a||b)", n, hashlib.new(n, a + b).digest()) for n in CHAIN_DIGESTS]
-                        for structure, algo, raw in made:
-                            for encoding, produced in _forms(raw):
-                                for target in _hits(produced, asked):
-                                    # Concatenation names the left part input and the right part salt.
-                                    left, right = (values[i], values[j])
-                                    found.append((*own, structure, algo, encoding, produced,
-                                                  *((left, right) if structure[0:2] == "HM" else (right, left)), target))
+                        found += [(*own, *hit) for hit in hits(a, b, asked)]
+                        if not same:
+                            found += [(*own, *hit) for hit in hits(b, a, asked)]
             yield pd.DataFrame(found, columns=schema.fieldNames())
 
     return rows.mapInPandas(search, schema).join(targets, [*keys, "target"])
 
 
-def pairs_left_out(pool: DataFrame, keys: list[str], pair_values: int) -> DataFrame:
+def pairs_left_out(pool: DataFrame, keys: list[str], pair_values: int | None) -> DataFrame:
     """Per anchor: the values that ``pair_matches`` of the same bound does not combine."""
-    left = F.greatest(F.count(F.lit(1)) - pair_values, F.lit(0))
+    left = F.greatest(F.count(F.lit(1)) - pair_values, F.lit(0)) if pair_values is not None else F.lit(0)
     return pool.groupBy(*keys).agg(left.cast("bigint").alias("pair_values_left_out"))
 
 
@@ -334,22 +362,22 @@ def field_status(targets: DataFrame, ranked: DataFrame, counts: DataFrame, keys:
 
 def verify_fields(
     pool: DataFrame, targets: DataFrame, keys: list[str], outputs: DataFrame | None = None,
-    digests: tuple[str, ...] = DIGESTS, *, pair_values: int,
+    digests: tuple[str, ...] = DIGESTS, *, pair_values: int | None = None,
 ) -> DataFrame:
     """All checks of every field, over observed material only.
 
-    Pair transforms combine the first ``pair_values`` values of each pool (0: none);
+    Pair transforms combine all values of each pool, or its first ``pair_values`` (0: none);
     ``pair_values_left_out`` says how many of the pool's values they did not see.
     """
     single = universe(pool, [*keys, "value"], digests=digests).withColumnRenamed("value", "input")
     found = match_derivations(single, targets, keys)
-    if pair_values:
+    if pair_values is None or pair_values:
         two = pair_matches(pool, targets, keys, pair_values)
         at = F.instr("produced", F.col("target")).cast("bigint") - 1
         two = two.withColumn("match_kind", match_kind(F.col("target"), F.col("produced"))).withColumn(
             "slice_start", at).withColumn("slice_end", at + F.length("target"))
-        picked = top_k(pool, keys, pair_values, F.asc("first_order"), F.asc("value")).select(*keys, "value")
-        aes = match_derivations(aes_pairs(picked, keys), targets, keys)
+        picked = pool if pair_values is None else top_k(pool, keys, pair_values, F.asc("first_order"), F.asc("value"))
+        aes = match_derivations(aes_pairs(picked.select(*keys, "value"), keys), targets, keys)
         found = found.unionByName(two, allowMissingColumns=True).unionByName(aes, allowMissingColumns=True)
     counts = found.groupBy(*keys, "field").agg(F.count(F.lit(1)).alias("derivation_count"))
     ranked = rank_derivations(found, keys, ["structure", "algo", "encoding", "input"])

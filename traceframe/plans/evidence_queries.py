@@ -282,7 +282,7 @@ def spec_status(spark, d):
     return out.select("field", "status", "derivation_count", "spec")
 
 
-# Values of a conversation that the pair queries combine.
+# Values of a conversation that the SQL combines; the queries combine all.
 PAIR_VALUES = 24
 PAIR_SQL = f"""u AS (SELECT conv_id, text, min(turn) AS t FROM conversations WHERE text <> '' GROUP BY conv_id, text),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, text) AS rn FROM u) WHERE rn <= {PAIR_VALUES}),
@@ -310,9 +310,7 @@ WHERE contains(sha256(a.text || b.text), t.target)""",
 )
 def concat_digest(spark, d):
     pool, targets = _pair_case(spark, d, F.substring(F.sha2(F.concat("a", "b"), 256), 5, 24))
-    hits = derive.pair_matches(pool, targets, ["conv_id"], PAIR_VALUES).where(
-        "structure = 'H(a||b)' AND algo = 'sha256' AND encoding = 'hex_lower'"
-    )
+    hits = derive.pair_matches(pool, targets, ["conv_id"]).where("structure = 'H(a||b)'")
     # ``input`` is the left part of a concatenation, ``key_value`` the right one.
     return hits.select(
         "conv_id", "target", text.sha8(F.col("input")).alias("input_sha"), text.sha8(F.col("key_value")).alias("salt_sha")
@@ -323,5 +321,5 @@ def concat_digest(spark, d):
 def hmac_match(spark, d):
     """Fields that are the HMAC-SHA1 of two turns, found among all pair transforms."""
     pool, targets = _pair_case(spark, d, derive.hmac_sha1_hex("a", "b"))
-    hits = derive.pair_matches(pool, targets, ["conv_id"], PAIR_VALUES)
+    hits = derive.pair_matches(pool, targets, ["conv_id"])
     return hits.select("conv_id", "field", "structure", "algo", "encoding")

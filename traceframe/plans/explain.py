@@ -162,7 +162,7 @@ def candidate_rows(tables: dict[str, DataFrame], kind: str) -> DataFrame:
     return profile.top_k(tables[f"candidate_{kind}"], ["anchor_id"], POOL_ROWS, F.asc("d_ms"), F.asc("value_sha"), F.asc("api"))
 
 
-def verify(tables: dict[str, DataFrame], pair_values: int, digests=derive.DIGESTS) -> DataFrame:
+def verify(tables: dict[str, DataFrame], pair_values: int | None = None, digests=derive.DIGESTS) -> DataFrame:
     """Check every field of every anchor against its own candidate inputs and outputs."""
     inputs = tables["candidate_inputs"].select("anchor_id", F.col("full_value").alias("value"), "file_index")
     pool = derive.candidate_pool(inputs, ["anchor_id"])
