@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.llm import decontaminate, language_id, near_dedup, packing, pii, quality, secrets, token_counts, token_files, topk_search
+from traceframe.llm import (
+    decontaminate, filter_audit, language_id, near_dedup, packing, pii, quality, risk_rules, secrets, token_align, token_counts, token_files, topk_search,
+)
 from traceframe.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +62,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.token_links(table(spark, sf_dir, "documents"), *token_align.default_tokenizers())
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_minmax_dedup, op3_quality, op4_token_files, op5_topk_search, op6_packing, op7_language_id, op8_decontamination,
-        op9_token_counts, op10_pii,
+        op9_token_counts, op10_pii, op11_risk_rules, op12_filter_audit, op13_token_align,
     )
 }
 
@@ -107,4 +122,27 @@ i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambd
 n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY 1),
 c AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment FROM c JOIN n USING (item_id) WHERE 10 * shared >= 8 * item_shingles""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+      + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+p AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+  WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, k::INTEGER AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS earlier FROM p, range(1, 6) r(k)),
+x AS (SELECT *, mask & own <> 0 AS fails, mask & earlier = 0 AS fresh FROM c, s),
+t AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (fresh AND NOT fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fresh AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND NOT fresh), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (fresh AND fails AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (fresh AND fails AND toxic), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t""",
 }
