@@ -57,8 +57,8 @@ def test_vectors(spark):
     assert got == {k: brute(v) for k, v in VECTORS.items()}
 
 
-@pytest.mark.parametrize("chunk,max_period", [(16, 8), (17, 8), (33, 8), (8, 4), (65_536, 8), (6, 3), (2, 1)])
-def test_chunks_do_not_matter(spark, chunk, max_period):
+@pytest.mark.parametrize("chunk,max_period,fan", [(16, 8, 2), (17, 8, 3), (33, 8, 256), (8, 4, 2), (65_536, 8, 256), (6, 3, 5), (2, 1, 2)])
+def test_chunks_do_not_matter(spark, chunk, max_period, fan):
     rng = random.Random(chunk)
     cases = {}
     for c in range(30):
@@ -67,9 +67,24 @@ def test_chunks_do_not_matter(spark, chunk, max_period):
             body = [rng.choice("abcd") for _ in range(rng.randrange(1, 7))]
             seq += body * rng.choice([1, 1, 2, 3, 5, 30])
         cases[f"c{c}"] = seq
-    assert rolled(spark, cases, chunk=chunk, max_period=max_period) == {k: brute(v, max_period) for k, v in cases.items()}
+    assert rolled(spark, cases, chunk=chunk, max_period=max_period, fan=fan) == {k: brute(v, max_period) for k, v in cases.items()}
 
 
 def test_monotonic(spark):
     df = spark.createDataFrame([("s", 0, 1), ("s", 1, 3), ("s", 2, 3), ("s", 3, 2), ("r", 4, 0)], "k STRING, i BIGINT, v BIGINT")
     assert sorted(r.i for r in sequence.non_monotonic(df, ["k"], ["i"], "v").collect()) == [2, 3, 4]
+
+
+def test_one_long_key_is_composed_from_stretches(spark):
+    """A straight stretch, a loop over many chunks and period changes: entries in the middle of stretches."""
+    rng = random.Random(5)
+    seq = [str(i) for i in range(70)] + ["a", "b", "c"] * 150 + [rng.choice("xyz") for _ in range(300)] + ["q"] * 200 + [str(i) for i in range(90)]
+    for period in range(1, 9):
+        assert rolled(spark, {"k": seq, "other": ["u"] * 9}, chunk=16, max_period=period, fan=4) == {"k": brute(seq, period), "other": brute(["u"] * 9, period)}
+
+
+def test_null_key(spark):
+    rows = [(None, i, "ab"[i % 2]) for i in range(40)] + [("s", i, "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "k STRING, i BIGINT, x STRING")
+    got = sequence.blocks(sequence.roll_loops(df, ["k"], ["i"], "x", max_period=2, chunk=4, fan=2), ["k"]).collect()
+    assert {(r.k, r.block_start, r.kind, r.ops, r.repeat) for r in got} == {(None, 0, "loop", 40, 20), ("s", 0, "loop", 20, 20)}

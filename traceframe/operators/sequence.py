@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 
 from traceframe.operators.ordered import dense_index, with_next, with_previous
 from traceframe.operators.profile import top_k
+from traceframe.session import cut_lineage
 
 # Fixed value: longest loop body looked for.
 MAX_PERIOD = 8
 CHUNK = 65_536
+# Chunks (then stretches of them) whose maps are composed in one group.
+FAN = 256
 
 
 def non_monotonic(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -54,7 +57,8 @@ def bigrams(rows: DataFrame, keys: list[str], order: list[str], label: str, k: i
 # Where a step from position i leads depends on i alone, namely on how far the
 # sequence keeps matching itself at distance p (p = 1..max_period). So the sequence
 # is cut into chunks of bounded size; every chunk works out where each possible
-# entry leaves it; the chunks are chained through those few entries; and a last
+# entry leaves it; these finite maps are composed for neighbours, in rounds, so the
+# walk is followed through stretches of chunks and then inside them; and a last
 # pass writes the blocks. A session of any length is spread over its chunks.
 
 
@@ -154,30 +158,118 @@ def _tail_start(target, period, start, end, entry) -> int | None:
     return tail
 
 
-def _chain(key_names: list[str], chunk_size: int):
-    """Walk the chunks of one key by their entries: one row per (chunk, entry) at most."""
+# What a walk does to the straight block that is open when it enters (None: none is): it ends it, leaving ``value``
+# open instead (None: nothing), or, all singles, it ``carries`` it on and opens ``value`` only where none was open.
+
+
+def _carried(opened, carries: bool, value):
+    return opened if carries and opened is not None else value
+
+
+def _compose(key_names: list[str]):
+    """The map of a stretch of units from the maps of its units: one row per entry, followed to where it leaves."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("entry", ascending=False)
+        done: dict[int, tuple] = {}
+        for entry, leave, carries, value in zip(*[pdf[c].tolist() for c in ("entry", "exit", "carries", "value")]):
+            value = None if value != value else value
+            # Units behind this one are composed already, so one look-up leads out of the stretch.
+            if leave in done:
+                out, then_carries, then = done[leave]
+                carries, value = carries and then_carries, _carried(value, then_carries, then)
+                leave = out
+            done[entry] = (leave, carries, value)
+        out = pd.DataFrame([(e, *m) for e, m in done.items()], columns=["entry", "exit", "carries", "value"])
+        out["value"] = out["value"].astype("Int64")
+        for k in [*key_names, "unit"]:
+            out[k] = pdf[k].iloc[0] if k != "unit" else pdf["stretch"].iloc[0]
+        return out[[*key_names, "unit", "entry", "exit", "carries", "value"]]
+
+    return run
+
+
+def _walk(key_names: list[str]):
+    """The entries of a stretch's units on the one walk that passes it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {int(r.entry): r for r in pdf.itertuples(index=False)}
         first = pdf.iloc[0]
-        visits, pos, opened = [], 0, None
+        pos, opened = first["at"], first["opened"]
+        table = dict(zip(pdf["entry"].tolist(), zip(*[pdf[c].tolist() for c in ("unit", "exit", "carries", "value")])))
+        pos = None if pos is None or pos != pos else int(pos)
+        opened = None if opened is None or opened != opened else int(opened)
+        visits = []
         while pos in table:
-            row = table[pos]
-            if not row.head_single:
-                opened = None
-            visits.append((*[first[k] for k in key_names], int(row.chunk), pos, opened))
-            if row.tail is None or row.tail != row.tail:
-                opened = None
-            elif int(row.tail) != pos or opened is None:
-                opened = int(row.tail)
-            pos = int(row.exit)
-        out = pd.DataFrame(visits, columns=[*key_names, "chunk", "entry", "opened"])
+            unit, leave, carries, value = table[pos]
+            visits.append((*[first[k] for k in key_names], unit, pos, opened))
+            pos, opened = leave, _carried(opened, carries, None if value != value else int(value))
+        out = pd.DataFrame(visits, columns=[*key_names, "unit", "at", "opened"])
         out["opened"] = out["opened"].astype("Int64")
         return out
 
     return run
 
 
+def _visited(exits: DataFrame, keys: list[str], units: int, fan: int) -> DataFrame:
+    """(keys, chunk, entry, opened): where the greedy walk of each key enters its chunks.
+
+    ``exits`` are maps of chunks; ``units`` is the largest number of chunks of a key. Maps of ``fan`` neighbours are composed
+    into one, again and again, until one stretch is left; then the walk is followed back down. A group is one stretch, so
+    no task holds more than ``fan`` units of a key, and rounds are the logarithm of the chunks.
+    """
+    types = {f.name: f for f in exits.schema}
+    base = [types[k] for k in keys]
+    unit, entry = T.StructField("unit", T.LongType()), T.StructField("entry", T.LongType())
+    map_type = T.StructType([*base, unit, entry, T.StructField("exit", T.LongType()), T.StructField("carries", T.BooleanType()), T.StructField("value", T.LongType())])
+    visit_type = T.StructType([*base, unit, T.StructField("at", T.LongType()), T.StructField("opened", T.LongType())])
+    leaf = F.coalesce(F.col("head_single") & (F.col("tail") == F.col("entry")), F.lit(False))
+    level = cut_lineage(exits.select(*keys, F.col("chunk").alias("unit"), "entry", "exit", leaf.alias("carries"), F.col("tail").alias("value")))
+    levels = [level]
+    while -(-units // fan) > 1:
+        units = -(-units // fan)
+        stretches = level.withColumn("stretch", F.floor(F.col("unit") / fan))
+        level = cut_lineage(stretches.groupBy(*keys, "stretch").applyInPandas(_compose(keys), map_type))
+        levels.append(level)
+    visits = exits.select(*keys).distinct().select("*", F.lit(0).cast("bigint").alias("stretch"), F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("opened"))
+    for level in reversed(levels):
+        stretches = level.withColumn("stretch", F.floor(F.col("unit") / fan))
+        entered = _on_keys(stretches, visits, [*keys, "stretch"])
+        walked = entered.groupBy(*keys, "stretch").applyInPandas(_walk(keys), visit_type)
+        visits = walked.withColumnRenamed("unit", "stretch")
+    heads = exits.select(*keys, F.col("chunk").alias("stretch"), F.col("entry").alias("at"), "head_single")
+    found = _on_keys(visits, heads, [*keys, "stretch", "at"])
+    return found.select(*keys, F.col("stretch").alias("chunk"), F.col("at").alias("entry"), F.when(F.col("head_single"), F.col("opened")).alias("opened"))
+
+
+def _on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the keys come once."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _first_after(rows: DataFrame, keys: list[str], unit: str, values: list[str], units: int, fan: int) -> DataFrame:
+    """Each row's nearest value that is not NULL in a later unit of its key, for every value column.
+
+    Windows see ``fan`` units of a key; what lies beyond comes from one row per stretch, treated the same way.
+    """
+    stretch = f"{unit}_stretch"
+    rows = rows.withColumn(stretch, F.floor(F.col(unit) / fan))
+    behind = Window.partitionBy(*keys, stretch).orderBy(F.desc(unit)).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.select("*", *[F.last(v, ignorenulls=True).over(behind).alias(f"_near_{v}") for v in values])
+    if units > fan:
+        firsts = rows.groupBy(*keys, stretch).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.col(unit))).alias(v) for v in values])
+        beyond = _first_after(firsts, keys, stretch, values, -(-units // fan), fan)
+        beyond = beyond.select(*keys, stretch, *[F.col(v).alias(f"_beyond_{v}") for v in values])
+        near = _on_keys(near, beyond, [*keys, stretch])
+        found = [F.coalesce(f"_near_{v}", f"_beyond_{v}").alias(v) for v in values]
+    else:
+        found = [F.col(f"_near_{v}").alias(v) for v in values]
+    return near.select(*keys, unit, *found)
+
+
 def _pieces(max_period: int, key_names: list[str]):
     def run(batches):
         for pdf in batches:
@@ -227,13 +319,14 @@ def _straight(keys, opened, begin, stop, text, start):
 
 def roll_loops(
     rows: DataFrame, keys: list[str], order: list[str], label: str,
-    max_period: int = MAX_PERIOD, chunk: int = CHUNK,
+    max_period: int = MAX_PERIOD, chunk: int = CHUNK, fan: int = FAN,
 ) -> DataFrame:
     """Blocks of each key's sequence: straight stretches and ``body x repeat`` loops.
 
     One row per piece (keys, block_start, piece_start, kind, body, repeat, ops). A
     loop is one piece; a straight block that crosses chunks has one piece per chunk,
-    all with the same ``block_start``.
+    all with the same ``block_start``. The chunks are stored once, in the checkpoint folder; how many the longest key
+    has (one number) decides the rounds in which their maps are composed.
     """
     if chunk < 2 * max_period:
         raise ValueError("chunk must hold two bodies of the longest period")
@@ -242,37 +335,41 @@ def roll_loops(
     grouped = numbered.groupBy(*keys, F.floor(F.col("pos") / chunk).alias("chunk")).agg(
         F.array_sort(F.collect_list(member)).alias("m")
     )
-    chunks = grouped.select(
+    chunks = cut_lineage(grouped.select(
         *keys, "chunk", F.col("m")[0]["pos"].alias("start"), F.transform("m", lambda x: x["label"]).alias("labels")
-    )
-    heads = chunks.select(*keys, (F.col("chunk") - 1).alias("chunk"), F.slice("labels", 1, max_period).alias("head"))
-    chunks = chunks.join(heads, [*keys, "chunk"], "left")
+    ))
+    units = 1 + (chunks.agg(F.max("chunk")).first()[0] or 0)
+    if units > 1:
+        heads = chunks.select(*keys, (F.col("chunk") - 1).alias("chunk"), F.slice("labels", 1, max_period).alias("head"))
+        chunks = _on_keys(chunks, heads, [*keys, "chunk"], "left")
+    else:
+        chunks = chunks.withColumn("head", F.lit(None).cast("array<string>"))
 
     types = {f.name: f for f in chunks.schema}
     base = [types[k] for k in keys]
     long = T.LongType()
-    firsts = chunks.mapInPandas(
-        _first_mismatches(max_period),
-        T.StructType([*base, T.StructField("chunk", long), T.StructField("firsts", T.ArrayType(long))]),
-    )
-    after = Window.partitionBy(*keys).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    later = firsts.select(
-        *keys, "chunk",
-        F.array(*[F.last(F.col("firsts")[i], ignorenulls=True).over(after) for i in range(max_period)]).alias("later"),
-    )
-    full = chunks.join(later, [*keys, "chunk"])
-    exits = full.mapInPandas(
-        _entry_exits(max_period, keys),
-        T.StructType([
-            *base, T.StructField("chunk", long), T.StructField("entry", long), T.StructField("exit", long),
-            T.StructField("head_single", T.BooleanType()), T.StructField("tail", long),
-        ]),
-    )
-    visits = exits.groupBy(*keys).applyInPandas(
-        _chain(keys, chunk),
-        T.StructType([*base, T.StructField("chunk", long), T.StructField("entry", long), T.StructField("opened", long)]),
-    )
-    return full.join(visits, [*keys, "chunk"]).mapInPandas(
+    if units > 1:
+        firsts = cut_lineage(chunks.mapInPandas(
+            _first_mismatches(max_period),
+            T.StructType([*base, T.StructField("chunk", long), T.StructField("firsts", T.ArrayType(long))]),
+        ))
+        names = [f"_f{i}" for i in range(max_period)]
+        wide = firsts.select(*keys, "chunk", *[F.col("firsts")[i].alias(n) for i, n in enumerate(names)])
+        later = _first_after(wide, keys, "chunk", names, units, fan).select(*keys, "chunk", F.array(*names).alias("later"))
+        full = cut_lineage(_on_keys(chunks, later, [*keys, "chunk"]))
+        exits = full.mapInPandas(
+            _entry_exits(max_period, keys),
+            T.StructType([
+                *base, T.StructField("chunk", long), T.StructField("entry", long), T.StructField("exit", long),
+                T.StructField("head_single", T.BooleanType()), T.StructField("tail", long),
+            ]),
+        )
+        entered = _on_keys(full, _visited(exits, keys, units, fan), [*keys, "chunk"])
+    else:
+        # Every sequence is one chunk, entered at its start.
+        none = F.lit(None).cast("bigint")
+        entered = chunks.select("*", F.array(*[none] * max_period).alias("later"), F.lit(0).cast("bigint").alias("entry"), none.alias("opened"))
+    return entered.mapInPandas(
         _pieces(max_period, keys),
         T.StructType([
             *base, T.StructField("block_start", long), T.StructField("piece_start", long),

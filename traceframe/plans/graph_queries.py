@@ -48,7 +48,28 @@ def runs_period1(spark, d):
     )
 
 
-@query("loops")
+@query(
+    "loops",
+    f"""WITH RECURSIVE {V_EVENTS},
+s AS (SELECT session_id, api, row_number() OVER (PARTITION BY session_id ORDER BY file_index) - 1 AS pos FROM v_events),
+p AS (SELECT unnest(range(1, 9)) AS p),
+m AS (SELECT s.session_id, s.pos, p.p, t.api IS NULL OR t.api <> s.api AS differs
+  FROM s CROSS JOIN p LEFT JOIN s t ON t.session_id = s.session_id AND t.pos = s.pos + p.p),
+r AS (SELECT session_id, pos, p, min(CASE WHEN differs THEN pos END) OVER (PARTITION BY session_id, p ORDER BY pos
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pos AS run FROM m),
+f AS (SELECT session_id, pos, min(p) AS p, arg_min(run, p) AS run FROM r WHERE run >= p GROUP BY 1, 2),
+n AS (SELECT s.session_id, s.pos, coalesce(f.p, 0) AS p, CASE WHEN f.p IS NULL THEN s.pos + 1 ELSE s.pos + f.p * (f.run // f.p + 1) END AS nxt
+  FROM s LEFT JOIN f ON f.session_id = s.session_id AND f.pos = s.pos),
+walk AS (SELECT * FROM n WHERE pos = 0
+  UNION ALL SELECT n.* FROM walk JOIN n ON n.session_id = walk.session_id AND n.pos = walk.nxt),
+i AS (SELECT *, count_if(p > 0) OVER (PARTITION BY session_id ORDER BY pos) AS island FROM walk),
+b AS (
+  SELECT session_id, pos AS block_start, 'loop' AS kind, nxt - pos AS ops, (nxt - pos) // p AS "repeat", p AS len FROM i WHERE p > 0
+  UNION ALL SELECT session_id, min(pos), 'straight', count(*), 1, 0 FROM i WHERE p = 0 GROUP BY session_id, island)
+SELECT b.session_id, block_start, kind, CAST(ops AS BIGINT) AS ops, CAST("repeat" AS BIGINT) AS "repeat",
+  string_agg(s.api, ' ' ORDER BY s.pos) AS body
+FROM b LEFT JOIN s ON s.session_id = b.session_id AND s.pos >= block_start AND s.pos < block_start + len GROUP BY 1, 2, 3, 4, 5""",
+)
 def loops(spark, d):
     pieces = sequence.roll_loops(v_events(spark, d), ["session_id"], ["file_index"], "api")
     whole = sequence.blocks(pieces, ["session_id"])
