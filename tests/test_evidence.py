@@ -183,6 +183,40 @@ def test_closure_on_a_cycle(spark):
     assert {(r.node, r.hop) for r in lineage.closure(anchors, edges).collect()} == {("a", 0), ("c", 1), ("b", 2)}
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    edges = spark.range(10_000).selectExpr("id as `from`", "id + 1 as `to`")
+    anchors = spark.createDataFrame([(1, 10_000), (2, 3)], "anchor_id INT, node BIGINT")
+    reached, rounds = lineage.reach(anchors, edges)
+    assert rounds <= 15 and {(r.anchor_id, r.node, r.hop) for r in reached.collect()} == {(1, n, 10_000 - n) for n in range(10_001)} | {(2, n, 3 - n) for n in range(4)}
+
+
+def test_shared_reach_equals_plain_walks(spark):
+    rng = random.Random(3)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(110)}
+    starts = [(n, rng.randrange(60)) for n in range(200)] + [(1 << 40, 5)]
+    into = {t: {a for a, b in pairs if b == t} for t in range(60)}
+    want = set()
+    for number, node in starts:
+        seen, todo = {node}, [node]
+        while todo:
+            new = into[todo.pop()] - seen
+            seen |= new
+            todo += new
+        want |= {(number, x) for x in seen}
+    marks = lineage.shared_reach(spark.createDataFrame(starts, "number BIGINT, node INT"), spark.createDataFrame(sorted(pairs), "from INT, to INT"))
+    rows = marks.collect()
+    assert len({(r.node, r.word) for r in rows}) == len(rows)
+    assert {(64 * r.word + b, r.node) for r in rows for b in range(64) if r.bits >> b & 1} == want
+
+
+def test_subdags_of_different_keys_stay_apart(spark):
+    edges = spark.createDataFrame([("a", "x", "y", "left", 1), ("b", "z", "y", "left", 1)], "anchor_id STRING, from STRING, to STRING, role STRING, op BIGINT")
+    values = spark.createDataFrame([("a", "y", "v"), ("b", "y", "v")], "anchor_id STRING, ref STRING, value STRING")
+    fields = spark.createDataFrame([("a", "f", "v"), ("a", "g", "v")], "anchor_id STRING, field STRING, value STRING")
+    got = lineage.field_subdag(fields, values, edges, ["anchor_id"]).collect()
+    assert {(r.anchor_id, r.field, r["from"]) for r in got} == {("a", "f", "x"), ("a", "g", "x")}
+
+
 def test_field_diff(spark):
     rows = [("g", 1, "tok", "aaaa;bbbb;cccc"), ("g", 2, "tok", "aaaa;bXbb;dddd"), ("g", 1, "gone", "x;y")]
     df = spark.createDataFrame(rows, "group_id STRING, run_id INT, token STRING, value STRING")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,38 +64,90 @@ def ref_materials(refs_used: DataFrame, values: DataFrame, keys: list[str]) -> D
     return joined.withColumn("value", F.coalesce("value", lit["text"]))
 
 
+# --- walks backward over edges
+#
+# Rounds double their stride: beside what is reached so far (all walks shorter than 2^k) there are jumps, the pairs of
+# nodes that a walk of exactly 2^k edges connects. Following jumps once reaches all walks shorter than 2^(k+1), and jumps
+# joined with themselves are those of the next round. A shortest walk splits into strides of powers of two, so hops stay
+# minimal; a round that reaches nothing new is the last, also on cycles.
+
+
+def _jumps(edges: DataFrame) -> DataFrame:
+    hops = edges.select(F.col("from").alias("_from"), F.col("to").alias("_to")).where(~F.col("_from").eqNullSafe(F.col("_to")))
+    return cut_lineage(hops.distinct())
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    near = jumps.select("_from", F.col("_to").alias("_by"))
+    far = jumps.select(F.col("_from").alias("_by"), "_to")
+    return cut_lineage(near.join(far, "_by").select("_from", "_to").distinct())
+
+
+def reach(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id") -> tuple[DataFrame, int]:
+    """(closure, rounds): see ``closure``; rounds are the logarithm of the longest shortest walk, plus one."""
+    jumps = _jumps(edges)
+    reached = cut_lineage(anchors.select(anchor, "node").distinct().withColumn("hop", F.lit(0)))
+    known, stride = reached.count(), 1
+    for rounds in count(1):
+        further = reached.join(jumps, F.col("node") == F.col("_to")).select(anchor, F.col("_from").alias("node"), (F.col("hop") + stride).alias("hop"))
+        reached = cut_lineage(reached.unionByName(further).groupBy(anchor, "node").agg(F.min("hop").alias("hop")))
+        before, known = known, reached.count()
+        if known == before:
+            return reached, rounds
+        jumps, stride = _doubled(jumps), 2 * stride
+
+
 def closure(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id") -> DataFrame:
-    """Nodes reachable backward (to <- from) from each anchor's nodes, with their hop.
+    """Nodes reachable backward (to <- from) from each anchor's nodes, with their least hop.
+
+    Narrow, de-duplicated pairs; each round is checkpointed, so a lost executor recomputes one round and the plan does
+    not grow.
+    """
+    return reach(anchors, edges, anchor)[0]
+
 
-    Breadth first on narrow, de-duplicated pairs. Each round joins only the newest
-    nodes and is checkpointed, so a lost executor recomputes one round and the plan
-    does not grow; the edges are stored once. Rounds equal the longest path.
+# Anchors whose marks share one whole number on a node.
+WORD = 64
+
+
+def shared_reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, word, bits): which of the numbered starts reach each node backward.
+
+    ``starts`` is (number, node). A node has one row for up to 64 starts, not one for each, so ancestors that many starts
+    share are walked once for all of them.
     """
-    hops = cut_lineage(edges.select(F.col("from").alias("_from"), F.col("to").alias("_to")).distinct())
-    fresh = cut_lineage(anchors.select(anchor, "node").distinct().withColumn("hop", F.lit(0)))
-    reached = fresh
-    rounds = 0
-    while not fresh.isEmpty():
-        rounds += 1
-        step = fresh.join(hops, F.col("node") == F.col("_to")).select(anchor, F.col("_from").alias("node")).distinct()
-        new = step.join(reached.select(anchor, "node"), [anchor, "node"], "left_anti")
-        fresh = cut_lineage(new.withColumn("hop", F.lit(rounds)))
-        reached = reached.unionByName(fresh)
-        if rounds % 16 == 0:
-            reached = cut_lineage(reached)
-    return reached
-
-
-def field_subdag(fields: DataFrame, values: DataFrame, edges: DataFrame) -> DataFrame:
+    jumps = _jumps(edges)
+    bit = F.expr(f"shiftleft(1L, cast(number % {WORD} as int))")
+    marks = starts.select("node", F.expr(f"number div {WORD}").alias("word"), bit.alias("bits"))
+    marks = cut_lineage(marks.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    set_bits = lambda df: df.agg(F.sum(F.bit_count("bits"))).first()[0]
+    known = set_bits(marks)
+    while True:
+        further = marks.join(jumps, F.col("node") == F.col("_to")).select(F.col("_from").alias("node"), "word", "bits")
+        marks = cut_lineage(marks.unionByName(further).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+        before, known = known, set_bits(marks)
+        if known == before:
+            return marks
+        jumps = _doubled(jumps)
+
+
+def field_subdag(fields: DataFrame, values: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Edges that lead to each field's value.
 
-    ``fields`` is (anchor_id, field, value); a field starts at every reference whose
-    first value equals it.
+    ``fields`` is (anchor_id, field, value); a field starts at every reference whose first value equals it. ``keys`` are
+    equality columns of all three tables: graphs of different keys are apart.
     """
-    named = fields.withColumn("_field", F.struct("anchor_id", "field"))
-    starts = named.join(values, "value").select("_field", F.col("ref").alias("node"))
-    nodes = closure(starts, edges, "_field")
-    kept = nodes.join(edges, F.col("node") == F.col("to")).select(
-        F.col("_field.anchor_id").alias("anchor_id"), F.col("_field.field").alias("field"), "from", "to", "role", "op"
-    )
-    return kept.distinct()
+    keys = keys or []
+    node = lambda c: F.struct(*keys, F.col(c).alias("ref"))
+    named = fields.select(*dict.fromkeys(["anchor_id", "field", *keys]), "value").join(values.select(*keys, "ref", "value"), [*keys, "value"])
+    named = cut_lineage(named.select("anchor_id", "field", node("ref").alias("node")))
+    # Fields of an anchor get neighbouring numbers, as they share most ancestors.
+    listed = named.select("anchor_id", "field").distinct().orderBy("anchor_id", "field")
+    numbers = cut_lineage(listed.withColumn("number", F.monotonically_increasing_id()))
+    graph = cut_lineage(edges.select(node("from").alias("from"), node("to").alias("to"), "role", "op"))
+    marks = shared_reach(named.join(numbers, ["anchor_id", "field"]).select("number", "node"), graph)
+    hit = graph.join(marks, F.col("to") == F.col("node")).select("from", "to", "role", "op", "word", "bits")
+    bits = F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(bits, b) = 1)")
+    each = hit.select("from", "to", "role", "op", "word", F.explode(bits).alias("bit"))
+    each = each.withColumn("number", F.col("word") * WORD + F.col("bit"))
+    return each.join(numbers, "number").select("anchor_id", "field", F.col("from.ref").alias("from"), F.col("to.ref").alias("to"), "role", "op").distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceframe.functions import text
-from traceframe.operators import derive, evidence, profile
+from traceframe.operators import derive, evidence, lineage, profile
 from traceframe.operators.containment import containment_pairs
+from traceframe.plans import explain as explain_plan
 from traceframe.plans.catalogue import query
 from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_EVENTS, spread, table, v_events
 from traceframe.plans.nested_queries import LEAVES_SQL, _json_events
@@ -107,6 +108,41 @@ def pairing(spark, d):
     return out.select("anchor_id", "label", "evidence", "material_events", "first_d_ms", "length")
 
 
+@query(
+    "artifact",
+    f"""WITH RECURSIVE {STRINGS_SQL},
+mat AS (SELECT m.a, m.label, r.api, r.d, substr(sha256(r.v), 1, 8) AS sha FROM m JOIN rows_ r ON r.a = m.a AND r.v = m.v),
+g AS (SELECT a, label, count(*) AS materials, arg_min(sha, (d, sha, api)) AS first_sha FROM mat GROUP BY a, label),
+ops AS (SELECT conv_id AS a, turn AS op, split_part(text, '.', 1) AS v FROM conversations),
+e AS (SELECT x.a, x.op - 1 AS f, x.op AS t FROM ops x),
+walk AS (SELECT fields.a, label, op AS node FROM fields JOIN ops ON ops.a = fields.a AND ops.v = fields.fv
+  UNION SELECT walk.a, label, e.f FROM walk JOIN e ON e.a = walk.a AND e.t = walk.node),
+s AS (SELECT walk.a, label, count(*) AS n FROM walk JOIN e ON e.a = walk.a AND e.t = walk.node GROUP BY 1, 2)
+SELECT fields.a AS anchor_id, fields.label, CAST(least(coalesce(materials, 0), {explain_plan.POOL_ROWS}) AS INTEGER) AS materials, first_sha,
+  coalesce(s.n, 0) AS subdag_edges
+FROM fields LEFT JOIN g ON g.a = fields.a AND g.label = fields.label LEFT JOIN s ON s.a = fields.a AND s.label = fields.label""",
+)
+def artifact(spark, d):
+    """Fields of every turn of a conversation; each turn's first sentence is made from the turn before."""
+    rows, matches, fields = _timeline(spark, d)
+    c = table(spark, d, "conversations")
+    ref = lambda c: F.concat(F.lit("turn:"), c.cast("string"))
+    member = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    members = F.array(
+        member("left_ref", ref(F.col("turn") - 1)), member("result_ref", ref(F.col("turn"))),
+        member("result", F.substring_index("text", ".", 1)),
+    )
+    refs = c.select(F.col("conv_id").alias("anchor_id"), F.col("turn").alias("op"), F.explode(members).alias("m"))
+    edges, _, _, values = lineage.dag(refs.select("anchor_id", "op", "m.key", "m.value"), ["anchor_id"])
+    named = fields.select("anchor_id", F.col("label").alias("field"), F.col("field_value").alias("value"))
+    made = explain_plan.artifact({
+        "materials_timeline": rows, "field_matches": matches, "pairing": evidence.pairing(rows, matches, fields),
+        "field_subdag": lineage.field_subdag(named, values, edges, ["anchor_id"]),
+    })
+    first = F.col("materials")[0]["value_sha"]
+    return made.select("anchor_id", "label", F.coalesce(F.size("materials"), F.lit(0)).alias("materials"), first.alias("first_sha"), "subdag_edges")
+
+
 @query(
     "token_provenance",
     """WITH t AS (SELECT conv_id, text AS v FROM conversations

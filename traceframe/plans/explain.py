@@ -104,11 +104,13 @@ def explain(
     rows, matches = evidence.timeline(strings, fields, params)
     rows, matches = cut_lineage(rows), cut_lineage(matches)
     paired = evidence.pairing(rows, matches, leaf)
-    inputs = evidence.with_full_value(
-        rows.where(evidence.is_input_row(F.col("api"), F.col("value_preview"))), strings)
+    # What is an input shows in the whole value, not in its preview.
+    inputs = evidence.with_full_value(rows, strings).where(evidence.is_input_row(F.col("api"), F.col("full_value")))
     outputs = evidence.with_full_value(rows.where(F.col("api").endswith(".ret")), strings)
     refs = lineage.argument_refs(ops, ["anchor_id"])
     edges, producers, leaves, values = lineage.dag(refs, ["anchor_id"])
+    named_fields = leaf.select("anchor_id", F.col("label").alias("field"), F.col("field_value").alias("value"))
+    subdag = lineage.field_subdag(named_fields, values, edges, ["anchor_id"])
     phases = evidence.phases(ops.withColumn("function", _arg("callsite_function")), emit)
     histogram = ops.groupBy("anchor_id", "api").agg(F.count(F.lit(1)).alias("count"), F.min("file_index").alias("first_index"))
     hot = profile.top_k(
@@ -127,7 +129,7 @@ def explain(
         "anchors": anchors, "tokens": tokens.join(visible, ["anchor_id", "token"], "left"), "ops": op_rows(ops),
         "materials_timeline": rows, "field_matches": matches, "phases": phases, "env": evidence.env_reads(scripts),
         "candidate_inputs": inputs, "candidate_outputs": outputs, "pairing": paired, "fields": leaf,
-        "dag_edges": edges, "dag_producers": producers, "dag_inputs": leaves, "ref_values": values,
+        "field_subdag": subdag, "dag_edges": edges, "dag_producers": producers, "dag_inputs": leaves, "ref_values": values,
         "materials": lineage.ref_materials(leaves.unionByName(producers.select("anchor_id", "ref")), values, ["anchor_id"]),
         "op_histogram": histogram, "hot_functions": hot, "summary": summary,
     }
@@ -138,10 +140,10 @@ POOL_ROWS = 200
 
 
 def artifact(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per (anchor, field): output, evidence and the matching materials and outputs.
+    """Per (anchor, field): output, evidence, the matching materials and outputs, and how many edges lead to it.
 
     The materials of a field are its matches; they are ordered by time and gathered
-    up to the pool size, which the artefact defines.
+    up to the pool size, which the artefact defines. The edges themselves are rows of ``field_subdag``.
     """
     rows = tables["materials_timeline"].select("anchor_id", "value_sha", "api", "d_ms", "value_preview", "count")
     seen = tables["field_matches"].join(rows, ["anchor_id", "value_sha"])
@@ -152,9 +154,12 @@ def artifact(tables: dict[str, DataFrame]) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~is_output, item))).alias("materials"),
         F.array_sort(F.collect_list(F.when(is_output, item))).alias("outputs"),
     )
-    return tables["pairing"].select(
+    edges = tables["field_subdag"].groupBy("anchor_id", F.col("field").alias("label")).agg(F.count(F.lit(1)).alias("subdag_edges"))
+    fields = tables["pairing"].select(
         "anchor_id", "label", F.col("field_value").alias("output_value"), "length", "evidence", "match_kinds", "first_d_ms"
-    ).join(gathered, ["anchor_id", "label"], "left")
+    )
+    out = fields.join(gathered, ["anchor_id", "label"], "left").join(edges, ["anchor_id", "label"], "left")
+    return out.withColumn("subdag_edges", F.coalesce("subdag_edges", F.lit(0)))
 
 
 def candidate_rows(tables: dict[str, DataFrame], kind: str) -> DataFrame:

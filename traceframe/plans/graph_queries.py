@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceframe.operators import causal, diff, lineage, sequence
+from traceframe.operators.ordered import with_previous
 from traceframe.plans.catalogue import query
 from traceframe.plans.driverviews import V_EVENTS, micros, table, v_events
 
@@ -217,6 +218,40 @@ def lineage_closure(spark, d):
     return lineage.closure(anchors, edges)
 
 
+@query(
+    "lineage_chain",
+    f"""WITH {V_EVENTS}
+SELECT session_id AS anchor_id, file_index AS node, CAST(row_number() OVER (PARTITION BY session_id ORDER BY file_index DESC) - 1 AS INTEGER) AS hop
+FROM v_events""",
+)
+def lineage_chain(spark, d):
+    """All events that lead to the last one of each session, each event coming from the one before: long chains."""
+    e = v_events(spark, d).select("session_id", "file_index")
+    edges = with_previous(e, ["session_id"], ["file_index"], ["file_index"]).where("prev_file_index is not null")
+    anchors = e.groupBy(F.col("session_id").alias("anchor_id")).agg(F.max("file_index").alias("node"))
+    return lineage.closure(anchors, edges.select(F.col("prev_file_index").alias("from"), F.col("file_index").alias("to")))
+
+
+@query(
+    "field_subdag",
+    """WITH RECURSIVE c AS (
+  SELECT doc_id AS field, doc_id AS node FROM documents UNION ALL SELECT field, node // 2 FROM c WHERE node > 0)
+SELECT d.source AS anchor_id, c.field, 'doc:' || CAST(c.node // 2 AS VARCHAR) AS "from", 'doc:' || CAST(c.node AS VARCHAR) AS "to", 'left' AS role, c.node AS op
+FROM c JOIN documents d ON d.doc_id = c.field JOIN documents p ON p.doc_id = c.node WHERE c.node > 0""",
+)
+def field_subdag(spark, d):
+    """A document is made from the one of half its number; each is a field of its source."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    ref = lambda c: F.concat(F.lit("doc:"), c.cast("string"))
+    member = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    half = F.expr("doc_id div 2")
+    members = F.explode(F.array(member("left_ref", ref(half)), member("result_ref", ref(F.col("doc_id"))), member("result", F.concat(F.lit("v"), F.col("doc_id").cast("string")))))
+    refs = docs.select(F.lit("docs").alias("trace_id"), F.col("doc_id").alias("op"), members.alias("m")).select("trace_id", "op", "m.key", "m.value")
+    edges, _, _, values = lineage.dag(refs, ["trace_id"])
+    fields = docs.select(F.col("source").alias("anchor_id"), F.col("doc_id").alias("field"), F.lit("docs").alias("trace_id"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("value"))
+    return lineage.field_subdag(fields, values, edges, ["trace_id"])
+
+
 def _runs(spark, d):
     e = v_events(spark, d)
     day = F.floor(F.col("mono_time_us") / 86_400_000_000)
