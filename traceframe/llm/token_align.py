@@ -14,8 +14,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import ChainMap
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse, islice
 from struct import pack
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import Bounded, as_bytes, in_slices, stored, texts
+from traceframe.llm.common import as_bytes, in_slices, stored, texts
 from traceframe.llm.token_counts import byte_alphabet
 from traceframe.llm.tokens import KEEP_BYTES, TEXT_LATIN, TEXT_PLAIN, Pretokens, vocabulary_file
 
@@ -35,6 +36,8 @@ BLANK_BYTES = BLANK.encode()
 FREQUENT = 1 << 16
 #: Linked pairs that a task holds at once; a document with more is taken in rounds over its ids.
 PAIRS_AT_ONCE = 4_000_000
+#: Parts of texts whose ids a worker keeps, for each file.
+CACHED = 250_000
 #: Pairs of a task that are summed up in between.
 COUNT_AT = 4_000_000
 
@@ -63,7 +66,7 @@ def packed(ids: list[int]) -> bytes:
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> Encoder:
     """A byte-level file applied to a blank and the text; its special strings are plain text."""
-    parts = Pretokens(path, TEXT_PLAIN, TEXT_LATIN, False, packed)
+    parts = Pretokens(path, TEXT_PLAIN, TEXT_LATIN, False, packed, limit=CACHED)
     parts.library.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
@@ -94,16 +97,25 @@ def piece_level(path: str) -> Encoder:
     names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
     pieces = [bytes([int(x[3:5], 16)]) if library.is_byte(i) else x.replace(BLANK, " ").encode() for i, x in enumerate(names)]
     by_parts = not any(BLANK in x.lstrip(BLANK) for x in names)
-    encode = lambda raw: packed(library.encode(raw[1:].decode()))
     # The library adds no blank to an empty text, so a single blank at the end is its own case.
-    known = Bounded(lambda part: encode(part) if len(part) > 1 else packed([library.piece_to_id(BLANK)]))
-
-    def ids_of(raw: bytes) -> bytes:
-        if not by_parts or BLANK_BYTES in raw:
-            return encode(raw)
-        return b"".join([known[x] if len(x) <= KEEP_BYTES else encode(x) for x in BLANKS_AND_WORD.findall(raw)])
-
-    return Encoder(lambda raw: [ids_of(x) for x in raw], pieces)
+    known = {b" ": packed([library.piece_to_id(BLANK)])}
+
+    def encode(raw: list[bytes]) -> list[bytes]:
+        lists = [[x] if not by_parts or BLANK_BYTES in x else BLANKS_AND_WORD.findall(x) for x in raw]
+        if len(known) > CACHED:
+            # What was met first is what is met most; the later half goes.
+            for part in list(islice(known, CACHED // 2, None)):
+                del known[part]
+        missing = set()
+        for parts in lists:
+            missing.update(filterfalse(known.__contains__, parts))
+        missing, long = list(missing), {}
+        for part, ids in zip(missing, library.encode([x[1:].decode() for x in missing], num_threads=1)):
+            (known if len(part) <= KEEP_BYTES else long)[part] = packed(ids)
+        table = ChainMap(long, known) if long else known
+        return [b"".join(map(table.__getitem__, parts)) for parts in lists]
+
+    return Encoder(encode, pieces)
 
 
 def joined(ids: pa.ListArray, encoder: Encoder) -> pa.Array:
@@ -121,10 +133,10 @@ def ends(ids: pa.ListArray, encoder: Encoder) -> pa.Table:
 def grouped(a: pa.Table, b: pa.Table) -> tuple[pa.Table, pa.Table]:
     """Both tables with ``group``: the number of common ends before the token's own end."""
     # Tokens without bytes end where another does; the last one at an end closes its group.
-    last = [t.group_by("end", use_threads=False).aggregate([("place", "max")]) for t in (a, b)]
+    last = [t.select(["end", "place"]).filter(pa.array(np.diff(t["end"].to_numpy(), append=-1) != 0)) for t in (a, b)]
     common = last[0].join(last[1], "end", join_type="inner", right_suffix="_b", use_threads=False)
     out = []
-    for table, column in ((a, "place_max"), (b, "place_max_b")):
+    for table, column in ((a, "place"), (b, "place_b")):
         closes = np.zeros(table.num_rows, np.int64)
         closes[common[column].to_numpy()] = 1
         out.append(table.append_column("group", pa.array(np.cumsum(closes) - closes)))
@@ -146,15 +158,23 @@ def digests(a: pa.Table, b: pa.Table, encoders: tuple[Encoder, Encoder], n_texts
 
 
 def linked(a: pa.Table, b: pa.Table) -> pa.Table:
-    """text, pair (both ids in one number) and how many links it has there; both tables hold whole groups.
+    """text, pair (both ids in one number) and how many links it has there; both tables hold whole groups of ``b``.
 
-    Ids of a group are counted before they meet, so a group costs its different pairs and not all its links.
+    Groups of one token on each side are their link. Ids of other groups are counted before they meet, so a
+    group costs its different pairs and not all its links.
     """
-    sides = [t.group_by(["text", "group", "id"], use_threads=False).aggregate([("id", "count")]) for t in (a, b)]
+    groups = [t["group"].to_numpy() for t in (a, b)]
+    n = 1 + max((int(g[-1]) for g in groups if len(g)), default=-1)
+    sizes = [np.bincount(g, minlength=n) for g in groups]
+    plain = (sizes[0] == 1) & (sizes[1] == 1)
+    single = [t.filter(pa.array(plain[g])) for t, g in zip((a, b), groups)]
+    sides = [t.filter(pa.array(~plain[g])).group_by(["text", "group", "id"], use_threads=False).aggregate([("id", "count")]) for t, g in zip((a, b), groups)]
     met = sides[0].join(sides[1].drop_columns(["text"]), "group", join_type="inner", right_suffix="_b", use_threads=False)
-    pair = pc.add(pc.shift_left(met["id"].cast(pa.int64()), 32), met["id_b"].cast(pa.int64()))
-    links = pc.multiply(met["id_count"], met["id_count_b"])
-    table = pa.table({"text": met["text"], "pair": pair, "links": links})
+    pair = lambda x, y: pc.add(pc.shift_left(x.cast(pa.int64()), 32), y.cast(pa.int64()))
+    table = pa.concat_tables([
+        pa.table({"text": single[0]["text"], "pair": pair(single[0]["id"], single[1]["id"]), "links": pa.array(np.ones(single[0].num_rows, np.int64))}),
+        pa.table({"text": met["text"], "pair": pair(met["id"], met["id_b"]), "links": pc.multiply(met["id_count"], met["id_count_b"])}),
+    ])
     return table.group_by(["text", "pair"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["text", "pair", "links"]).sort_by("text")
 
 
