@@ -1,7 +1,7 @@
 """Public tokenizer files applied by pre-token, with a cache of what each pre-token becomes.
 
 Merges never cross pre-tokens, so a text is split as the file splits it and each pre-token is looked
-up; only unknown ones are encoded, by the library, in batches. Texts whose characters lie beyond Latin letters, and
+up (where the file allows, whole words first); only unknown ones are encoded, by the library, in batches. Texts whose characters lie beyond Latin letters, and
 texts with special strings, go to the library whole.
 """
 
@@ -84,13 +84,32 @@ class Pretokens:
 
 
 class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; for the file that lower-cases."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers; for the file that lower-cases and drops white space.
+
+    No pre-token crosses white space there, so the first tier is keyed by whole words, which C code splits and looks up;
+    only words that it does not hold are split into pre-tokens.
+    """
 
     def __init__(self, path: str, limit: int = 400_000):
-        self.pretokens = Pretokens(path, WORD_PLAIN, WORD_LATIN, True, lambda ids: pack(f"<{len(ids)}I", *ids), limit=limit)
+        self.pretokens = Pretokens(path, WORD_PLAIN, WORD_LATIN, True, lambda ids: pack(f"<{len(ids)}I", *ids), limit=limit // 4)
+        self.limit, self.words = limit, {}
 
     def __call__(self, raw: list[bytes]) -> list[bytes]:
-        return self.pretokens.values(raw, b"".join)
+        whole = {i for i, x in enumerate(raw) if BEYOND_LATIN.search(x)}
+        lists = [() if i in whole else x.lower().split() for i, x in enumerate(raw)]
+        if len(self.words) > self.limit:
+            # What was met first is what is met most; the later half goes.
+            self.words = dict(islice(self.words.items(), self.limit // 2))
+        missing = list(set().union(*lists).difference(self.words.keys()))
+        made = self.pretokens.values(missing, b"".join)
+        long = {w: ids for w, ids in zip(missing, made) if len(w) > KEEP_BYTES}
+        self.words.update((w, ids) for w, ids in zip(missing, made) if len(w) <= KEEP_BYTES)
+        # The few that are too long to keep stand in front of the kept ones for this call.
+        table = ChainMap(long, self.words) if long else self.words
+        out = [b"".join(map(table.__getitem__, words)) for words in lists]
+        for i, ids in zip(whole, self.pretokens.values([raw[i] for i in whole], b"".join)):
+            out[i] = ids
+        return out
 
 
 class TokenLengths:
