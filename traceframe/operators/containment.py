@@ -1,33 +1,49 @@
 """Which texts contain which needles, without comparing every pair.
 
-A needle is filed under one of its own short substrings (a gram); a text asks for
-every gram it has. Grams meet in an equi-join, which the planner broadcasts when the
-needles are small and shuffles otherwise, and only pairs that share a gram are
-compared. Needles shorter than the gram length are filed whole, under their length,
-and such common grams are salted.
+Texts and needles are bytes, cut into windows; window lengths are powers of two, and a needle belongs to the longest
+that fits it. Fingerprints of all windows of the texts are counted in a fixed number of slots. A needle is filed under
+the one of its windows whose slot is rarest, and a map of the filed fingerprints, as large as the slots, lets only
+windows that may be filed leave their text: as a fingerprint and a position, never with the text. Those that meet a needle
+are compared with the text at that very place, and a text travels once. Fingerprints that stay common are salted by
+their count, so a letter that all texts hold is no hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Gram lengths; a needle uses the longest one that fits it.
-SIZES = (1, 2, 3, 4, 8, 16, 32)
-STEP = 512
-# The gram of a needle is looked for among its first characters.
-LEAD = 64
-# Needles up to this length are compared with a piece of a text, longer ones with the whole text.
-LOCAL_MAX = 4096
-# Grams below this length are common in any text, so each is spread over SALTS keys.
-COMMON = 8
-SALTS = 16
+# Window lengths in bytes; a needle uses the longest one that fits it.
+SIZES = (1, 2, 4, 8, 16, 32)
+# Texts are cut into blocks of this many bytes, so that one long text is many bounded rows.
+BLOCK = 1 << 16
+# Slots in which windows are counted, each with 64 marks of filed fingerprints; the table is broadcast.
+SLOTS = 1 << 16
+# Windows of a slot for which a needle is filed once more.
+SALT_AT = 100_000
 
 
-def _size(length: str) -> str:
-    """SQL for the gram length of a needle of the given length."""
-    steps = " ".join(f"WHEN {length} >= {n} THEN {n}" for n in reversed(SIZES))
-    return f"CASE {steps} END"
+def _size(length: Column) -> Column:
+    """The window length of a needle of the given length."""
+    out = F.lit(SIZES[0])
+    for n in SIZES[1:]:
+        out = F.when(length >= n, n).otherwise(out)
+    return out
+
+
+def _windows(data: str, size: str) -> Column:
+    """Fingerprints of all windows of ``size`` bytes, in order."""
+    last = f"octet_length({data}) - {size} + 1"
+    return F.expr(f"CASE WHEN {last} > 0 THEN transform(sequence(1, {last}), i -> xxhash64(substring({data}, i, {size}), {size})) ELSE array() END")
+
+
+def _slot(fingerprint: str) -> Column:
+    return F.pmod(F.col(fingerprint), F.lit(SLOTS))
+
+
+def _mark(fingerprint: str) -> Column:
+    """One of the 64 marks of a slot."""
+    return F.expr(f"shiftleft(1L, cast(pmod(shiftright({fingerprint}, 32), 64) AS INT))")
 
 
 def containment_pairs(
@@ -37,49 +53,49 @@ def containment_pairs(
     """Distinct (keys, text_id, needle_id) with the needle inside the text, exact.
 
     ``keys`` are further equality columns; empty needles match nothing. Nothing runs
-    before the result is read: the gram lengths in use are a scalar subquery.
+    before the result is read: the window lengths in use are a scalar subquery.
     """
-    needles = needles.where(F.length(needle) > 0)
-    in_use = needles.agg(F.collect_set(F.expr(_size(f"length({needle})")))).scalar()
-
-    size = _size("length(_needle)")
-    leads = f"sequence(1, greatest(1, least(length(_needle), {LEAD}) - {size} + 1))"
-    # Filed under the gram with the smallest hash, so a common opening is no hot key.
-    filed = needles.select(*keys, needle_id, F.col(needle).alias("_needle")).withColumn("_gram", F.expr(
-        f"array_min(transform({leads}, i -> struct(xxhash64(substr(_needle, i, {size})) AS h, "
-        f"substr(_needle, i, {size}) AS g))).g"
-    ))
-    salts = F.sequence(F.lit(0), F.when(F.length("_gram") < COMMON, F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    filed = filed.withColumn("_salt", F.explode(salts))
-    length = F.length(text)
-    numbers = F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / STEP).cast("int"))
-
-    # The middle STEP characters supply grams; the rest is context for comparing. Pieces
-    # come out of a generator, so each is cut from its text once and then only read.
-    def piece(k):
-        begin = F.greatest(k * STEP - LEAD, F.lit(0))
-        body = F.substr(F.col(text), begin + 1, k * STEP - begin + STEP + LOCAL_MAX)
-        core = F.substr(F.col(text), k * STEP + 1, F.lit(STEP + max(SIZES) - 1))
-        return F.struct(k.alias("k"), core.alias("core"), body.alias("piece"))
-
-    cut = texts.where(length > 0).select(*keys, text_id, F.explode(F.transform(numbers, piece)).alias("_p"))
-    pieces = cut.select(*keys, text_id, F.col("_p.k").alias("_k"), F.col("_p.piece").alias("_piece"))
-    # Every gram of one length by a lookahead match; its length tells the sizes apart.
-    starts = lambda n: (
-        f"CASE WHEN array_contains(_sizes, {n}) THEN "
-        f"regexp_extract_all(substr(_p.core, 1, {STEP + n - 1}), '(?s)(?=(.{{{n}}}))', 1) ELSE array() END"
+    data = F.encode(F.col(needle), "UTF-8")
+    asked = needles.where(F.length(needle) > 0).select(*keys, needle_id, data.alias("_needle"))
+    asked = asked.withColumn("_size", _size(F.octet_length("_needle")))
+    in_use = asked.agg(F.collect_set("_size")).scalar()
+
+    blocks = F.sequence(F.lit(0), F.floor((F.octet_length("_data") - 1) / BLOCK).cast("int"))
+    whole = texts.where(F.length(text) > 0).select(*keys, text_id, F.encode(F.col(text), "UTF-8").alias("_data"))
+    block = lambda k: F.struct((k * BLOCK).alias("at"), F.substr(F.col("_data"), k * BLOCK + 1, F.lit(BLOCK + max(SIZES) - 1)).alias("bytes"))
+    cut = whole.select(*keys, text_id, F.explode(F.transform(blocks, block)).alias("_b"))
+    sized = cut.select(*keys, text_id, F.col("_b.at").alias("_at"), F.col("_b.bytes").alias("_bytes"), F.explode(in_use).alias("_size"))
+    # Windows that reach into the next block belong to this one; those that start there do not.
+    windows = F.slice(_windows("_bytes", "_size"), 1, BLOCK)
+    seen = sized.select(*keys, text_id, "_at", "_size", F.posexplode(windows).alias("_i", "_print"))
+
+    counts = seen.groupBy(_slot("_print").alias("_slot")).agg(F.count(F.lit(1)).alias("_count"))
+    own = asked.select(*keys, needle_id, "_size", F.posexplode(_windows("_needle", "_size")).alias("_offset", "_print"))
+    rare = F.min(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), F.col("_print").alias("print"), F.col("_offset").alias("offset"))).alias("_rare")
+    rarest = own.withColumn("_slot", _slot("_print")).join(F.broadcast(counts), "_slot", "left").groupBy(*keys, needle_id).agg(rare)
+    filed = asked.join(rarest, [*keys, needle_id]).select(
+        *keys, needle_id, "_needle", "_size", F.col("_rare.print").alias("_print"), F.col("_rare.offset").alias("_offset"), F.col("_rare.count").alias("_count"),
+    )
+    exact = F.octet_length("_needle") == F.col("_size")
+    # Marks of whole needles, of which one place in a text is enough, and of parts of needles, of which all are looked at.
+    marks = filed.groupBy(_slot("_print").alias("_slot")).agg(
+        F.bit_or(F.when(exact, _mark("_print")).otherwise(0)).alias("_wholes"), F.bit_or(F.when(~exact, _mark("_print")).otherwise(0)).alias("_parts"),
+        F.max("_count").alias("_count"),
     )
-    grams = F.explode(F.expr("concat(" + ", ".join(starts(n) for n in SIZES) + ")")).alias("_gram")
-    # Only short rows meet in the join; text comes back for the pairs that met.
-    asked = cut.withColumn("_sizes", in_use).select(*keys, text_id, F.col("_p.k").alias("_k"), grams)
-    salt = F.when(F.length("_gram") < COMMON, F.pmod(F.xxhash64(F.col(text_id), "_k"), F.lit(SALTS)).cast("int"))
-    met = asked.withColumn("_salt", F.coalesce(salt, F.lit(0))).join(filed, [*keys, "_gram", "_salt"])
-    short = F.length("_needle") <= LOCAL_MAX
-    candidates = met.where(short).select(*keys, text_id, "_k", needle_id, "_needle").distinct()
-    near = pieces.join(candidates, [*keys, text_id, "_k"])
-    inside = near.where(F.contains("_piece", F.col("_needle"))).select(*keys, text_id, needle_id)
-    pairs = met.where(~short).select(*keys, text_id, needle_id).distinct()
-    back = pairs.join(needles.select(*keys, needle_id, F.col(needle).alias("_needle")), [*keys, needle_id])
-    back = back.join(texts.select(*keys, text_id, F.col(text).alias("_text")), [*keys, text_id])
-    around = back.where(~short & F.contains("_text", F.col("_needle"))).select(*keys, text_id, needle_id)
-    return inside.unionByName(around).distinct()
+    met = seen.withColumn("_slot", _slot("_print")).join(F.broadcast(marks), "_slot")
+    marked = lambda c: F.col(c).bitwiseAND(_mark("_print")) != 0
+    salts = F.floor(F.col("_count") / SALT_AT)
+    salt = F.pmod(F.xxhash64(text_id), salts + 1).alias("_salt")
+    filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts))).drop("_count")
+    on = [*keys, "_size", "_print", "_salt"]
+
+    places = met.where(marked("_parts")).select(*keys, text_id, "_size", "_print", salt, (F.col("_at") + F.col("_i")).alias("_place"))
+    near = places.join(filed.where(~exact), on).select(*keys, text_id, needle_id, "_needle", (F.col("_place") - F.col("_offset") + 1).alias("_start"))
+    same = F.substr(F.col("_data"), F.col("_start"), F.octet_length("_needle")) == F.col("_needle")
+    inside = near.where("_start > 0").join(whole, [*keys, text_id]).where(same).select(*keys, text_id, needle_id)
+
+    wholes = met.where(marked("_wholes")).select(*keys, text_id, "_size", "_print", salt).distinct()
+    there = wholes.join(filed.where(exact), on).select(*keys, text_id, needle_id, "_needle")
+    # Equal fingerprints are not yet equal bytes: the text has the last word.
+    there = there.join(whole, [*keys, text_id]).where(F.contains("_data", F.col("_needle"))).select(*keys, text_id, needle_id)
+    return inside.unionByName(there).distinct()
