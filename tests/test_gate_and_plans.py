@@ -1,3 +1,4 @@
+import io
 import json
 
 import pytest
@@ -10,7 +11,7 @@ from traceframe.plans.summary import trace_summary
 from traceframe.sources import requests as req
 from traceframe.sources import sinks
 from traceframe.sources.ndjson import scan_ndjson
-from traceframe.streaming import live
+from traceframe.streaming import live, tail
 
 
 def net(i, url, api="BrowserNetwork.request", **arg):
@@ -82,6 +83,75 @@ def test_tail_markers_and_progress(spark, tmp_path):
     assert sorted(got) == [("malformed", "broken"), ("ok", '{"api":"a"}'), ("ok", '{"api":"b"}')]
 
 
+def test_files_that_grow_shrink_and_restart(spark, tmp_path):
+    folder = tmp_path / "live"
+    folder.mkdir()
+    got = []
+
+    def drain():
+        got.clear()
+        q = live.tail_ndjson(spark, str(folder)).select("line", "status", "file_index").writeStream.option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(
+            lambda df, _: got.extend((r.line, r.file_index) for r in df.collect())).start()
+        q.awaitTermination()
+        return sorted(got)
+
+    a = folder / "a.ndjson"
+    a.write_text('{"n":1}\n{"n":')
+    assert drain() == [('{"n":1}', 0)]  # the second line is not ended yet
+    with a.open("a") as f:
+        f.write('2}\n{"n":3}\n')
+    (folder / "b.ndjson").write_text('{"n":9}\n')
+    assert drain() == [('{"n":2}', 8), ('{"n":3}', 16), ('{"n":9}', 0)]
+    assert drain() == []
+    a.write_text('{"m":1}\n')  # smaller than before: written anew
+    assert drain() == [('{"m":1}', 0)]
+
+
+def test_ranges_of_a_file_hold_each_line_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "BACK", 7)
+    data = b"\n".join([b"x" * n for n in (0, 3, 50, 1, 0, 0, 20, 9)] + ["é".encode() * 9, b"rest"])
+    whole = [(at, line) for at, line in tail.lines_between(io.BytesIO(data), 0, len(data))]
+    assert [x for _, x in whole] == data.split(b"\n")[:-1]
+    assert all(data[at : at + len(line)] == line for at, line in whole)
+    for step in (1, 2, 5, 33, 1000):
+        cuts = [(k, min(k + step, len(data))) for k in range(0, len(data), step)]
+        assert [x for a, b in cuts for x in tail.lines_between(io.BytesIO(data), a, b)] == whole
+
+
+def test_a_poll_can_be_bounded(tmp_path):
+    for n in "ab":
+        (tmp_path / n).write_text("x" * 9 + "\n")
+    reader = tail.TailReader(str(tmp_path), 12)
+    first = reader.latestOffset()
+    assert sum(json.loads(first["files"]).values()) == 12
+    second = reader.latestOffset()
+    assert sum(json.loads(second["files"]).values()) == 20
+    lines = [r for one, two in ((reader.initialOffset(), first), (first, second)) for p in reader.partitions(one, two) for b in reader.read(p) for r in b.to_pylist()]
+    assert len(lines) == 2
+
+
+def test_gate_rows_of_a_batch_are_its_changed_traces(spark, tmp_path):
+    folder = tmp_path / "live"
+    folder.mkdir()
+    batches = []
+
+    def drain():
+        events = live.live_events(live.tail_ndjson(spark, str(folder))).withColumn("trace_id", F.element_at(F.split("trace_id", "/"), -1))
+        live.start_gate(events, str(tmp_path / "cp"), lambda df, _: batches.append({r.trace_id: r for r in df.collect()}), poll=None).awaitTermination()
+
+    for n in range(3):
+        (folder / f"t{n}").write_text("\n".join(json.dumps(r) for r in [*NOISE, API]) + "\n")
+    drain()
+    with (folder / "t1").open("a") as f:
+        f.write("\n".join(json.dumps(r) for r in [API, net(7, "https://www.example.test/api/second"), *NOISE]) + "\n")
+    drain()
+    assert set(batches[0]) == {"t0", "t1", "t2"} and set(batches[-1]) == {"t1"}
+    row = batches[-1]["t1"]
+    assert row.matched_endpoints == ["https://www.example.test/api/items", "https://www.example.test/api/second"]
+    assert [(x.resource_class, x.endpoint_count, x.event_count) for x in row.rejected] == [("document_request", 1, 2), ("static_resource", 1, 2), ("telemetry_endpoint", 1, 2)]
+
+
 def test_replays_are_dropped(spark, tmp_path):
     folder = tmp_path / "live"
     folder.mkdir()

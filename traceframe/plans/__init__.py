@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("profile_queries", "text_queries", "nested_queries", "request_queries", "graph_queries", "evidence_queries", "quality_queries", "report_queries")
+_MODULES = ("profile_queries", "text_queries", "nested_queries", "request_queries", "graph_queries", "evidence_queries", "quality_queries", "report_queries", "live_queries")
 
 
 def load_queries():

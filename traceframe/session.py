@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +65,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             configured = tempfile.mkdtemp(prefix="traceframe-checkpoint-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that outlive a plan, in ``spark.checkpoint.dir`` or, in a local session without one, a private place."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="traceframe-work-", dir=os.environ.get("TMPDIR"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
