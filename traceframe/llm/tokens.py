@@ -1,8 +1,8 @@
 """Public tokenizer files applied by pre-token, with a cache of what each pre-token becomes.
 
-Merges never cross pre-tokens, so a text is split as the file splits it and each pre-token is looked
-up (where the file allows, whole words first); only unknown ones are encoded, by the library, in batches. Texts whose characters lie beyond Latin letters, and
-texts with special strings, go to the library whole.
+Merges never cross pre-tokens, so a text is split as the file splits it and each pre-token (where the file
+allows, each word) is looked up; only unknown ones are encoded, by the library, in batches. Texts whose
+characters lie beyond Latin letters, and texts with special strings, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import re
 from collections import ChainMap
 from functools import lru_cache
 from itertools import filterfalse, islice
-from struct import pack
 
+import numpy as np
 import regex
 
 #: Beyond ASCII, the fast split takes only the letters U+00C0 to U+00FF (two of these places are signs).
@@ -23,10 +23,8 @@ BEYOND_LATIN = re.compile(rb"<\||[\xca-\xff]|\xc9[\x90-\xff]")
 #: Longer pre-tokens are encoded but not kept, so the cache is bounded in bytes too.
 KEEP_BYTES = 64
 
-# How the two files split a text before merges, over plain bytes and over Latin text.
+# How the byte-level file splits a text before merges, over plain bytes and over Latin text.
 CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
-WORD_PLAIN = re.compile(rb"[a-z\x80-\xff]+|[0-9]|" + CONTRACTION.encode() + rb"|[^\sa-z0-9\x80-\xff]+")
-WORD_LATIN = regex.compile(rf"\p{{L}}+|\p{{N}}|{CONTRACTION}|[^\s\p{{L}}\p{{N}}]+")
 TEXT_PLAIN = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+|" + CONTRACTION.encode() + rb"| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+")
 TEXT_LATIN = regex.compile(rf" ?\p{{L}}+| ?\p{{N}}+|{CONTRACTION}| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+")
 
@@ -86,13 +84,36 @@ class Pretokens:
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers; for the file that lower-cases and drops white space.
 
-    No pre-token crosses white space there, so the first tier is keyed by whole words, which C code splits and looks up;
-    only words that it does not hold are split into pre-tokens.
+    No pre-token crosses white space there, so texts are split into words and words are looked up, both by C code.
+    Unknown words go to the library many at a time, as one text in which a control character, a token of its own, stands
+    between them. Texts with letters beyond Latin go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.pretokens = Pretokens(path, WORD_PLAIN, WORD_LATIN, True, lambda ids: pack(f"<{len(ids)}I", *ids), limit=limit // 4)
-        self.limit, self.words = limit, {}
+    MARK = "\x01"
+
+    def __init__(self, path: str, limit: int = 800_000):
+        self.library, self.limit, self.words = load(path), limit, {}
+        self.mark = self.ids(self.MARK)
+        self.apart = len(self.mark) == 1 and self.ids(f"a {self.MARK} b") == [*self.ids("a"), *self.mark, *self.ids("b")]
+
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def encoded(self, words: list[bytes], at_once: int = 2000) -> list[bytes]:
+        """The ids of each word."""
+        alone = {i for i, w in enumerate(words) if not self.apart or self.MARK.encode() in w}
+        rest = [w for i, w in enumerate(words) if i not in alone] if alone else words
+        between, out = f" {self.MARK} ", []
+        for start in range(0, len(rest), at_once):
+            some = rest[start : start + at_once]
+            ids = np.array(self.ids(between.join([w.decode() for w in some])), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends)]
+        if alone:
+            others = iter(out)
+            out = [np.array(self.ids(w.decode()), "<u4").tobytes() if i in alone else next(others) for i, w in enumerate(words)]
+        return out
 
     def __call__(self, raw: list[bytes]) -> list[bytes]:
         whole = {i for i, x in enumerate(raw) if BEYOND_LATIN.search(x)}
@@ -101,15 +122,12 @@ class WordIds:
             # What was met first is what is met most; the later half goes.
             self.words = dict(islice(self.words.items(), self.limit // 2))
         missing = list(set().union(*lists).difference(self.words.keys()))
-        made = self.pretokens.values(missing, b"".join)
+        made = self.encoded(missing)
         long = {w: ids for w, ids in zip(missing, made) if len(w) > KEEP_BYTES}
         self.words.update((w, ids) for w, ids in zip(missing, made) if len(w) <= KEEP_BYTES)
         # The few that are too long to keep stand in front of the kept ones for this call.
         table = ChainMap(long, self.words) if long else self.words
-        out = [b"".join(map(table.__getitem__, words)) for words in lists]
-        for i, ids in zip(whole, self.pretokens.values([raw[i] for i in whole], b"".join)):
-            out[i] = ids
-        return out
+        return [np.array(self.ids(raw[i].decode()), "<u4").tobytes() if i in whole else b"".join(map(table.__getitem__, words)) for i, words in enumerate(lists)]
 
 
 class TokenLengths:
