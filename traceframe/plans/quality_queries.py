@@ -175,7 +175,11 @@ def dq_param(spark, d):
     return _plain(requests.parameter_materialisation(e, rules.event_leaves(e), ["sig", "nonce"]))
 
 
-@query("dq_branch")
+@query(
+    "dq_branch",
+    """SELECT 'form_field' AS rule, o_orderkey AS file_index, 'FormData.append:blob_uuid_ref' AS path FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 0
+UNION ALL SELECT 'form_field', o_orderkey, 'FormData.append:value_length' FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 5 = 0""",
+)
 def dq_branch(spark, d):
     """Form entries built from orders: strings and blobs, some with a field left out."""
     o = table(spark, d, "orders")
@@ -197,7 +201,20 @@ def dq_request(spark, d):
     return _plain(requests.request_conformance(events_typed(spark, d), contract))
 
 
-@query("dq_report")
+@query(
+    "dq_report",
+    """WITH e AS (SELECT event_id AS i, event_id % 37 = 0 AS odd, event_id % 47 = 0 AS cut, event_id % 53 = 0 AS part FROM events),
+v AS (SELECT 10 AS stage, 'missing_fields' AS rule FROM e WHERE i % 50 = 0
+  UNION ALL SELECT 10, 'phase' FROM e WHERE i % 41 = 0 UNION ALL SELECT 10, 'integer_field' FROM e WHERE i % 43 = 0
+  UNION ALL SELECT 10, 'truncated_type' FROM e WHERE odd UNION ALL SELECT 10, 'truncation_missing' FROM e WHERE cut AND NOT odd
+  UNION ALL SELECT 10, 'truncation_fields' FROM e WHERE part AND NOT cut AND NOT odd UNION ALL SELECT 20, 'not_rising' FROM e WHERE i % 1000 = 0
+  UNION ALL SELECT 50, 'truncated' FROM e WHERE (cut OR part) AND NOT odd
+  UNION ALL SELECT 50, 'preview_field' FROM e WHERE i % 7 = 0 UNION ALL SELECT 50, 'preview_field' FROM e WHERE part AND NOT cut AND NOT odd
+  UNION ALL SELECT 50, 'redacted' FROM e WHERE i % 11 = 0 UNION ALL SELECT 60, 'summary_ref' FROM e WHERE i % 13 = 0
+  UNION ALL SELECT 60, 'opaque_ref' FROM e WHERE i % 3 = 0 AND i % 6 <> 0
+  UNION ALL SELECT 70, 'api_not_observed' FROM (SELECT count(*) AS n FROM e) WHERE n > 0)
+SELECT stage, rule, count(*) AS violations FROM v GROUP BY stage, rule""",
+)
 def dq_report(spark, d):
     """Verdict of the strict preset, with the violations counted by rule."""
     e = cut_lineage(events_typed(spark, d))

@@ -60,7 +60,11 @@ def explain_anchors(spark, d):
     )
 
 
-@query("scan_repair")
+@query(
+    "scan_repair",
+    """SELECT CASE WHEN event_id % 9 = 0 AND event_id % 50 <> 0 THEN 'repaired' WHEN event_id % 9 <> 0 AND event_id % 10 = 0 THEN 'malformed' ELSE 'ok' END AS status,
+  count(*) AS lines FROM events GROUP BY 1""",
+)
 def scan_repair(spark, d):
     """Ingest with repair: every ninth line has lost a comma, every tenth is cut short."""
     lines = event_lines(spark, d)
