@@ -1,7 +1,9 @@
+import base64
 import hashlib
 import hmac
 import json
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +185,31 @@ def test_closure_on_a_cycle(spark):
     assert {(r.node, r.hop) for r in lineage.closure(anchors, edges).collect()} == {("a", 0), ("c", 1), ("b", 2)}
 
 
+def test_universe_equals_hashlib(spark):
+    values = ["abc", "é😀" * 40, "x" * 300]
+    made = derive.universe(spark.createDataFrame([(v,) for v in values], "value STRING"), ["value"]).collect()
+
+    def forms(raw):
+        b64 = base64.b64encode(raw).decode()
+        url = b64.translate(str.maketrans("+/", "-_"))
+        return dict(zip(derive.ENCODINGS, (raw.hex(), raw.hex().upper(), b64, b64.rstrip("="), url, url.rstrip("="))))
+
+    h = lambda a, raw: hashlib.new(a, raw).digest()
+    want = set()
+    for v in values:
+        raw = v.encode()
+        out = [("H(input)", a, None, None, None, h(a, raw)) for a in derive.DIGESTS] + [("H(input)", "identity", None, None, None, raw)]
+        out += [("H(enc(input))", a, pre, None, None, h(a, t.encode())) for pre, t in forms(raw).items() for a in derive.CHAIN_DIGESTS]
+        for one in derive.CHAIN_DIGESTS:
+            inner = h(one, raw)
+            out += [("H2(H1(input))", a, None, one, f, h(a, x)) for f, x in (("digest", inner), ("hex", inner.hex().encode())) for a in derive.CHAIN_DIGESTS]
+        want |= {(v, *x[:2], enc, *x[2:5], p) for x in out for enc, p in forms(x[5]).items()}
+        crc = zlib.crc32(raw).to_bytes(4, "big").hex()
+        want |= {(v, "H(input)", "crc32", n, None, None, None, p) for n, p in (("hex_lower", crc), ("hex_upper", crc.upper()))}
+    got = {(r.value, r.structure, r.algo, r.encoding, r.pre_encoding, r.inner_algo, r.inner_form, r.produced) for r in made}
+    assert got == want
+
+
 def test_a_long_chain_takes_few_rounds(spark):
     edges = spark.range(10_000).selectExpr("id as `from`", "id + 1 as `to`")
     anchors = spark.createDataFrame([(1, 10_000), (2, 3)], "anchor_id INT, node BIGINT")

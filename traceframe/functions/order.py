@@ -19,8 +19,15 @@ def _first_present(df: DataFrame, keys) -> list[Column]:
     return [F.col(k).cast("double") for k in keys if k in df.columns]
 
 
+def event_order(df: DataFrame) -> Column:
+    return F.coalesce(*_first_present(df, ORDER_KEYS), F.lit(0.0))
+
+
+def event_time(df: DataFrame) -> Column:
+    """The first clock that a row has, else its order, so a row without a clock keeps a place."""
+    return F.coalesce(*_first_present(df, TIME_KEYS), event_order(df))
+
+
 def with_order(df: DataFrame) -> DataFrame:
     """Add ``event_order`` and ``event_time_us`` from whichever columns exist."""
-    order = F.coalesce(*_first_present(df, ORDER_KEYS), F.lit(0.0))
-    time = F.coalesce(*_first_present(df, TIME_KEYS), order)
-    return df.withColumn("event_order", order).withColumn("event_time_us", time)
+    return df.withColumn("event_order", event_order(df)).withColumn("event_time_us", event_time(df))

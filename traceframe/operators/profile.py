@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup
+from traceframe.functions.order import event_time
 from traceframe.operators.ordered import interval_sums
 
 SITE = ["url", "function", "line", "column"]
@@ -70,7 +71,7 @@ def focus_by_session(events: DataFrame, window_us: int) -> DataFrame:
     weighted = weighted.select(
         "trace_id",
         F.coalesce(F.when(F.col("session_id") != "", F.col("session_id")), lone).alias("session_id"),
-        F.col("mono_time_us").alias("t"), "file_index", "seq", "weight", F.lit(1).cast("bigint").alias("n"),
+        event_time(weighted).cast("bigint").alias("t"), "file_index", "seq", "weight", F.lit(1).cast("bigint").alias("n"),
     )
     keys = ["trace_id", "session_id"]
     instants = weighted.groupBy(*keys, "t").agg(
@@ -114,14 +115,14 @@ def window_events(events: DataFrame, focus: DataFrame, window_us: int) -> DataFr
         F.col("trace_id"), F.col("session_id"), F.col("focus_time_us"), F.col("focus_index")
     )
     joined = events.join(f, ["trace_id", "session_id"])
-    t = F.col("mono_time_us")
+    t = event_time(events)
     return joined.where((t <= F.col("focus_time_us")) & (t >= F.col("focus_time_us") - window_us))
 
 
 def focus_spans(events: DataFrame, focus: DataFrame, window_us: int) -> DataFrame:
     """Add the time of the first weighted event inside each focus window."""
     inside = window_events(lookup.with_family(events).where(F.col("weight") > 0), focus, window_us)
-    starts = inside.groupBy("trace_id", "session_id").agg(F.min("mono_time_us").alias("window_start_us"))
+    starts = inside.groupBy("trace_id", "session_id").agg(F.min(event_time(inside).cast("bigint")).alias("window_start_us"))
     return focus.join(starts, ["trace_id", "session_id"], "left").withColumn(
         "window_end_us", F.col("focus_time_us")
     )

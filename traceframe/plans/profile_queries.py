@@ -129,6 +129,22 @@ def focus_span(spark, d):
     return profile.focus_spans(events, focus, W).select("session_id", "window_start_us", "window_end_us")
 
 
+@query(
+    "focus_partial_clock",
+    f"""WITH {V_EVENTS.replace("epoch_us(ts) AS mono_time_us", "epoch_us(ts) + CASE WHEN event_id % 3 = 0 THEN 7000000 ELSE 0 END AS mono_time_us")}, {FOCUS_SQL}
+SELECT f.session_id, f.focus_time_us, f.focus_seq, f.window_score, f.window_event_count, min(e.mono_time_us) AS window_start_us
+FROM session_focus f JOIN weighted e ON e.session_id = f.session_id
+WHERE e.mono_time_us BETWEEN f.focus_time_us - {W} AND f.focus_time_us GROUP BY ALL""",
+)
+def focus_partial_clock(spark, d):
+    """Each third event has no monotonic clock, only a wall clock that is seven seconds ahead."""
+    e = v_events(spark, d)
+    without = F.col("file_index") % 3 == 0
+    e = e.withColumn("wall_time_us", F.col("mono_time_us") + 7_000_000).withColumn("mono_time_us", F.when(~without, F.col("mono_time_us")))
+    spans = profile.focus_spans(e, profile.focus_by_session(e, W), W)
+    return spans.select("session_id", "focus_time_us", "focus_seq", "window_score", "window_event_count", "window_start_us")
+
+
 ROLE_SQL = """CASE WHEN list_contains(families, 'dynamic_dispatch') THEN 'dispatcher_candidate'
     WHEN list_contains(families, 'anti_debug_timing') THEN 'anti_debug_candidate'
     WHEN list_contains(families, 'byte_buffer') THEN 'state_table_candidate'

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from traceframe.operators import gate
 from traceframe.plans import explain as explain_plan
 from traceframe.plans.catalogue import query
-from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_REQUESTS, v_requests
+from traceframe.plans.driverviews import FOCUS_WINDOW_US, V_EVENTS, V_REQUESTS, v_requests
+from traceframe.plans.profile_queries import FOCUS_SQL
 from traceframe.plans.quality_queries import event_lines, events_typed
 from traceframe.plans.summary import trace_summary
 from traceframe.plans.text_queries import REQUEST_PARTS_SQL
@@ -41,7 +42,28 @@ def capture_gate(spark, d):
     return out.select("status", "observed_actionable_endpoint_count", F.array_join("matched_endpoints", " ").alias("matched_endpoints"))
 
 
-@query("trace_summary")
+_HELD = {
+    "assembled_before_network": "n.first_network_index >= 0", "signed_url_reached_network": "n.network_signed_url_count > 0", "indirect_dispatch_seen": "c.indirect_call_count > 0",
+    "families_seen_without_marker": "c.family_event_count > 0", "dispatch_in_focus_window": "coalesce(d.focus_dispatch_count, 0) > 0",
+}
+_LISTED = ", ".join(f"CASE WHEN {when} THEN '{name}' END" for name, when in _HELD.items())
+
+
+# No API of the view assembles URLs, every argument holds one signed URL, and no event is part of a call tree.
+@query(
+    "trace_summary",
+    f"""WITH {V_EVENTS}, {FOCUS_SQL},
+c AS (SELECT count(*) AS event_count, count(DISTINCT session_id) AS session_count, count(family) AS family_event_count,
+    CAST(count_if(api IN ('Function.prototype.call', 'Date.now')) AS BIGINT) AS runtime_signal_count,
+    CAST(count_if(api = 'Function.prototype.call') AS BIGINT) AS indirect_call_count FROM v_events),
+n AS (SELECT count(*) AS signed_url_count, min(file_index) AS first_signed_index,
+    CAST(count_if(api = 'BrowserNetwork.request') AS BIGINT) AS network_signed_url_count,
+    min(CASE WHEN api = 'BrowserNetwork.request' THEN file_index END) AS first_network_index FROM v_events),
+d AS (SELECT CAST(count_if(family = 'dynamic_dispatch') AS BIGINT) AS focus_dispatch_count FROM inside)
+SELECT 'events' AS trace_id, c.*, f.session_id, f.focus_time_us, f.focus_index, f.focus_seq, f.window_score, f.window_event_count, d.focus_dispatch_count,
+  n.signed_url_count AS marker_occurrence_count, CAST(NULL AS BIGINT) AS first_assembly_index, n.*, concat_ws(',', {_LISTED}) AS conclusions, '' AS gaps
+FROM c, n, d, trace_focus f""",
+)
 def summary(spark, d):
     """Headline row of the event trace, with markers searched in the arguments."""
     e = events_typed(spark, d).withColumn("raw_args", F.to_json("args"))
