@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceframe.functions.lookup import with_family
+from traceframe.operators import shape
 from traceframe.plans.catalogue import query
 from traceframe.plans.driverviews import V_EVENTS, family_catalogue, spread, table, v_events
 from traceframe.plans.graph_queries import v_calls
@@ -66,6 +67,26 @@ def events_typed(spark, d):
     return with_family(typed_events(parse_lines(event_lines(spark, d), repair=False)), family_catalogue(spark))
 
 
+@query(
+    "value_shape",
+    f"""WITH {V_EVENTS}, e AS (SELECT file_index AS i, CAST(rgt AS VARCHAR) AS r FROM v_events),
+s AS (SELECT i, 1 AS n, 'args.0.url' AS f, length('https://h/p?sig=' || r) AS l FROM e UNION ALL SELECT i, 2, 'args.0.type', 1 FROM e
+  UNION ALL SELECT i, 3, 'args.0.input_preview', 3 FROM e WHERE i % 7 = 0 UNION ALL SELECT i, 4, 'args.0.note', 10 FROM e WHERE i % 11 = 0
+  UNION ALL SELECT i, 5, 'args.0.result_ref', length('string_ref:' || i) FROM e WHERE i % 3 = 0 UNION ALL SELECT i, 6, 'args.0.result', 4 FROM e WHERE i % 6 = 0
+  UNION ALL SELECT i, 7, 'args.0.left_ref', 15 FROM e WHERE i % 13 = 0)
+SELECT i AS file_index, count(*) AS string_field_count, string_agg(f, ' ' ORDER BY n) AS string_fields, string_agg(CAST(l AS VARCHAR), ' ' ORDER BY n) AS string_lengths,
+  concat_ws(' ', CASE WHEN i % 13 = 0 THEN 'left_ref' END, CASE WHEN i % 3 = 0 THEN 'result_ref' END) AS material_ref_fields, 'h/p?sig' AS signed_url
+FROM s GROUP BY i""",
+)
+def value_shape(spark, d):
+    out = shape.event_value_shape(events_typed(spark, d), ["file_index"], ["sig"])
+    first = F.col("signed_urls")[0]
+    return out.select(
+        "file_index", "string_field_count", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("string_fields", "string_lengths", "material_ref_fields")],
+        F.concat(first["host"], first["path"], F.lit("?"), first["primary_target"]).alias("signed_url"),
+    )
+
+
 def _plain(df):
     return df.select("rule", F.coalesce("file_index", F.lit(-1)).alias("file_index"), "path")
 
