@@ -89,13 +89,13 @@ def containment_pairs(
     filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts))).drop("_count")
     on = [*keys, "_size", "_print", "_salt"]
 
-    places = met.where(marked("_parts")).select(*keys, text_id, "_size", "_print", salt, (F.col("_at") + F.col("_i")).alias("_place"))
-    near = places.join(filed.where(~exact), on).select(*keys, text_id, needle_id, "_needle", (F.col("_place") - F.col("_offset") + 1).alias("_start"))
-    same = F.substr(F.col("_data"), F.col("_start"), F.octet_length("_needle")) == F.col("_needle")
-    inside = near.where("_start > 0").join(whole, [*keys, text_id]).where(same).select(*keys, text_id, needle_id)
-
-    wholes = met.where(marked("_wholes")).select(*keys, text_id, "_size", "_print", salt).distinct()
-    there = wholes.join(filed.where(exact), on).select(*keys, text_id, needle_id, "_needle")
+    place = F.when(marked("_parts"), F.col("_at") + F.col("_i"))
+    once = F.when(marked("_wholes"), F.lit(-1))
+    places = F.explode(F.array_compact(F.array(place, once))).alias("_place")
+    found = met.select(*keys, text_id, "_size", "_print", salt, places).distinct().join(filed, on).where(exact == (F.col("_place") == -1))
+    near = found.select(*keys, text_id, needle_id, "_needle", F.when(~exact, F.col("_place") - F.col("_offset") + 1).alias("_start"))
     # Equal fingerprints are not yet equal bytes: the text has the last word.
-    there = there.join(whole, [*keys, text_id]).where(F.contains("_data", F.col("_needle"))).select(*keys, text_id, needle_id)
-    return inside.unionByName(there).distinct()
+    same = F.when(F.col("_start").isNull(), F.contains("_data", F.col("_needle"))).otherwise(
+        (F.col("_start") > 0) & (F.substr(F.col("_data"), F.col("_start"), F.octet_length("_needle")) == F.col("_needle"))
+    )
+    return near.join(whole, [*keys, text_id]).where(same).select(*keys, text_id, needle_id).distinct()

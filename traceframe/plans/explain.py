@@ -45,12 +45,13 @@ def op_rows(ops: DataFrame) -> DataFrame:
 def explain(
     events: DataFrame, requests: DataFrame, carrier: str | None = None, window_us: int = 300_000,
     min_entropy: float = 4.0, hints: tuple[str, ...] = lookup.DEFAULT_HINTS,
-    groups: tuple[str, ...] = lookup.DEFAULT_COMPUTE, sep: str | None = None, script: str = "auto",
+    groups: tuple[str, ...] = lookup.DEFAULT_COMPUTE, sep: str | None = None, script: str = "auto", subdag: bool = False,
 ) -> dict[str, DataFrame]:
     """Artefact tables keyed by ``anchor_id``.
 
     ``events`` are typed events; ``requests`` come from ``sources.requests``. Without
-    a carrier name the best-ranked one of each trace is used.
+    a carrier name the best-ranked one of each trace is used. ``subdag`` adds the edges that lead to each field; their
+    rounds run at once.
     """
     raw = tuple(dict.fromkeys([*hints, *([carrier] if carrier else [])]))
     # What every artefact starts from is stored once: carriers, windows, matches.
@@ -109,8 +110,10 @@ def explain(
     outputs = evidence.with_full_value(rows.where(F.col("api").endswith(".ret")), strings)
     refs = lineage.argument_refs(ops, ["anchor_id"])
     edges, producers, leaves, values = lineage.dag(refs, ["anchor_id"])
-    named_fields = leaf.select("anchor_id", F.col("label").alias("field"), F.col("field_value").alias("value"))
-    subdag = lineage.field_subdag(named_fields, values, edges, ["anchor_id"])
+    extra = {}
+    if subdag:
+        named_fields = leaf.select("anchor_id", F.col("label").alias("field"), F.col("field_value").alias("value"))
+        extra["field_subdag"] = lineage.field_subdag(named_fields, values, edges, ["anchor_id"])
     phases = evidence.phases(ops.withColumn("function", _arg("callsite_function")), emit)
     histogram = ops.groupBy("anchor_id", "api").agg(F.count(F.lit(1)).alias("count"), F.min("file_index").alias("first_index"))
     hot = profile.top_k(
@@ -129,7 +132,7 @@ def explain(
         "anchors": anchors, "tokens": tokens.join(visible, ["anchor_id", "token"], "left"), "ops": op_rows(ops),
         "materials_timeline": rows, "field_matches": matches, "phases": phases, "env": evidence.env_reads(scripts),
         "candidate_inputs": inputs, "candidate_outputs": outputs, "pairing": paired, "fields": leaf,
-        "field_subdag": subdag, "dag_edges": edges, "dag_producers": producers, "dag_inputs": leaves, "ref_values": values,
+        **extra, "dag_edges": edges, "dag_producers": producers, "dag_inputs": leaves, "ref_values": values,
         "materials": lineage.ref_materials(leaves.unionByName(producers.select("anchor_id", "ref")), values, ["anchor_id"]),
         "op_histogram": histogram, "hot_functions": hot, "summary": summary,
     }
@@ -140,7 +143,7 @@ POOL_ROWS = 200
 
 
 def artifact(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per (anchor, field): output, evidence, the matching materials and outputs, and how many edges lead to it.
+    """Per (anchor, field): output, evidence, the matching materials and outputs, and, with ``field_subdag``, how many edges lead to it.
 
     The materials of a field are its matches; they are ordered by time and gathered
     up to the pool size, which the artefact defines. The edges themselves are rows of ``field_subdag``.
@@ -154,12 +157,14 @@ def artifact(tables: dict[str, DataFrame]) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~is_output, item))).alias("materials"),
         F.array_sort(F.collect_list(F.when(is_output, item))).alias("outputs"),
     )
-    edges = tables["field_subdag"].groupBy("anchor_id", F.col("field").alias("label")).agg(F.count(F.lit(1)).alias("subdag_edges"))
     fields = tables["pairing"].select(
         "anchor_id", "label", F.col("field_value").alias("output_value"), "length", "evidence", "match_kinds", "first_d_ms"
     )
-    out = fields.join(gathered, ["anchor_id", "label"], "left").join(edges, ["anchor_id", "label"], "left")
-    return out.withColumn("subdag_edges", F.coalesce("subdag_edges", F.lit(0)))
+    out = fields.join(gathered, ["anchor_id", "label"], "left")
+    if "field_subdag" not in tables:
+        return out
+    edges = tables["field_subdag"].groupBy("anchor_id", F.col("field").alias("label")).agg(F.count(F.lit(1)).alias("subdag_edges"))
+    return out.join(edges, ["anchor_id", "label"], "left").withColumn("subdag_edges", F.coalesce("subdag_edges", F.lit(0)))
 
 
 def candidate_rows(tables: dict[str, DataFrame], kind: str) -> DataFrame:
