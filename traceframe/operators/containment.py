@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceframe.session import cut_lineage
+
 # Window lengths in bytes; a needle uses the longest one that fits it.
 SIZES = (1, 2, 4, 8, 16, 32)
 # Texts are cut into blocks of this many bytes, so that one long text is many bounded rows.
@@ -52,8 +54,8 @@ def containment_pairs(
 ) -> DataFrame:
     """Distinct (keys, text_id, needle_id) with the needle inside the text, exact.
 
-    ``keys`` are further equality columns; empty needles match nothing. Nothing runs
-    before the result is read: the window lengths in use are a scalar subquery.
+    ``keys`` are further equality columns; empty needles match nothing. The filed needles are stored when this is
+    called; texts are then read again when the result is.
     """
     data = F.encode(F.col(needle), "UTF-8")
     asked = needles.where(F.length(needle) > 0).select(*keys, needle_id, data.alias("_needle"))
@@ -76,6 +78,8 @@ def containment_pairs(
     filed = asked.join(rarest, [*keys, needle_id]).select(
         *keys, needle_id, "_needle", "_size", F.col("_rare.print").alias("_print"), F.col("_rare.offset").alias("_offset"), F.col("_rare.count").alias("_count"),
     )
+    # Stored, so that what follows is planned without the counting behind it.
+    filed = cut_lineage(filed)
     exact = F.octet_length("_needle") == F.col("_size")
     # Marks of whole needles, of which one place in a text is enough, and of parts of needles, of which all are looked at.
     marks = filed.groupBy(_slot("_print").alias("_slot")).agg(
