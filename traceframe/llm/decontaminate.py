@@ -4,13 +4,14 @@ Test items are short and documents long, so their Jaccard similarity is near zer
 item a document holds. The search therefore works on containment. Items are partitioned by size
 (powers of two of the shingle count). An item with n distinct shingles is contained to a share of at least t in
 a document only if the document lacks at most n - ceil(t n) of them; so of the item's smallest n - ceil(t n) + 1 values under
-one hash permutation (its bottom-k MinHash sketch, k set by its size) the document must hold at least one. Documents are
-probed with all their shingles, so k needs no slack and no item is missed. A document with fewer
+one hash permutation (its bottom-k MinHash sketch, k set by its size) the document must hold at least one. Each
+shingle of a document is looked up among the sorted sketch values of a partition, so k needs no slack, no item is
+missed, and a document costs its own length times the log of the benchmark's. A document with fewer
 shingles than a partition's least need is not probed against it. Candidates are then verified by counting
 the item's shingles in the document's full set.
 
-The sketches and item sets are sent to the tasks in blocks of bounded size; each block passes over the
-documents once, as one map without a shuffle.
+Tasks make the items' sets, which are stored; they are sent to the tasks of the documents in blocks of bounded size.
+Each block passes over the documents once, as one map without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import hashed, shingles, word_hashes
+from traceframe.llm.common import U64, hashed, in_slices, shingles, stored, word_hashes
 
 WORDS = re.compile(rb"[0-9a-z_\x80-\xff]+")
 
@@ -37,9 +38,9 @@ def words_of(text: str | None) -> list[bytes]:
 class Block:
     """Items of one broadcast: sketches to probe, sets to verify, by shingle width."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, int]], threshold: float):
+    def __init__(self, items: list[tuple[int | None, np.ndarray, int]], threshold: float):
         self.widths = sorted({width for _, _, width in items})
-        self.ids = np.array([i for i, _, _ in items], dtype=np.int64)
+        self.ids = [i for i, _, _ in items]
         self.sets = [s for _, s, _ in items]
         self.need = np.array([math.ceil(threshold * len(s) - 1e-9) for s in self.sets], dtype=np.int64)
         self.parts = []
@@ -51,52 +52,72 @@ class Block:
             sketches = [self.sets[k][: len(self.sets[k]) - int(self.need[k]) + 1] for k in members]
             values, owners = np.concatenate(sketches), np.repeat(members, [len(s) for s in sketches])
             order = np.argsort(values, kind="stable")
-            self.parts.append((width, int(self.need[members].min()), values[order], owners[order]))
+            # Owners of the k-th value: owners[starts[k] : starts[k + 1]].
+            distinct, starts = np.unique(values[order], return_index=True)
+            self.parts.append((width, int(self.need[members].min()), distinct, np.append(starts, len(values)), owners[order]))
 
-    def search(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+    def search(self, hashes: np.ndarray) -> list[tuple[int | None, int, int]]:
         """(item, shingles of the item, of which in the document) for every item contained enough."""
         found: list[tuple[int, int, int]] = []
         sets = {w: np.unique(shingles(hashes, w)) for w in self.widths if len(hashes) >= w}
-        for width, least, values, owners in self.parts:
+        for width, least, values, starts, owners in self.parts:
             own = sets.get(width)
             if own is None or len(own) < least:
                 continue
-            at = np.searchsorted(own, values)
-            hit = own[np.minimum(at, len(own) - 1)] == values
-            for k in np.unique(owners[hit]).tolist():
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            hits = at[values[at] == own].tolist()
+            for k in {k for i in hits for k in owners[starts[i] : starts[i + 1]].tolist()}:
                 item = self.sets[k]
+                if len(own) < self.need[k]:
+                    continue
                 at = np.searchsorted(own, item)
                 shared = int((own[np.minimum(at, len(own) - 1)] == item).sum())
                 if shared >= self.need[k]:
-                    found.append((int(self.ids[k]), len(item), shared))
+                    found.append((self.ids[k], len(item), shared))
         return found
 
 
-def item_blocks(items: DataFrame, item_id: str, width: int, limit: int) -> Iterator[list[tuple[int, np.ndarray, int]]]:
-    """Items with their distinct shingles, in blocks of at most ``limit`` shingles (or one item).
+def item_sets(items: DataFrame, item_id: str, width: int) -> DataFrame:
+    """item (may be null), width, set (distinct shingle hashes, sorted, 8 bytes each) for every item with words, stored.
 
-    Read through an iterator of partitions, so the driver holds a block and one partition. An item
-    of fewer words than the width is one shingle of its own length; without words it is left out.
+    An item of fewer words than the width is one shingle of its own length.
     """
-    cache, block, held = word_hashes(), [], 0
-    for row in items.select(F.col(item_id).cast("long").alias("i"), "text").where(F.col("i").isNotNull()).toLocalIterator():
-        hashes = hashed(words_of(row["text"]), cache)
-        if not len(hashes):
-            continue
-        own = np.unique(shingles(hashes, width))
+
+    def build(batches):
+        cache = word_hashes()
+        for batch in in_slices(batches):
+            found = [hashed(words_of(text), cache) for text in batch.column(1).to_pylist()]
+            rows = [i for i, hashes in enumerate(found) if len(hashes)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int32())), pa.array([min(width, len(found[i])) for i in rows], pa.int32()),
+                    pa.array([np.unique(shingles(found[i], width)).tobytes() for i in rows], pa.binary()),
+                ],
+                names=["item", "width", "set"],
+            )
+
+    named = items.select(F.col(item_id).cast("long").alias("item"), "text")
+    return stored(named.mapInArrow(build, "item long, width int, set binary"), "items")
+
+
+def item_blocks(sets: DataFrame, limit: int) -> Iterator[list[tuple[int | None, np.ndarray, int]]]:
+    """Items in blocks of at most ``limit`` shingles (or one item); the driver holds a block and one partition."""
+    block, held = [], 0
+    for row in sets.toLocalIterator():
+        own = np.frombuffer(row["set"], dtype=U64)
         if block and held + len(own) > limit:
             yield block
             block, held = [], 0
-        block.append((row["i"], own, min(width, len(hashes))))
+        block.append((row["item"], own, row["width"]))
         held += len(own)
     if block:
         yield block
 
 
-def search_blocks(docs: DataFrame, items: DataFrame, threshold: float, width: int, item_id: str, block: int) -> Iterator:
+def search_blocks(sets: DataFrame, threshold: float, block: int) -> Iterator:
     """A broadcast for each block of items."""
-    for part in item_blocks(items, item_id, width, block):
-        yield docs.sparkSession.sparkContext.broadcast(Block(part, threshold))
+    for part in item_blocks(sets, block):
+        yield sets.sparkSession.sparkContext.broadcast(Block(part, threshold))
 
 
 def contained_items(
@@ -112,11 +133,12 @@ def contained_items(
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, item_shingles long, shared long"
     out = None
-    for shared_block in search_blocks(docs, items, threshold, width, item_id, block):
+    sets = item_sets(items.where(F.col(item_id).cast("long").isNotNull()), item_id, width)
+    for shared_block in search_blocks(sets, threshold, block):
 
         def search(batches, shared_block=shared_block):
             cache = word_hashes()
-            for batch in batches:
+            for batch in in_slices(batches):
                 rows, at = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     hits = shared_block.value.search(hashed(words_of(text), cache))
@@ -137,14 +159,14 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, item_id: str = "item_id", block: int = 4_000_000) -> DataFrame:
     """The rows that hold no item to the threshold, with the same columns; decided row by row, without a join.
 
-    Null and empty texts hold nothing and stay. Blocks of items filter one after another.
+    Null and empty texts hold nothing and stay. Items count whatever their id, null too. Blocks of items filter one after another.
     """
     at = docs.columns.index("text")
-    for shared_block in search_blocks(docs, items, threshold, width, item_id, block):
+    for shared_block in search_blocks(item_sets(items, item_id, width), threshold, block):
 
         def clean(batches, shared_block=shared_block):
             cache = word_hashes()
-            for batch in batches:
+            for batch in in_slices(batches):
                 keep = [not shared_block.value.search(hashed(words_of(t), cache)) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

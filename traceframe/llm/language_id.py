@@ -22,9 +22,13 @@ UNDETERMINED = "und"
 SLICE = 1 << 20
 
 
+#: Planes 0 to 3; no later one holds letters.
+LETTERS = 0x40000
+
+
 def letter_table() -> np.ndarray:
     """True for the code points that are letters."""
-    return np.array([chr(c).isalpha() for c in range(0x30000)] + [False], dtype=bool)
+    return np.array([chr(c).isalpha() for c in range(LETTERS)] + [False], dtype=bool)
 
 
 def words_of(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,7 +39,7 @@ def words_of(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     # A text apart is never part of the next one's words: a blank lies between.
     joined = [" " + t.lower() + " " for t in texts]
     codes = np.frombuffer("".join(joined).encode("utf-32-le"), dtype=np.uint32)
-    inside = letters[np.minimum(codes, 0x30000)]
+    inside = letters[np.minimum(codes, LETTERS)]
     codes = np.where(inside, codes, 0).astype(U64)
     at = np.flatnonzero(inside)
     h = (codes[at - 1] * U64(0x9E3779B97F4A7C15) + codes[at]) * U64(0xC2B2AE3D27D4EB4F) + codes[at + 1] if len(at) else np.zeros(0, dtype=U64)

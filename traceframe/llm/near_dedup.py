@@ -237,7 +237,12 @@ def near_groups(
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is kept, one for each id; rows without id all stay. Same columns."""
+    """The rows of ``docs`` whose id is kept, one for each id and text; rows without id all stay. Same columns.
+
+    Rows that repeat an id are one document and stay or go together; of those with equal texts one stays.
+    """
     kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    free = "_".join(["text_hash", *docs.columns])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    named = named.select("*", F.xxhash64("text").alias(free)).dropDuplicates(["doc_id", free])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -3,8 +3,10 @@
 Plain detectors run on the text itself. Then three transducers rewrite disguised stretches into
 plain characters while an offset map keeps, for each character written, the source range it came from:
 
-1. homoglyphs: full-width forms and the Cyrillic and Greek letters that look like Latin ones;
-2. spelled digits: runs of digit words ("five five five") become digits;
+1. homoglyphs: wide, small and mathematical forms, Cyrillic and Greek letters that look like Latin ones and
+   decimal digits of any script become ASCII; zero-width characters go;
+2. spelled digits: runs of numbers with digit words in them ("five five 5") become digits, "plus" before them a sign;
+   four numbers up to 255 with dots between, plain or worded, keep the dots;
 3. disguised signs: in addresses and dotted numbers, each "at" and "dot" may be bracketed, worded or plain.
 
 The detectors run on the rewritten text, and each span found is mapped back through the composed
@@ -14,13 +16,14 @@ offsets. Texts without any disguise are never rewritten.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.llm.common import in_slices, texts
-from traceframe.llm.spans import Span, digest, joined, overlaps
+from traceframe.llm.spans import Cover, Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -38,10 +41,32 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ", "ABEZHIKMNOPTYX
 # Digit words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-HOMOGLYPH = re.compile("[" + "".join(CYRILLIC) + "".join(GREEK) + "！-～]")
+# Characters without width.
+ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+
+def plain_forms() -> dict[str, str]:
+    """Characters that stand for one ASCII character: font, wide and small forms, and decimal digits."""
+    out = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        form = unicodedata.decomposition(c).split()
+        digit = unicodedata.decimal(c, None)
+        if digit is not None:
+            out[c] = str(digit)
+        elif len(form) == 2 and form[0] in ("<font>", "<wide>", "<small>") and "!" <= chr(int(form[1], 16)) <= "~":
+            out[c] = chr(int(form[1], 16))
+    return out
+
+
+LOOKALIKE = plain_forms() | CYRILLIC | GREEK
+TRANSLATION = str.maketrans(LOOKALIKE)
+HOMOGLYPH = re.compile("[" + "".join(LOOKALIKE) + ZERO_WIDTH + "]")
+NO_WIDTH = re.compile("[" + ZERO_WIDTH + "]+")
 NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"(?<![^\W_])\+?{NUMBER}(?:[ .\-]{{1,2}}(?:{NUMBER}|[0-9]+)(?![^\W_]))+", re.I | re.A)
-SPELLED_PART = re.compile(rf"{NUMBER}|[0-9]+|\+", re.I | re.A)
+ITEM = rf"(?:{NUMBER}|[0-9]++)(?![^\W_])"
+SPELLED = re.compile(rf"(?<![^\W_])(?:\+|plus +)?{ITEM}(?:(?: ++dot ++| *+[\[({{<] *+dot *+[\])}}>] *+|[ .\-]{{1,2}}){ITEM})++", re.I | re.A)
+SPELLED_PART = re.compile(rf"{NUMBER}|[0-9]+|\+|plus|dot|(?<![ .\-])\.(?![ .\-])", re.I | re.A)
+WORD_DIGIT = re.compile(NUMBER, re.I | re.A)
 BRACKETED = re.compile(r"[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I | re.A)
 AT = re.compile(r"@|(?<! ) ++at +", re.I | re.A)
 DOT_WORD = re.compile(r"(?<! ) ++dot +", re.I | re.A)
@@ -50,7 +75,7 @@ HOST = re.compile(r"[A-Za-z0-9-]++(?:(?: ++dot ++|\.)[A-Za-z0-9-]++)++", re.I |
 NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:(?: ++dot ++|\.)[0-9]++)++", re.I | re.A)
 TLD = re.compile(r"[A-Za-z]{2}\Z")
 # A cheap test that some transducer could have work to do.
-HINT = re.compile(rf"[\[({{<]\s*(?:at|dot)\s*[\])}}>]| dot |(?<![^\W_]){NUMBER}[ .\-]{{1,2}}(?:{NUMBER}|[0-9])", re.I | re.A)
+HINT = re.compile(rf"[\[({{<]\s*(?:at|dot)\s*[\])}}>]| dot |(?<![^\W_]){NUMBER}[ .\-]{{1,2}}(?:{NUMBER}|[0-9])|[0-9][ .\-]{{1,2}}{NUMBER}(?![^\W_])", re.I | re.A)
 
 
 def emails(text: str) -> list[Span]:
@@ -119,22 +144,27 @@ def rewrite(mapped: Mapped, edits: list[tuple[int, int, list[tuple[str, int, int
 
 
 def homoglyphs(mapped: Mapped) -> Mapped:
-    def plain(c: str) -> str:
-        return chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else CYRILLIC.get(c) or GREEK[c]
-
-    return rewrite(mapped, [(m.start(), m.end(), [(plain(m.group()), m.start(), m.end())]) for m in HOMOGLYPH.finditer(mapped[0])])
+    text, ranges = mapped
+    # One character for one, so the ranges stay; only what has no width is cut out.
+    return rewrite((text.translate(TRANSLATION), ranges), [(*m.span(), []) for m in NO_WIDTH.finditer(text)])
 
 
 def spelled_digits(mapped: Mapped) -> Mapped:
+    """Every run is written, however short; the detectors decide what it means."""
     edits = []
     for m in SPELLED.finditer(mapped[0]):
+        if not WORD_DIGIT.search(m.group()):
+            continue
         written = []
-        for p in SPELLED_PART.finditer(m.group()):
-            a, b = m.start() + p.start(), m.start() + p.end()
+        for p in SPELLED_PART.finditer(mapped[0], *m.span()):
+            a, b = p.span()
             word = p.group().lower()
-            written += [(DIGIT_WORDS[word], a, b)] if word in DIGIT_WORDS else [(c, a + i, a + i + 1) for i, c in enumerate(word)]
-        if sum(c != "+" for c, _, _ in written) >= 7:
-            edits.append((*m.span(), written))
+            plain = DIGIT_WORDS.get(word) or {"plus": "+", "dot": "."}.get(word)
+            written += [(plain, a, b)] if plain else [(c, a + i, a + i + 1) for i, c in enumerate(word)]
+        parts = "".join(c for c, _, _ in written).split(".")
+        if not (len(parts) == 4 and all(part.isdigit() and small(part) for part in parts)):
+            written = [w for w in written if w[0] != "."]
+        edits.append((*m.span(), written))
     return rewrite(mapped, edits)
 
 
@@ -202,12 +232,19 @@ def disguised_spans(text: str) -> list[Span]:
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and those that the transducers add: over a base span of the same kind only if they say more than it."""
     base = plain_spans(text)
-    added = []
-    for span in disguised_spans(text):
-        met = [s for s in base if s[0] == span[0] and overlaps(span[1], span[2], [s])]
-        if span not in met and all(span[1] <= a and b <= span[2] for _, a, b in met) and span not in added:
-            added.append(span)
-    return base, added
+    hidden = disguised_spans(text)
+    if not hidden:
+        return base, []
+    added: dict[Span, None] = {}
+    # Base spans of one kind do not overlap, so those that a span meets are neighbours.
+    own = {kind: Cover(s for s in base if s[0] == kind) for kind in KINDS}
+    for kind, a, b in hidden:
+        cover = own[kind]
+        met = cover.meeting(a, b)
+        inside = not met or (a <= cover.starts[met[0]] and cover.ends[met[-1]] <= b)
+        if inside and not (len(met) == 1 and (cover.starts[met[0]], cover.ends[met[0]]) == (a, b)):
+            added[kind, a, b] = None
+    return base, list(added)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceframe.llm.common import stored, texts
-from traceframe.llm.spans import Span, digest, joined, overlaps
+from traceframe.llm.common import in_slices, stored, texts
+from traceframe.llm.spans import Cover, Span, digest, joined
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -157,10 +157,10 @@ def battery(token: str) -> tuple[float, float] | None:
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int, float, float]]:
     """Start, end, p-value and bits of each run, or of its parts where the run as a whole cannot be tested."""
-    out = []
+    out, base = [], Cover(spans)
 
     def tested(a: int, b: int) -> bool:
-        found = None if overlaps(a, b, spans) else battery(text[a:b])
+        found = None if base.meeting(a, b) else battery(text[a:b])
         if found:
             out.append((a, b, *found))
         return found is not None
@@ -186,11 +186,9 @@ def longest(spans: list[Span]) -> list[Span]:
     group: list[Span] = []
     for span in [*sorted(spans, key=lambda s: s[1:]), None]:
         if group and (span is None or span[1] >= end):
-            taken = []
-            for s in sorted(group, key=lambda s: (s[1] - s[2], s[1])):
-                if not overlaps(s[1], s[2], taken):
-                    taken.append(s)
-            kept += sorted(taken, key=lambda s: s[1])
+            taken = Cover()
+            chosen = [s for s in sorted(group, key=lambda s: (s[1] - s[2], s[1])) if taken.add(s[1], s[2])]
+            kept += sorted(chosen, key=lambda s: s[1])
             group = []
         if span:
             end = max(end, span[2]) if group else span[2]
@@ -205,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
     candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64()), ("p", pa.float64()), ("cell", pa.int32())])
 
     def find(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             base, more = [], []
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
