@@ -60,7 +60,8 @@ def plain_forms() -> dict[str, str]:
 
 LOOKALIKE = plain_forms() | CYRILLIC | GREEK
 TRANSLATION = str.maketrans(LOOKALIKE)
-HOMOGLYPH = re.compile("[" + "".join(LOOKALIKE) + ZERO_WIDTH + "]")
+# A set: as a class of a pattern these characters are tried one range after another.
+HOMOGLYPHS = frozenset(LOOKALIKE) | frozenset(ZERO_WIDTH)
 NO_WIDTH = re.compile("[" + ZERO_WIDTH + "]+")
 NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
 ITEM = rf"(?:{NUMBER}|[0-9]++)(?![^\W_])"
@@ -221,7 +222,7 @@ def signs(mapped: Mapped) -> Mapped:
 
 def disguised_spans(text: str) -> list[Span]:
     """Spans that only the rewritten text shows, in source offsets."""
-    if not HINT.search(text) and (text.isascii() or not HOMOGLYPH.search(text)):
+    if not HINT.search(text) and (text.isascii() or HOMOGLYPHS.isdisjoint(text)):
         return []
     mapped = signs(spelled_digits(homoglyphs((text, [(i, i + 1) for i in range(len(text))]))))
     if mapped[0] == text:
