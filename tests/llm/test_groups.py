@@ -133,3 +133,14 @@ def test_blocks_are_pruned_and_shards_agree():
     )[:10]
     got = shard.search(terms, weights, 10)
     assert [i for _, i in got] == [i for _, i in want]
+
+
+def test_rows_that_repeat_an_id_keep_their_texts(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    other = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "x"), (1, one, "x"), (1, other, "x"), (1, None, "x"), (2, one, "x"), (3, other + " more", "x"), (None, one, "x"), (None, one, "x"), (4, "", "x"), (5, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash_doc_id_text string").repartition(3)
+    kept = near_dedup.keep_one(docs, near_dedup.near_groups(docs))
+    assert kept.columns == docs.columns
+    want = [(1, one), (1, other), (1, None), (None, one), (None, one), (4, ""), (5, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in want)

@@ -272,3 +272,26 @@ def test_containment_equals_brute_force(spark, block):
     held = {g[0] for g in brute_contained(docs, [(99 if i is None else i, t) for i, t in items])}
     assert kept == {d for d, _ in docs} - held and held > {g[0] for g in got}
     assert decontaminate.contained_items(frame, bench.limit(0)).collect() == []
+
+
+def test_containment_in_very_long_texts_and_of_common_sketches(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    shared = " ".join(rng.choices(words, k=20))
+    # Many items that differ in their last words have sketch values in common.
+    items = [(i, f"{shared} {' '.join(rng.choices(words, k=3))}") for i in range(200)]
+    long = " ".join(rng.choices(words, k=60_000))
+    docs = [(0, f"{long} {items[7][1]} {long}"), (1, shared), (2, long), (2, items[9][1]), (2, items[9][1])]
+    frame = spark.createDataFrame([(d, t, "x", 0) for d, t in docs], CLASH)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.item_id, r.item_shingles, r.shared) for r in decontaminate.contained_items(frame, bench).collect())
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, want = {i: grams(t) for i, t in items}, []
+    for d, t in docs:
+        own = grams(t)
+        want += [(d, i, len(s), len(s & own)) for i, s in sets.items() if len(s & own) >= 0.8 * len(s) - 1e-9]
+    assert got == sorted(want) and len(got) > 200
