@@ -129,3 +129,11 @@ def test_pipeline_of_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SMALL), name)
     assert docs.count() == 0
+
+
+def test_letters_of_all_planes_count():
+    letters = language_id.letter_table()
+    assert not any(chr(c).isalpha() for c in range(language_id.LETTERS, 0x110000))
+    text = "aéЖ中\U00020000\U00030001"
+    grams, first, _ = language_id.words_of([text, "12 \U000e0041 \U0001f600"], letters)
+    assert len(grams) == len(text) and len(first) == 1
