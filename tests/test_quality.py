@@ -98,6 +98,30 @@ def test_material_refs(load, args, rule):
     assert named(rules.material_refs(rules.event_leaves(e))) == ({rule} if rule else set())
 
 
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.split("== Initial Plan ==")[0]
+
+
+def test_material_refs_in_one_pass(load, capsys):
+    """No join that a size estimate from before the walk could turn into a broadcast, and one walk of the leaves."""
+    args = [{"x_refs": ["string_ref:1", "string_ref:2"], "y_ref": "string_ref:3", "y": {"deep": [0]}, "a": {"b_ref": "string:length:1"}, "a.b_ref": "string:length:2"}]
+    got = rules.material_refs(rules.event_leaves(load([record(1, args=args)])))
+    rows = sorted((r.rule, r.path) for r in got.collect())
+    assert rows == [("opaque_ref", "args[0].x_refs[0]"), ("opaque_ref", "args[0].x_refs[1]"), ("summary_ref", "args[0].a.b_ref"), ("summary_ref", "args[0].a.b_ref")]
+    plan = plan_of(got, capsys)
+    assert plan.count("MapInArrow") == 1
+
+
+def test_form_fields_are_not_broadcast(load, capsys):
+    events = load([record(1, api="FormData.append", args=[{"value_kind": "string", "value": "v", "value_ref": "r"}])])
+    got = rules.form_branches(events, rules.event_leaves(events))
+    assert {r.path for r in got.collect()} == {"FormData.append:value_length"}
+    anti = [line for line in plan_of(got, capsys).splitlines() if "LeftAnti" in line]
+    assert anti and all("SortMergeJoin" in line for line in anti)
+
+
 @pytest.mark.parametrize("args,ok", [
     ([{"input": "x"}], True), ([{"input": " "}], False), ([{"algorithm": "sha", "buffer_id": 1, "x_length": 3}], False), ([{"x_ref": "string:length:3"}], False),
     ([{"x_ref": "string_ref:3"}], True), ([{"x_preview": "abc"}], False), ([{"meta": {"type": "x", "n": 0}}], True), ([], False),

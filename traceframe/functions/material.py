@@ -27,6 +27,11 @@ def hidden_key(key: Column) -> Column:
     return text.is_preview_key(key) | text.is_redaction_key(key)
 
 
+def may_be_hidden(path: Column) -> Column:
+    """False only if no key of the path is hidden; cheaper than asking every key."""
+    return F.contains(path, F.lit("preview")) | F.contains(path, F.lit("redacted"))
+
+
 def metadata_key(key: Column) -> Column:
     out = key.isin(*METADATA_KEYS)
     for suffix in METADATA_SUFFIXES:

@@ -58,9 +58,11 @@ def event_lines(spark, d):
 
 def _as_lines(df, line):
     """Rows as read from a text file. The generator keeps the planner from writing the
-    long line expression again into every use of a parsed column."""
-    lines = df.select("trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), F.explode(F.array(line)).alias("line"))
-    return spread(lines)
+    long line expression again into every use of a parsed column. Rows are spread before their lines
+    are made, by their number: that is read from the footers of the files."""
+    return spread(df, df.count()).select(
+        "trace_id", "file_index", F.lit(0).cast("bigint").alias("block_start"), F.explode(F.array(line)).alias("line")
+    )
 
 
 def events_typed(spark, d):

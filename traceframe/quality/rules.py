@@ -229,35 +229,44 @@ def complete_values(events: DataFrame, leaf_rows: DataFrame) -> DataFrame:
 
 
 def material_refs(leaf_rows: DataFrame) -> DataFrame:
-    """Length-only references, and opaque ones without a raw sibling value."""
-    under_ref = F.exists("keys", text.is_ref_key)
-    summary = leaf_rows.where(under_ref & (F.col("kind") == "string") & text.is_summary_ref(F.col("text")))
-    flags = F.transform("keys", text.is_ref_key)
+    """Length-only references, and opaque ones without a raw sibling value.
+
+    One pass over the leaves and no join: each leaf names the members it may speak for, and a record's
+    members meet in one group. A join of the two sides would be planned by sizes from before the walk.
+    """
+    keys, string = F.col("keys"), F.col("kind") == "string"
+    # The path holds every key, so most leaves are settled without looking at their keys one by one.
+    summary = text.is_summary_ref(F.col("text")) & F.contains("path", F.lit("ref")) & F.exists(keys, text.is_ref_key)
+    flags = F.transform(keys, text.is_ref_key)
     at = F.array_position(flags, True).cast("int")
     # The reference key is the last one: only list positions may follow it.
-    opaque = leaf_rows.where(
-        (at > 0) & (at == F.size("keys")) & (F.col("kind") == "string") & text.is_opaque_ref(F.col("text"))
-    ).select(
-        "trace_id", "file_index", "path", F.element_at("containers", -1).alias("holder"),
-        F.explode(material.raw_siblings(F.element_at("keys", -1))).alias("sibling"),
+    opaque = text.is_opaque_ref(F.col("text")) & F.contains("path", F.lit("ref")) & (at > 0) & (at == F.size(keys))
+    none = F.lit(None).cast("string")
+    member = lambda holder, sibling, path: F.struct(holder.alias("holder"), sibling.alias("sibling"), path.alias("path"))
+    asked = F.transform(
+        material.raw_siblings(F.try_element_at(keys, F.lit(-1))),
+        lambda name: member(F.try_element_at("containers", F.lit(-1)), name, F.col("path")),
+    )
+    # A member is raw if no key below it is hidden: from the last hidden key on.
+    hidden = F.array_position(F.reverse(F.transform(keys, material.hidden_key)), True).cast("int")
+    shown = F.when(material.may_be_hidden(F.col("path")) & (hidden > 0), F.size(keys) - hidden + 1).otherwise(1)
+    raw = F.transform(
+        F.sequence(shown, F.size(keys)), lambda i: member(F.element_at("containers", i), F.element_at(keys, i), none)
     )
-    raw = leaf_rows.where(F.size("keys") > 0).select(
-        "trace_id", "file_index", "kind", "text",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.size("keys")),
-            lambda i: F.struct(
-                F.element_at("containers", i).alias("holder"), F.element_at("keys", i).alias("sibling"),
-                F.slice("keys", i + 1, F.size("keys")).alias("below")),
-        )).alias("s"),
-    ).where(material.has_raw_material(F.col("s.below"), F.col("kind"), F.col("text")))
-    raw = raw.select("trace_id", "file_index", "s.holder", "s.sibling").distinct()
-    keys = ["trace_id", "file_index", "holder", "sibling"]
-    bare = opaque.join(raw.withColumn("ok", F.lit(True)), keys, "left").groupBy("trace_id", "file_index", "path").agg(
-        F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok")
-    ).where("NOT ok")
-    return _violations(summary, "refs", "summary_ref", F.col("path")).unionByName(
-        _violations(bare, "refs", "opaque_ref", F.col("path"))
+    members = (
+        F.when(string & summary, F.array(member(none, none, F.col("path"))))
+        .when(string & opaque, asked)
+        .when((F.size(keys) > 0) & material.leaf_raw(F.col("kind"), F.col("text")), raw)
     )
+    met = leaf_rows.select("trace_id", "file_index", F.explode(members).alias("m")).select("trace_id", "file_index", "m.*")
+    # What is gathered belongs to one member of one record.
+    named = met.groupBy("trace_id", "file_index", "holder", "sibling").agg(
+        F.bool_or(F.col("path").isNull()).alias("ok"), F.collect_list("path").alias("paths")
+    ).select("trace_id", "file_index", F.col("sibling").isNull().alias("summary"), "ok", F.explode("paths").alias("path"))
+    found = named.groupBy("trace_id", "file_index", "summary", "path").agg(
+        F.bool_or("ok").alias("ok"), F.count(F.lit(1)).alias("n")
+    ).where("NOT ok").withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(F.col("summary"), F.col("n")).otherwise(1))))
+    return _violations(found, "refs", F.when(F.col("summary"), "summary_ref").otherwise("opaque_ref"), F.col("path"))
 
 
 def evidence_rows(leaf_rows: DataFrame) -> DataFrame:
@@ -364,6 +373,7 @@ FORM_ALL_BLOB = (
     "blob_type_refs", "blob_sizes", "blob_uuids", "blob_uuid_refs",
 )
 FORM_WRITE_APIS = ("FormData.append", "FormData.set", "FormData.iterator.next")
+FORM_APIS = (*FORM_WRITE_APIS, "FormData.get", "FormData.getAll")
 
 
 def form_branches(events: DataFrame, leaf_rows: DataFrame) -> DataFrame:
@@ -384,12 +394,14 @@ def form_branches(events: DataFrame, leaf_rows: DataFrame) -> DataFrame:
         .when(api == "FormData.getAll", F.concat(
             F.when(strings, lit(FORM_ALL_STRING)).otherwise(none), F.when(blobs, lit(FORM_ALL_BLOB)).otherwise(none)))
     )
-    forms = events.where(api.isin(*FORM_WRITE_APIS, "FormData.get", "FormData.getAll") & F.col("arg0").isNotNull())
+    forms = events.where(api.isin(*FORM_APIS) & F.col("arg0").isNotNull())
     asked = forms.select("trace_id", "file_index", "api", F.explode(needed).alias("field"))
-    have = leaf_rows.where(F.col("path").startswith("args[0].")).select(
+    fields = sorted({*FORM_STRING, *FORM_RESULT, *FORM_ALL_STRING, *FORM_BLOB, *FORM_ALL_BLOB})
+    have = leaf_rows.where(F.col("path").startswith("args[0].") & api.isin(*FORM_APIS)).select(
         "trace_id", "file_index", F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("field")
-    ).distinct()
-    lacking = asked.join(have, ["trace_id", "file_index", "field"], "left_anti")
+    ).where(F.col("field").isin(*fields))
+    # The planner sizes these rows as before the walk and the unfolding: it must not gather them for a broadcast.
+    lacking = asked.join(have.hint("merge"), ["trace_id", "file_index", "field"], "left_anti")
     return _violations(lacking, "arg_fields", "form_field", F.concat(F.col("api"), F.lit(":"), F.col("field")))
 
 
