@@ -114,6 +114,13 @@ def test_material_refs_in_one_pass(load, capsys):
     assert plan.count("MapInArrow") == 1
 
 
+def test_causality_does_not_broadcast_nodes(load, capsys):
+    events = load([record(1, 2, causality_kind="paired"), record(2, 2, parent_id="session-1:1", depth=3)])
+    plan = plan_of(rules.causality(events), capsys)
+    assert plan.count("SortMergeJoin") == 5 and "BroadcastHashJoin [trace_id" not in plan
+    assert {"depth_step", "unclosed_call"} <= {r.rule for r in rules.causality(events).collect()}
+
+
 def test_form_fields_are_not_broadcast(load, capsys):
     events = load([record(1, api="FormData.append", args=[{"value_kind": "string", "value": "v", "value_ref": "r"}])])
     got = rules.form_branches(events, rules.event_leaves(events))

@@ -10,7 +10,7 @@ from traceframe.plans.catalogue import query
 from traceframe.plans.driverviews import V_EVENTS, family_catalogue, spread, table, v_events
 from traceframe.plans.graph_queries import v_calls
 from traceframe.quality import report, requests, rules
-from traceframe.session import cut_lineage
+from traceframe.session import cut_lineage, stored
 from traceframe.sources.ndjson import parse_lines, typed_events
 
 
@@ -300,4 +300,4 @@ def dq_causality(spark, d):
         "trace_id", "file_index", "schema_version", "session_id", "phase", "api", "call_id", "parent_id", "depth",
         "causality_kind", "duration_us",
     )
-    return _plain(rules.causality(cut_lineage(e)))
+    return _plain(rules.causality(stored(e, "calls")))

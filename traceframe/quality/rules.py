@@ -118,12 +118,13 @@ def causality(events: DataFrame) -> DataFrame:
     """Tree and pairing invariants over all schema-2 rows.
 
     Every row meets the first row of its own call id and of its parent's: two
-    equi-joins against one row per id, however often an id is repeated.
+    equi-joins against one row per id, however often an id is repeated. There may be as many
+    ids as rows, so the joins sort and merge: the planner's estimate of grouped rows is too low for a broadcast.
     """
     live = events.where("schema_version = 2 AND causality_kind <> 'external' AND call_id <> ''")
     first = first_nodes(events)
-    own = first.select("trace_id", "call_id", F.col("node").alias("own"))
-    parent = first.select("trace_id", F.col("call_id").alias("parent_id"), F.col("node").alias("parent"))
+    own = first.select("trace_id", "call_id", F.col("node").alias("own")).hint("merge")
+    parent = first.select("trace_id", F.col("call_id").alias("parent_id"), F.col("node").alias("parent")).hint("merge")
     ends = "causality_kind = 'paired' AND phase IN ('return', 'exception')"
     node = live.where(f"NOT ({ends})").join(own, ["trace_id", "call_id"], "left").join(parent, ["trace_id", "parent_id"], "left")
     paired, up = F.col("causality_kind") == "paired", F.col("parent")
@@ -144,7 +145,7 @@ def causality(events: DataFrame) -> DataFrame:
     )
     terminal = live.where(ends)
     first_end = terminal.groupBy("trace_id", "call_id").agg(F.min("file_index").alias("first_end"))
-    closed = terminal.join(calls, ["trace_id", "call_id"], "left").join(first_end, ["trace_id", "call_id"])
+    closed = terminal.join(calls.hint("merge"), ["trace_id", "call_id"], "left").join(first_end.hint("merge"), ["trace_id", "call_id"])
     call = F.col("call")
     orphan = F.coalesce(call["file_index"] > F.col("file_index"), F.lit(True))
     differs = ~(call["api"].eqNullSafe(F.col("api")) & call["parent_id"].eqNullSafe(F.col("parent_id")) & call["depth"].eqNullSafe(F.col("depth")))
@@ -155,7 +156,7 @@ def causality(events: DataFrame) -> DataFrame:
         ("duplicate_terminal", ~orphan & duplicate, F.col("call_id")),
         ("terminal_disagrees", ~orphan & ~duplicate & differs, F.col("call_id")),
     ])
-    unclosed = calls.join(first_end, ["trace_id", "call_id"], "left_anti")
+    unclosed = calls.join(first_end.hint("merge"), ["trace_id", "call_id"], "left_anti")
     open_calls = _violations(
         unclosed.select("trace_id", F.col("call.file_index").alias("file_index"), "call_id"), "causality", "unclosed_call", F.col("call_id")
     )
