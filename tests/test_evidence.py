@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,32 @@ def test_containment_equals_brute_force(spark, longest):
     assert got == {(i, j) for i, t in texts.items() for j, n in needles.items() if n and n in t}
 
 
+@pytest.mark.parametrize("block", [1, 7, 33, 1000])
+def test_windows_do_not_depend_on_blocks(monkeypatch, block):
+    """Every window of every text once, equal fingerprints for equal bytes under equal keys, wherever blocks are cut."""
+    rng = random.Random(block)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (0, 1, 40, 0, 3, 65, 32, 31)]
+    keys = np.array([5, 5, 5, 5, 9, 9, 5, 5], np.uint64)
+    offsets = np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(containment, "BLOCK", block)
+    seen, prints = [], {}
+    for size, rows, places, found in containment._prints(np.frombuffer(b"".join(texts), np.uint8), offsets, keys):
+        for row, place, value in zip(rows.tolist(), places.tolist(), found.tolist()):
+            seen.append((size, row, place))
+            prints.setdefault((int(keys[row]), texts[row][place : place + size]), set()).add(value)
+    assert sorted(seen) == sorted((n, i, k) for n in containment.SIZES for i, t in enumerate(texts) for k in range(len(t) - n + 1))
+    assert all(len(v) == 1 for v in prints.values()) and len(set.union(*prints.values())) == len(prints)
+
+
+def test_containment_is_not_broadcast(spark, capsys):
+    a = spark.createDataFrame([("k", 1, "some text")], "k STRING, text_id INT, text STRING")
+    b = spark.createDataFrame([("k", 1, "text")], "k STRING, needle_id INT, needle STRING")
+    capsys.readouterr()
+    containment.containment_pairs(a, b, ["k"]).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastExchange" not in plan and "MapInArrow" in plan
+
+
 def strings(spark, rows):
     full = [("a", i, *r) for i, r in enumerate(rows)]
     return spark.createDataFrame(full, "anchor_id STRING, file_index BIGINT, d_ms DOUBLE, api STRING, key STRING, value STRING").withColumns(
