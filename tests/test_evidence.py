@@ -66,6 +66,18 @@ def tokens(spark, value):
     return spark.createDataFrame([("a", "tok", value)], "anchor_id STRING, token STRING, value STRING")
 
 
+def test_matches_are_searched_once(spark, capsys):
+    """Rows and matches are stored: no reader of them searches or gathers the strings again."""
+    s = strings(spark, [(-5.0, "StringAdd", "left", "field-zero-1234"), (-4.0, "StringAdd", "left", "a field-zero-1234 inside")])
+    leaf = evidence.leaf_fields(tokens(spark, "field-zero-1234;none"), ";")
+    rows, matches = evidence.timeline(s, leaf)
+    capsys.readouterr()
+    evidence.pairing(rows, matches, leaf).explain()
+    rows.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    assert {(r.kind, r.label) for r in matches.collect()} == {("equal", "tok.f0"), ("field_substring", "tok.f0")}
+
+
 def test_timeline_and_pairing(spark):
     value = "field-zero-1234;whole-material-xyz-tail;none"
     s = strings(spark, [

@@ -5,11 +5,12 @@ All operators work on many anchors at once; ``anchor_id`` is part of every key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
 from traceframe.operators.containment import containment_pairs
+from traceframe.session import stored
 
 # Shortest string of a timeline, and characters of a preview.
 TIMELINE_MIN_LEN = 12
@@ -60,9 +61,9 @@ def field_matches(values: DataFrame, fields: DataFrame) -> DataFrame:
         shape(other(around), "field_substring")
     )
     rank = F.when(F.col("kind") == "equal", 0).when(F.col("kind") == "value_substring", 1).otherwise(2)
-    best = all_kinds.withColumn("_rank", rank)
-    top = best.groupBy("anchor_id", "value_sha").agg(F.min("_rank").alias("_rank"))
-    return best.join(top, ["anchor_id", "value_sha", "_rank"]).drop("_rank")
+    # A window, since a join with the lowest ranks would make all matches twice.
+    top = F.min("_rank").over(Window.partitionBy("anchor_id", "value_sha"))
+    return all_kinds.withColumn("_rank", rank).withColumn("_top", top).where("_rank = _top").drop("_rank", "_top")
 
 
 def timeline(
@@ -71,10 +72,11 @@ def timeline(
     """(rows, matches): distinct strings of each anchor with their role and match.
 
     ``fields``: anchor_id, label, field_value. ``params``: anchor_id, param,
-    param_index, param_value.
+    param_index, param_value. Distinct strings and matches are stored when this is called, as both results and
+    what reads them use them several times.
     """
-    rows = deduped_strings(strings, min_len)
-    matches = field_matches(rows, fields)
+    rows = stored(deduped_strings(strings, min_len), "strings")
+    matches = stored(field_matches(rows, fields), "matches")
     order = F.struct("field_len", "label")
     per_value = matches.groupBy("anchor_id", "value_sha").agg(
         F.first("kind").alias("token_match_kind"), F.min_by("label", order).alias("appears_in_token_field"),
