@@ -237,3 +237,11 @@ def test_report_verdict(load):
     clean = report.check(good, report.strict(report.RuleSet(), generic=True))
     assert rules.verdicts(clean, good).first().passed
     assert report.expected_for("business-api", ["fetch", "x"])[-1] == "x"
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    from traceframe.plans import driverviews
+
+    few = spark.range(0, 100, 1, 2)
+    assert driverviews.spread(few, 100).rdd.getNumPartitions() == 4
+    assert driverviews.spread(few, 9 * driverviews.SPREAD_ROWS + 1).rdd.getNumPartitions() == 10

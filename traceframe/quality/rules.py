@@ -291,7 +291,7 @@ def families(events: DataFrame, leaf_rows: DataFrame | None, required, evidence:
     base = named.select("trace_id", "family").unionByName(every)
     out = _not_observed(base, list(required), "family", "family", "family_not_observed") if required else None
     if evidence:
-        seen = named.join(evidence_rows(leaf_rows).withColumn("ok", F.lit(True)), ["trace_id", "file_index"], "left")
+        seen = named.join(evidence_rows(leaf_rows).withColumn("ok", F.lit(True)).hint("merge"), ["trace_id", "file_index"], "left")
         weak = seen.groupBy("trace_id", "family").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok")).where("NOT ok")
         if required:
             weak = weak.where(F.col("family").isin(*required))
