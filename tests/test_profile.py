@@ -101,6 +101,14 @@ def test_families(spark):
         lookup.with_family(df)
 
 
+def test_catalogue_is_the_broadcast_side(spark):
+    """Events of any estimate stay where they are: a list of unknown size is sent to them."""
+    few = spark.range(10).selectExpr("CAST(id AS STRING) AS api")
+    catalogue = spark.createDataFrame([("1", "base64")], "api STRING, family STRING")
+    plan = lookup.with_family(few, catalogue).where("weight > 0")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
 def test_utf16_and_lines(spark):
     df = spark.createDataFrame([("a😀b", i) for i in range(6)], "s STRING, i BIGINT")
     got = [r[0] for r in df.select(text.utf16_index(F.col("s"), F.col("i"))).collect()]

@@ -12,7 +12,7 @@ from traceframe.plans.profile_queries import FOCUS_SQL
 from traceframe.plans.quality_queries import event_lines, events_typed
 from traceframe.plans.summary import trace_summary
 from traceframe.plans.text_queries import REQUEST_PARTS_SQL
-from traceframe.session import cut_lineage
+from traceframe.session import cut_lineage, stored
 from traceframe.sources import requests as req
 from traceframe.sources.ndjson import parse_lines
 
@@ -66,9 +66,12 @@ FROM c, n, d, trace_focus f""",
 )
 def summary(spark, d):
     """Headline row of the event trace, with markers searched in the arguments."""
-    e = events_typed(spark, d).withColumn("raw_args", F.to_json("args"))
-    e = e.drop("schema_version")
-    out = trace_summary(e, FOCUS_WINDOW_US, markers=("sig",))
+    # The summary reads its input many times, so the parsed columns are stored once.
+    e = events_typed(spark, d).select(
+        "trace_id", "session_id", "file_index", "seq", "mono_time_us", "wall_time_us", "ts", "api", "family", "weight",
+        F.to_json("args").alias("raw_args"),
+    )
+    out = trace_summary(stored(e, "events"), FOCUS_WINDOW_US, markers=("sig",))
     return out.withColumn("conclusions", F.array_join("conclusions", ",")).withColumn("gaps", F.array_join("gaps", ","))
 
 

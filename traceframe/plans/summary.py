@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, nested
 from traceframe.operators import carriers, causal, profile
+from traceframe.session import stored
 
 
 def trace_summary(events: DataFrame, window_us: int, markers: tuple[str, ...] = (), generic: bool = True) -> DataFrame:
@@ -32,12 +33,14 @@ def trace_summary(events: DataFrame, window_us: int, markers: tuple[str, ...] =
         out = out.join(focus, "trace_id", "left").join(dispatch, "trace_id", "left")
     if markers:
         keep = ["trace_id", "file_index", "api"]
-        leaf = nested.string_leaves(events, "raw_args", keep).where(~nested.is_source_path(F.col("keys")))
         hit = F.lit(False)
         for m in markers:
             hit = hit | F.contains("text", F.lit(m))
         from traceframe.functions.text import extract_urls
 
+        # One walk serves both counts: the leaves that have a marker or may hold a URL are stored.
+        leaf = nested.string_leaves(events, "raw_args", keep).where(~nested.is_source_path(F.col("keys")))
+        leaf = stored(leaf.where(hit | F.contains("text", F.lit("http"))).select(*keep, "text"), "marked-leaves")
         urls = leaf.select(*keep, F.explode(extract_urls(F.col("text"))).alias("u"))
         signed = carriers.signed_urls(urls, "u", list(markers), keep)
         order = F.min("file_index")
