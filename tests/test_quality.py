@@ -239,6 +239,13 @@ def test_report_verdict(load):
     assert report.expected_for("business-api", ["fetch", "x"])[-1] == "x"
 
 
+def test_report_stores_leaves_as_columns(load, capsys):
+    """Each rule reads the columns of the leaves that it needs, not whole rows of a checkpoint."""
+    report.check(load([record(1)]), report.strict(report.RuleSet(), generic=True)).explain()
+    plan = capsys.readouterr().out
+    assert "/leaves-" in plan and "ExistingRDD[trace_id" not in plan
+
+
 def test_spread_bounds_the_rows_of_a_task(spark):
     from traceframe.plans import driverviews
 

@@ -10,7 +10,7 @@ from traceframe.plans.catalogue import query
 from traceframe.plans.driverviews import V_EVENTS, family_catalogue, spread, table, v_events
 from traceframe.plans.graph_queries import v_calls
 from traceframe.quality import report, requests, rules
-from traceframe.session import cut_lineage, stored
+from traceframe.session import stored
 from traceframe.sources.ndjson import parse_lines, typed_events
 
 
@@ -240,7 +240,7 @@ SELECT stage, rule, count(*) AS violations FROM v GROUP BY stage, rule""",
 )
 def dq_report(spark, d):
     """Verdict of the strict preset, with the violations counted by rule."""
-    e = cut_lineage(events_typed(spark, d))
+    e = stored(events_typed(spark, d), "events")
     preset = report.strict(report.RuleSet(expected=("Bitwise.xor", "fetch")), generic=True)
     return report.check(e, preset).groupBy("stage", "rule").agg(F.count(F.lit(1)).alias("violations"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from traceframe.functions import lookup
 from traceframe.quality import requests, rules
-from traceframe.session import cut_lineage
+from traceframe.session import stored
 
 PROFILES = {
     "fingerprint": lookup.FINGERPRINT_PROFILE,
@@ -66,7 +66,7 @@ def check(events: DataFrame, rule_set: RuleSet) -> DataFrame:
     needs_leaves = (
         r.complete_values or r.material_refs or r.family_evidence or r.arg_fields is not None or r.form_fields or r.parameters
     )
-    leaf_rows = cut_lineage(rules.event_leaves(events)) if needs_leaves else None
+    leaf_rows = stored(rules.event_leaves(events), "leaves") if needs_leaves else None
     found = []
     if r.schema_version is not None:
         found.append(rules.record_v1(events) if r.schema_version == 1 else rules.record_v2(events))
