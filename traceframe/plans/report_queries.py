@@ -12,7 +12,7 @@ from traceframe.plans.profile_queries import FOCUS_SQL
 from traceframe.plans.quality_queries import event_lines, events_typed
 from traceframe.plans.summary import trace_summary
 from traceframe.plans.text_queries import REQUEST_PARTS_SQL
-from traceframe.session import cut_lineage, stored
+from traceframe.session import stored
 from traceframe.sources import requests as req
 from traceframe.sources.ndjson import parse_lines
 
@@ -78,7 +78,11 @@ def summary(spark, d):
 @query("explain_anchors")
 def explain_anchors(spark, d):
     """Summary of every request with a ``sig`` parameter and the ten minutes before it."""
-    e = cut_lineage(events_typed(spark, d))
+    # Most artefacts read the events again, so the columns that they use are stored once.
+    e = events_typed(spark, d).select(
+        "trace_id", "session_id", "file_index", "global_seq", "mono_time_us", "category", "api", "arg0",
+    )
+    e = stored(e, "events")
     tables = explain_plan.explain(e, req.requests(e), "sig", 600_000_000)
     return tables["summary"].select(
         "anchor_id", "window_ops", "signer_script", "fields_total", "pairing_rate", "dag_edges", "dag_inputs"
