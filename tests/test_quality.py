@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import record, with_families
+from traceframe.operators import shape
 from traceframe.quality import report, requests, rules
 from traceframe.sources.ndjson import scan_ndjson
 
@@ -239,6 +240,12 @@ def test_report_verdict(load):
     assert report.expected_for("business-api", ["fetch", "x"])[-1] == "x"
 
 
+def test_value_shape_walks_events_once(load, capsys):
+    shape.event_value_shape(load([record(1)]), ["file_index"], ["sig"]).explain()
+    plan = capsys.readouterr().out
+    assert "/shape-leaves-" in plan and "MapInArrow" not in plan
+
+
 def test_report_stores_leaves_as_columns(load, capsys):
     """Each rule reads the columns of the leaves that it needs, not whole rows of a checkpoint."""
     report.check(load([record(1)]), report.strict(report.RuleSet(), generic=True)).explain()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceframe.functions import nested, text
 from traceframe.operators.carriers import signed_urls
+from traceframe.session import stored
 
 # Fields, references and URLs that a shape shows.
 SHOWN_FIELDS = 12
@@ -20,7 +21,8 @@ def event_value_shape(events: DataFrame, keep: list[str], targets: list[str], li
     ``line`` is the event as it was written, since order counts; source text and its identity are left out of the strings.
     What is gathered per event is bounded by its own members.
     """
-    found = nested.leaves(events, line, keep).where(F.try_element_at("keys", F.lit(1)) == "args")
+    # Three tables are made of the leaves: they are stored, so that events are read and walked once.
+    found = stored(nested.leaves(events, line, keep).where(F.try_element_at("keys", F.lit(1)) == "args"), "shape-leaves")
     strings = found.where((F.col("kind") == "string") & ~nested.is_source_path(F.col("keys"))).withColumn("field", nested.dot_path(F.col("path")))
     item = F.struct("leaf_no", "field", F.length("text").alias("length"))
     ordered = strings.groupBy(*keep).agg(F.count(F.lit(1)).alias("string_field_count"), F.array_sort(F.collect_list(item)).alias("_all"))
