@@ -5,7 +5,9 @@ All operators work on many anchors at once; ``anchor_id`` is part of every key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
@@ -40,30 +42,26 @@ def field_matches(values: DataFrame, fields: DataFrame) -> DataFrame:
     equal beats value_substring (value inside field) beats field_substring (field
     inside value). Rows: anchor_id, value_sha, kind, label, field_len.
     """
+    digest = lambda c: F.unhex(F.sha2(F.encode(F.col(c), "UTF-8"), 256))
     distinct = values.select("anchor_id", "value_sha", "value").dropDuplicates(["anchor_id", "value_sha"])
-    usable = fields.where(F.length("field_value") > 0)
-    shape = lambda df, kind: df.select(
-        "anchor_id", "value_sha", F.lit(kind).alias("kind"), "label", F.length("field_value").alias("field_len")
-    )
-    equal = distinct.join(
-        usable.withColumn("value", F.col("field_value")), ["anchor_id", "value"]
-    )
-    labelled = usable.select("anchor_id", "label", "field_value")
-    sha_value = distinct.select("anchor_id", "value_sha", "value")
-    inside = containment_pairs(labelled, distinct, ["anchor_id"], "field_value", "value", "label", "value_sha")
-    around = containment_pairs(distinct, labelled, ["anchor_id"], "value", "field_value", "value_sha", "label")
-
-    def other(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(labelled, ["anchor_id", "label"]).join(sha_value, ["anchor_id", "value_sha"])
-        return full.where("value <> field_value")
-
-    all_kinds = shape(equal, "equal").unionByName(shape(other(inside), "value_substring")).unionByName(
-        shape(other(around), "field_substring")
-    )
-    rank = F.when(F.col("kind") == "equal", 0).when(F.col("kind") == "value_substring", 1).otherwise(2)
-    # A window, since a join with the lowest ranks would make all matches twice.
-    top = F.min("_rank").over(Window.partitionBy("anchor_id", "value_sha"))
-    return all_kinds.withColumn("_rank", rank).withColumn("_top", top).where("_rank = _top").drop("_rank", "_top")
+    usable = fields.where(F.length("field_value") > 0).withColumn("_field", digest("field_value"))
+    # Each distinct field text has a number. Pairs travel as numbers; labels and lengths meet them last, the texts never.
+    parts = usable.select("anchor_id", "_field", "field_value").dropDuplicates(["anchor_id", "_field"])
+    parts = stored(parts.withColumn("_number", F.monotonically_increasing_id()), "fields")
+    known = parts.select("anchor_id", "_field", "_number").hint("merge")
+    labels = usable.select("anchor_id", "_field", "label", F.length("field_value").alias("field_len"))
+    labels = labels.join(known, ["anchor_id", "_field"]).drop("_field")
+    whole = distinct.withColumn("_field", digest("value"))
+    equal = whole.select("anchor_id", "value_sha", "_field").join(known, ["anchor_id", "_field"]).drop("_field")
+    # Only what has no better match is searched further.
+    rest = stored(whole.join(known, ["anchor_id", "_field"], "left_anti").drop("_field"), "values")
+    inside = containment_pairs(parts, rest, ["anchor_id"], "field_value", "value", "_number", "value_sha")
+    inside = stored(inside, "inside")
+    last = rest.join(inside.select("anchor_id", "value_sha").distinct(), ["anchor_id", "value_sha"], "left_anti")
+    around = containment_pairs(last, parts, ["anchor_id"], "value", "field_value", "value_sha", "_number")
+    kinds = [("equal", equal), ("value_substring", inside), ("field_substring", around)]
+    pairs = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds])
+    return pairs.join(labels.hint("merge"), ["anchor_id", "_number"]).select("anchor_id", "value_sha", "kind", "label", "field_len")
 
 
 def timeline(
