@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.operators.profile import top_k
+from traceframe.session import stored
 
 TERMINAL = "causality_kind = 'paired' AND phase IN ('return', 'exception')"
 
@@ -86,18 +87,23 @@ def call_tree(events: DataFrame, max_depth: int = 4, max_nodes: int = 80) -> Dat
     """Nodes down to ``max_depth`` below a root, the first ``max_nodes`` in pre-order.
 
     Depth and number define this view. One join per level; the path of file indexes
-    sorts in pre-order. A repeated call id keeps its last row.
+    sorts in pre-order. A repeated call id keeps its last row. A parent comes before its children, so
+    each level keeps the first ``max_nodes`` so far and looks below these only: what is behind them stays behind.
     """
     cols = F.struct("file_index", "api", "phase", "causality_kind", "depth", "parent_id")
     nodes = call_nodes(events).groupBy("trace_id", "call_id").agg(
         F.max(cols).alias("n"), F.min("file_index").alias("at")
     ).select("trace_id", "call_id", "at", "n.api", "n.phase", F.col("n.causality_kind").alias("kind"), "n.depth", "n.parent_id")
-    level = nodes.where("coalesce(parent_id, '') = ''").withColumn("path", F.array("at")).withColumn("level", F.lit(0))
-    tree = level
+    nodes = stored(nodes, "nodes")
+    first = lambda df: stored(top_k(df, ["trace_id"], max_nodes, F.asc("path"), rank="preorder"), "tree")
+    tree = first(nodes.where("coalesce(parent_id, '') = ''").withColumn("path", F.array("at")).withColumn("level", F.lit(0)))
     for i in range(1, max_depth + 1):
-        up = level.select("trace_id", F.col("call_id").alias("parent_id"), F.col("path").alias("_up"))
+        up = tree.where(F.col("level") == i - 1)
+        up = up.select("trace_id", F.col("call_id").alias("parent_id"), F.col("path").alias("_up"))
+        if up.isEmpty():
+            break
         level = nodes.join(up, ["trace_id", "parent_id"]).withColumn(
             "path", F.concat("_up", F.array("at"))
         ).drop("_up").withColumn("level", F.lit(i))
-        tree = tree.unionByName(level)
-    return top_k(tree, ["trace_id"], max_nodes, F.asc("path"), rank="preorder").drop("at")
+        tree = first(tree.drop("preorder").unionByName(level))
+    return tree.drop("at")
