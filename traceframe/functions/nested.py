@@ -86,59 +86,112 @@ def _parse(raw: str):
     return root[0]
 
 
+class _Place:
+    """A place in values of one shape: below ``up`` at a key or at a list position. Its path is spelled when a leaf is met there."""
+
+    __slots__ = ("up", "at", "members", "items", "index")
+
+    def __init__(self, up, at):
+        self.up, self.at, self.members, self.items, self.index = up, at, {}, [], -1
+
+    def spelled(self) -> tuple:
+        """(path, keys, containers, tail, depth)."""
+        steps, place = [], self
+        while place.up is not None:
+            steps.append(place.at)
+            place = place.up
+        path, keys, containers, tail = "", [], [], 0
+        for at in reversed(steps):
+            if at.__class__ is int:
+                path, tail = f"{path}[{at}]", tail + 1
+                continue
+            if not at.isascii():
+                at = _clean(at)
+            keys.append(at)
+            containers.append(path)
+            path, tail = path + "." + at if path else at, 0
+        return path, keys, containers, tail, len(steps)
+
+
+_KINDS = ("string", "null", "boolean", "integer", "number", "empty")
+
+
 class _Collector:
-    """Appends the leaves of one value after another to column lists."""
+    """Appends the leaves of one value after another to column lists.
+
+    Places are kept once for all values that have them, so a leaf adds only numbers and its text.
+    """
 
     def __init__(self, only: str | None):
-        self.only = only
+        self.only = None if only is None else _KINDS.index(only)
         self.rows: list[int] = []
-        self.columns: list[list] = [[] for _ in _LEAF_FIELDS]
+        self.numbers: list[int] = []
+        self.kinds: list[int] = []
+        self.texts: list = []
+        self.at: list[int] = []
+        self.top = _Place(None, None)
+        self.places: list[tuple] = []
 
     def add(self, row: int, root) -> None:
-        self.row, self.count = row, 0
+        count = 0
         # An explicit stack: values nest as deep as they like.
-        stack = [(root, "", (), (), 0, 0)]
+        stack = [(root, self.top)]
         while stack:
-            value, path, keys, containers, tail, depth = stack.pop()
+            value, place = stack.pop()
             if value.__class__ is dict and value:
-                inside = (*containers, path)
-                below = []
+                members, below = place.members, []
                 for key, item in value.items():
-                    if not key.isascii():
-                        key = _clean(key)
-                    below.append((item, path + "." + key if path else key, (*keys, key), inside, 0, depth + 1))
-                stack.extend(reversed(below))
+                    inner = members.get(key)
+                    if inner is None:
+                        inner = members[key] = _Place(place, key)
+                    below.append((item, inner))
+                below.reverse()
+                stack.extend(below)
             elif value.__class__ is list and value:
-                stack.extend((value[i], f"{path}[{i}]", keys, containers, tail + 1, depth + 1) for i in range(len(value) - 1, -1, -1))
+                items, size = place.items, len(value)
+                for i in range(len(items), size):
+                    items.append(_Place(place, i))
+                stack.extend((value[i], items[i]) for i in range(size - 1, -1, -1))
             else:
-                self.leaf(value, path, keys, containers, tail, depth)
+                self.leaf(row, count, value, place)
+                count += 1
 
-    def leaf(self, value, path, keys, containers, tail, depth) -> None:
-        no = self.count
-        self.count = no + 1
+    def leaf(self, row: int, number: int, value, place: _Place) -> None:
         if value.__class__ is str:
-            kind, text = "string", value if value.isascii() else _clean(value)
+            kind, text = 0, value if value.isascii() else _clean(value)
         elif value is None:
-            kind, text = "null", None
+            kind, text = 1, None
         elif value is True or value is False:
-            kind, text = "boolean", "true" if value else "false"
+            kind, text = 2, "true" if value else "false"
         elif value.__class__ is int:
-            kind, text = "integer", str(value)
+            kind, text = 3, str(value)
         elif value.__class__ is float:
-            kind, text = "number", repr(value)
+            kind, text = 4, repr(value)
         else:
-            kind, text = "empty", None
+            kind, text = 5, None
         if self.only is not None and kind != self.only:
             return
-        self.rows.append(self.row)
-        for column, entry in zip(self.columns, (no, path, keys, containers, tail, depth, kind, text)):
-            column.append(entry)
+        if place.index < 0:
+            place.index = len(self.places)
+            self.places.append(place.spelled())
+        self.rows.append(row)
+        self.numbers.append(number)
+        self.kinds.append(kind)
+        self.texts.append(text)
+        self.at.append(place.index)
 
     def batch(self, source: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
         """The leaves beside the kept columns of their rows."""
         taken = source.take(pa.array(self.rows, pa.int64()))
         arrays = [taken.column(j) for j in range(source.num_columns - 1)]
-        arrays += [_to_arrow(c, t) for c, (_, _, t) in zip(self.columns, _LEAF_FIELDS)]
+        at = pa.array(self.at, pa.int64())
+        places = [[p[j] for p in self.places] for j in range(5)]
+        kinds = {n: t for n, _, t in _LEAF_FIELDS}
+        path, keys, containers, tail, depth = (
+            _to_arrow(c, kinds[n]).take(at) for c, n in zip(places, ("path", "keys", "containers", "tail", "depth"))
+        )
+        kind = pa.array(_KINDS, pa.string()).take(pa.array(self.kinds, pa.int64()))
+        arrays += [pa.array(self.numbers, pa.int64()), path, keys, containers, tail, depth, kind, pa.array(self.texts, pa.string())]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
 

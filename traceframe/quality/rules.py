@@ -215,18 +215,24 @@ def complete_values(events: DataFrame, leaf_rows: DataFrame) -> DataFrame:
     """Truncated rows, preview keys, redaction flags and redacted text at any path."""
     cut = _violations(events.where("truncated"), "complete", "truncated", F.col("api"))
     holders = F.arrays_zip(F.col("keys").alias("key"), F.col("containers").alias("holder"))
-    previews = leaf_rows.select("trace_id", "file_index", F.explode(holders).alias("h")).where(
-        text.is_preview_key(F.col("h.key"))
-    )
-    path = F.when(F.col("h.holder") == "", F.col("h.key")).otherwise(F.concat_ws(".", "h.holder", "h.key"))
-    previews = previews.select("trace_id", "file_index", path.alias("path")).distinct()
+    at = lambda h: F.when(h["holder"] == "", h["key"]).otherwise(F.concat_ws(".", h["holder"], h["key"]))
+    found = lambda rule, path: F.struct(F.lit(rule).alias("rule"), path.alias("path"))
+    # The path holds every key, so most leaves are settled without looking at their keys one by one.
+    previews = F.when(F.contains("path", F.lit("preview")), F.transform(
+        F.filter(holders, lambda h: text.is_preview_key(h["key"])), lambda h: found("preview_field", at(h))
+    ))
     flag = (F.col("kind") == "boolean") & (F.col("text") == "true") & (F.col("tail") == 0) & text.is_redaction_key(
         F.coalesce(F.try_element_at("keys", F.lit(-1)), F.lit(""))
     )
     marker = (F.col("kind") == "string") & text.is_redacted(F.col("text"))
-    redacted = leaf_rows.where(flag | marker)
-    out = cut.unionByName(_violations(previews, "complete", "preview_field", F.col("path")))
-    return out.unionByName(_violations(redacted, "complete", "redacted", F.col("path")))
+    redacted = F.when(flag | marker, F.array(found("redacted", F.col("path"))))
+    # One pass over the leaves. A preview key counts once for each holder, a redacted leaf as often as there is one.
+    empty = F.array().cast("array<struct<rule:string,path:string>>")
+    rows = leaf_rows.select("trace_id", "file_index", F.explode(F.concat(F.coalesce(previews, empty), F.coalesce(redacted, empty))).alias("f"))
+    rows = rows.groupBy("trace_id", "file_index", "f.rule", "f.path").agg(F.count(F.lit(1)).alias("n"))
+    times = F.when(F.col("rule") == "redacted", F.col("n")).otherwise(1)
+    rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    return cut.unionByName(_violations(rows, "complete", F.col("rule"), F.col("path")))
 
 
 def material_refs(leaf_rows: DataFrame) -> DataFrame:
@@ -326,12 +332,16 @@ def arg_fields(events: DataFrame, leaf_rows: DataFrame, specs: DataFrame) -> Dat
             F.element_at("keys", i).alias("field"), F.element_at("containers", i).alias("holder"),
             F.slice("keys", i + 1, F.size("keys")).alias("below")),
     )
+    wanted = specs.select("api", "field", "mode").distinct()
+    spec_rows = _spec_rows(wanted)
+    # Keys that no spec names are left before anything is asked of them.
+    asked_fields = sorted({r["field"] for r in spec_rows if r["field"] is not None})
+    positions = F.filter(positions, lambda p: p["field"].isin(*asked_fields))
     in_args = leaf_rows.where((F.size("keys") >= 2) & (F.col("keys")[0] == "args"))
     found = in_args.select("trace_id", "file_index", "api", "kind", "text", F.explode(positions).alias("p")).select(
         "trace_id", "file_index", "api", F.col("p.field").alias("field"), F.col("p.holder").alias("holder"),
         material.has_material(F.col("p.below"), F.col("kind"), F.col("text")).alias("ok"),
     )
-    wanted = specs.select("api", "field", "mode").distinct()
     per_holder = found.join(wanted.select("api", "field").distinct(), ["api", "field"], "left_semi").groupBy(
         "trace_id", "api", "field", "file_index", "holder"
     ).agg(F.bool_or("ok").alias("ok"))
@@ -349,7 +359,7 @@ def arg_fields(events: DataFrame, leaf_rows: DataFrame, specs: DataFrame) -> Dat
     # Every trace is asked every spec: one row per trace, unfolded in place.
     spec_list = F.array(*[
         F.struct(F.lit(r["api"]).alias("api"), F.lit(r["field"]).alias("field"), F.lit(r["mode"]).alias("mode"))
-        for r in _spec_rows(wanted)
+        for r in spec_rows
     ])
     asked = traces.select("trace_id", F.explode(spec_list).alias("s")).select("trace_id", "s.*")
     judged = asked.join(apis.withColumn("observed", F.lit(True)), ["trace_id", "api"], "left").join(
