@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
-from traceframe.session import cut_lineage
+from traceframe.session import cut_lineage, stored
 
 
 def argument_refs(ops: DataFrame, keep: list[str]) -> DataFrame:
@@ -66,42 +66,100 @@ def ref_materials(refs_used: DataFrame, values: DataFrame, keys: list[str]) -> D
 
 # --- walks backward over edges
 #
-# Rounds double their stride: beside what is reached so far (all walks shorter than 2^k) there are jumps, the pairs of
-# nodes that a walk of exactly 2^k edges connects. Following jumps once reaches all walks shorter than 2^(k+1), and jumps
-# joined with themselves are those of the next round. A shortest walk splits into strides of powers of two, so hops stay
-# minimal; a round that reaches nothing new is the last, also on cycles.
+# Nodes that are reached from one other node only, as in chains and trees, are taken out first: an independent quarter of
+# them each round, so all rounds together go through about four times the edges. Each ends up with the node that is left
+# before it and the number of edges to it, and gets its result from there.
+#
+# Over the nodes that are left rounds double their stride: beside what is reached so far (all walks shorter than 2^k)
+# there are jumps, the pairs of nodes that a walk of exactly 2^k edges connects, with their least length. Following jumps
+# once reaches all walks shorter than 2^(k+1), and jumps joined with themselves are those of the next round. A shortest walk
+# splits into strides of powers of two, so hops stay minimal; a round that changes nothing is the last, also on cycles.
+
+# Nodes reached from one other node only that need not be taken out: doubling is quicker for so few.
+FEW_LONE = 50_000
 
 
-def _jumps(edges: DataFrame) -> DataFrame:
+def _jumps(edges: DataFrame, starts: DataFrame, few: int) -> tuple[DataFrame, DataFrame | None]:
+    """(jumps, taken): edges as (_from, _to, _length) between the nodes left, and nodes taken out as (_node, _onto, _off), or None.
+
+    A node that one other node leads to, and no start, is taken out: whatever reaches ``_onto`` reaches it ``_off`` edges later.
+    """
+    one = F.lit(1).alias("_length")
     hops = edges.select(F.col("from").alias("_from"), F.col("to").alias("_to")).where(~F.col("_from").eqNullSafe(F.col("_to")))
-    return cut_lineage(hops.distinct())
+    if hops.schema["_from"].dataType != hops.schema["_to"].dataType:
+        return cut_lineage(hops.distinct().select("*", one)), None
+    # Nulls are no node that a walk goes on from.
+    ends = hops.where("_from is not null").groupBy("_from").agg(F.min("_to").alias("_to"), F.max("_to").alias("_last"))
+    lone = ends.where("_to = _last").join(starts.select(F.col("node").alias("_from")), "_from", "left_anti").select("_from", "_to", one)
+    lone = stored(lone, "lone-edges")
+    if lone.count() <= few:
+        return cut_lineage(hops.distinct().select("*", one)), None
+    rest = stored(hops.join(lone.select("_from"), "_from", "left_anti").distinct().select("*", one), "other-edges")
+    cuts = []
+    while not cuts or lone.count() > few:
+        heads = lambda c: F.xxhash64(c, F.lit(len(cuts))).bitwiseAND(F.lit(1).cast("bigint")) == 1  # noqa: E731, B023
+        out = F.coalesce(heads("_from") & ~heads("_to"), F.lit(False))
+        cut = lone.where(out).select(F.col("_from").alias("_node"), F.col("_to").alias("_onto"), F.col("_length").alias("_off"))
+        lone = stored(_redirected(lone.where(~out), cut), "lone-edges")
+        cuts.append(cut)
+    # Nodes taken out late are those that earlier ones were put onto.
+    taken = None
+    for cut in reversed(cuts):
+        if taken is not None:
+            later = taken.select(F.col("_node").alias("_onto"), F.col("_onto").alias("_left"), F.col("_off").alias("_more"))
+            cut = cut.join(later, "_onto", "left").select(
+                "_node", F.coalesce("_left", "_onto").alias("_onto"), (F.col("_off") + F.coalesce("_more", F.lit(0))).alias("_off")
+            )
+        cut = stored(cut, "taken-nodes")
+        taken = cut if taken is None else taken.unionByName(cut)
+    left = _redirected(rest, taken).unionByName(lone)
+    return cut_lineage(left.groupBy("_from", "_to").agg(F.min("_length").alias("_length"))), taken
+
+
+def _redirected(hops: DataFrame, cut: DataFrame) -> DataFrame:
+    """Edges that came from a node taken out come from the node before it; those that then lead to their own node are no walk."""
+    onto = cut.select(F.col("_node").alias("_to"), "_onto", "_off")
+    moved = hops.join(onto, "_to", "left").select(
+        "_from", F.coalesce("_onto", "_to").alias("_to"), (F.col("_length") + F.coalesce("_off", F.lit(0))).alias("_length")
+    )
+    return moved.where(~F.col("_from").eqNullSafe(F.col("_to")))
 
 
 def _doubled(jumps: DataFrame) -> DataFrame:
-    near = jumps.select("_from", F.col("_to").alias("_by"))
-    far = jumps.select(F.col("_from").alias("_by"), "_to")
-    return cut_lineage(near.join(far, "_by").select("_from", "_to").distinct())
+    near = jumps.select("_from", F.col("_to").alias("_by"), F.col("_length").alias("_more"))
+    far = jumps.select(F.col("_from").alias("_by"), "_to", "_length")
+    pairs = near.join(far, "_by").select("_from", "_to", (F.col("_length") + F.col("_more")).alias("_length"))
+    return cut_lineage(pairs.groupBy("_from", "_to").agg(F.min("_length").alias("_length")))
+
 
+def reach(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id", few: int = FEW_LONE) -> tuple[DataFrame, int]:
+    """(closure, rounds): see ``closure``; rounds are the logarithm of the longest shortest walk over the nodes left, plus one.
 
-def reach(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id") -> tuple[DataFrame, int]:
-    """(closure, rounds): see ``closure``; rounds are the logarithm of the longest shortest walk, plus one."""
-    jumps = _jumps(edges)
-    reached = cut_lineage(anchors.select(anchor, "node").distinct().withColumn("hop", F.lit(0)))
-    known, stride = reached.count(), 1
+    ``few`` nodes that are reached from one other node only are not taken out beforehand; the closure does not depend on it.
+    """
+    starts = anchors.select(anchor, "node").distinct()
+    jumps, taken = _jumps(edges, starts, few)
+    reached = cut_lineage(starts.withColumn("hop", F.lit(0)))
+    size = lambda df: df.agg(F.count(F.lit(1)), F.sum("hop")).first()
+    known = size(reached)
     for rounds in count(1):
-        further = reached.join(jumps, F.col("node") == F.col("_to")).select(anchor, F.col("_from").alias("node"), (F.col("hop") + stride).alias("hop"))
+        further = reached.join(jumps, F.col("node") == F.col("_to")).select(anchor, F.col("_from").alias("node"), (F.col("hop") + F.col("_length")).alias("hop"))
         reached = cut_lineage(reached.unionByName(further).groupBy(anchor, "node").agg(F.min("hop").alias("hop")))
-        before, known = known, reached.count()
+        before, known = known, size(reached)
         if known == before:
-            return reached, rounds
-        jumps, stride = _doubled(jumps), 2 * stride
+            break
+        jumps = _doubled(jumps)
+    if taken is not None:
+        behind = reached.join(taken, F.col("node") == F.col("_onto")).select(anchor, F.col("_node").alias("node"), (F.col("hop") + F.col("_off")).alias("hop"))
+        reached = reached.unionByName(behind)
+    return reached, rounds
 
 
 def closure(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id") -> DataFrame:
     """Nodes reachable backward (to <- from) from each anchor's nodes, with their least hop.
 
-    Narrow, de-duplicated pairs; each round is checkpointed, so a lost executor recomputes one round and the plan does
-    not grow.
+    Narrow, de-duplicated pairs; each round is checkpointed or stored, so a lost executor recomputes one round and the plan
+    does not grow.
     """
     return reach(anchors, edges, anchor)[0]
 
@@ -110,13 +168,13 @@ def closure(anchors: DataFrame, edges: DataFrame, anchor: str = "anchor_id") ->
 WORD = 64
 
 
-def shared_reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+def shared_reach(starts: DataFrame, edges: DataFrame, few: int = FEW_LONE) -> DataFrame:
     """(node, word, bits): which of the numbered starts reach each node backward.
 
     ``starts`` is (number, node). A node has one row for up to 64 starts, not one for each, so ancestors that many starts
     share are walked once for all of them.
     """
-    jumps = _jumps(edges)
+    jumps, taken = _jumps(edges, starts, few)
     bit = F.expr(f"shiftleft(1L, cast(number % {WORD} as int))")
     marks = starts.select("node", F.expr(f"number div {WORD}").alias("word"), bit.alias("bits"))
     marks = cut_lineage(marks.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
@@ -127,8 +185,12 @@ def shared_reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
         marks = cut_lineage(marks.unionByName(further).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
         before, known = known, set_bits(marks)
         if known == before:
-            return marks
+            break
         jumps = _doubled(jumps)
+    if taken is not None:
+        behind = marks.join(taken, F.col("node") == F.col("_onto")).select(F.col("_node").alias("node"), "word", "bits")
+        marks = marks.unionByName(behind)
+    return marks
 
 
 def field_subdag(fields: DataFrame, values: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
