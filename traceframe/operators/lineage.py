@@ -23,36 +23,49 @@ def argument_refs(ops: DataFrame, keep: list[str]) -> DataFrame:
 def dag(refs: DataFrame, keys: list[str]):
     """(edges, producers, inputs, first values) of long reference rows.
 
-    An operation's members are gathered per operation, so a group is as large as one
-    argument object. Every key ending in ``_ref`` except the result ones is an input.
+    Edges gather an operation's members, so a group is as large as one argument object; inputs and values only need
+    its result and its pairs. Every key ending in ``_ref`` except the result ones is an input.
     """
     is_ref = F.col("key").endswith("_ref") & ~F.col("key").isin(*lookup.RESULT_REF_KEYS)
-    per_op = refs.where(F.col("key").endswith("_ref")).groupBy(*keys, "op").agg(
-        F.max(F.when(F.col("key") == "result_ref", F.col("value"))).alias("to"),
+    is_result = F.col("key") == "result_ref"
+    per_op = refs.where(F.col("key").endswith("_ref")).groupBy("op", *keys).agg(
+        F.max(F.when(is_result, F.col("value"))).alias("to"),
         F.collect_list(F.when(is_ref, F.struct("key", "value"))).alias("ins"),
     )
     used = per_op.select(*keys, "op", "to", F.explode("ins").alias("i")).select(
         *keys, "op", "to", F.col("i.value").alias("from"), F.regexp_replace("i.key", "_ref$", "").alias("role")
     ).where("to IS NULL OR from <> to")
     edges = used.where("to IS NOT NULL").select(*keys, "from", "to", "role", "op")
-    producers = per_op.where("to IS NOT NULL").groupBy(*keys, F.col("to").alias("ref")).agg(F.min("op").alias("op"))
-    inputs = used.select(*keys, F.col("from").alias("ref")).distinct().join(
-        producers.select(*keys, "ref"), [*keys, "ref"], "left_anti"
-    )
+    # A null reference is an input of operations without a result only; any other is one unless some operation makes it.
+    ends = refs.where(is_result | (is_ref & F.col("value").isNull())).select(*keys, "op", "value", is_ref.alias("is_ref"))
+    results = _beside(ends, keys).groupBy("op", *keys).agg(
+        F.max(F.when(~F.col("is_ref"), F.col("value"))).alias("ref"), F.max("is_ref").alias("asks")
+    ).where("ref IS NOT NULL OR asks")
+    producers = results.where("ref IS NOT NULL").groupBy(*keys, "ref").agg(F.min("op").alias("op"))
+    asked = refs.where(is_ref & F.col("value").isNotNull()).select(*keys, F.col("value").alias("ref"), F.lit(False).alias("made"))
+    seen = asked.unionByName(results.select(*keys, "ref", F.col("ref").isNotNull().alias("made")))
+    inputs = seen.groupBy(*keys, "ref").agg(F.max("made").alias("made")).where("NOT made").select(*keys, "ref")
     return edges, producers, inputs, first_values(refs, keys)
 
 
+def _beside(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the others of their operation: grouping few rows each, they are sorted once, here, not before they are sent too."""
+    return refs.repartition("op", *keys)
+
+
 def first_values(refs: DataFrame, keys: list[str]) -> DataFrame:
     """First observed value of each reference: member ``x`` beside ``x_ref``."""
-    base = F.regexp_replace("key", "_ref$", "")
-    rank = F.array_position(F.array(*[F.lit(b) for b in lookup.VALUE_BASES]), F.col("base"))
-    tagged = refs.withColumn("base", base).where(F.col("base").isin(*lookup.VALUE_BASES))
-    pairs = tagged.groupBy(*keys, "op", "base").agg(
-        F.max(F.when(F.col("key").endswith("_ref"), F.col("value"))).alias("ref"),
-        F.max(F.when(~F.col("key").endswith("_ref"), F.col("value"))).alias("value"),
+    is_ref = F.col("key").endswith("_ref")
+    of_base = [k for base in lookup.VALUE_BASES for k in (base, f"{base}_ref")]
+    base = F.when(is_ref, F.expr("left(key, length(key) - 4)")).otherwise(F.col("key"))
+    rank = F.array_position(F.array(*[F.lit(b) for b in lookup.VALUE_BASES]), base)
+    tagged = refs.where(F.col("key").isin(of_base)).select(*keys, "op", rank.alias("rank"), is_ref.alias("is_ref"), "value")
+    pairs = _beside(tagged, keys).groupBy("op", "rank", *keys).agg(
+        F.max(F.when(F.col("is_ref"), F.col("value"))).alias("ref"),
+        F.max(F.when(~F.col("is_ref"), F.col("value"))).alias("value"),
     ).where("ref IS NOT NULL AND value IS NOT NULL")
-    ordered = F.struct("op", rank.alias("rank"), "value")
-    return pairs.groupBy(*keys, "ref").agg(F.min(ordered).alias("f")).select(
+    ordered = F.struct("op", "rank", "value")
+    return pairs.groupBy("ref", *keys).agg(F.min(ordered).alias("f")).select(
         *keys, "ref", F.col("f.value").alias("value")
     )
 
