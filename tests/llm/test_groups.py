@@ -144,3 +144,41 @@ def test_rows_that_repeat_an_id_keep_their_texts(spark):
     assert kept.columns == docs.columns
     want = [(1, one), (1, other), (1, None), (None, one), (None, one), (4, ""), (5, "")]
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in want)
+
+
+def _zipf_shard():
+    builder, rng, texts = topk_search.ShardBuilder(), np.random.default_rng(5), []
+    for i in range(600):
+        own = np.minimum(rng.zipf(1.3, int(rng.choice([0, 1, 5, 60, 300]))), 3000).astype(np.uint64)
+        texts.append(texts[-1] if i % 9 == 8 else own * np.uint64(0x9E3779B97F4A7C15))
+        builder.add(1000 - i, texts[-1])
+    row = dict(zip([f.name for f in topk_search.INDEX], builder.row()))
+    queries = []
+    for t in texts[::4]:
+        terms, counts = np.unique(np.append(t, np.uint64(77)), return_counts=True)
+        queries.append((b"", terms, counts * rng.uniform(0.001, 8, len(terms))))
+    return row, queries
+
+
+@pytest.mark.parametrize(("frequent", "postings"), [(32, 1 << 21), (4, 100), (10**9, 100)])
+def test_queries_searched_together_get_what_each_gets_alone(monkeypatch, frequent, postings):
+    monkeypatch.setattr(topk_search, "FREQUENT", frequent)
+    monkeypatch.setattr(topk_search, "POSTINGS", postings)
+    row, queries = _zipf_shard()
+    shard = topk_search.Shard(row, 120.0, 1.2, 0.75)
+    best = [shard.search(t, w, 10) for _, t, w in queries]
+    for share in (0.0, 0.5, 1.0):
+        floors = [share * b[9][0] if len(b) > 9 else 0.0 for b in best]
+        want = [shard.search(t, w, 10, f) for (_, t, w), f in zip(queries, floors)]
+        assert list(shard.search_many(queries, floors, 10)) == want
+
+
+def test_postings_of_frequent_terms_are_not_gone_through_for_each_query(monkeypatch):
+    """op5: a batch adds them by one product; the rarer terms' postings and those of the candidates are far fewer."""
+    row, queries = _zipf_shard()
+    shard, gone, went = topk_search.Shard(row, 120.0, 1.2, 0.75), [], topk_search.spread
+    alone = sum(len(shard.search(t, w, 1)) for _, t, w in queries)
+    assert len(shard.frequent[2]) and len(shard.forward[0]) == 601
+    monkeypatch.setattr(topk_search, "spread", lambda start, size: gone.append(int(np.sum(size))) or went(start, size))
+    assert sum(len(b) for b in shard.search_many(queries, [0.0] * len(queries), 1)) == alone
+    assert sum(gone) < shard.scored / 2
