@@ -1,11 +1,13 @@
 import io
 import json
+import random
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import record, with_families
-from traceframe.operators import gate
+from traceframe.operators import evidence, gate
 from traceframe.plans import explain as plan
 from traceframe.plans.summary import trace_summary
 from traceframe.sources import requests as req
@@ -216,3 +218,50 @@ def test_trace_summary(spark, write_trace):
     assert "signed_url_reached_network" in r.conclusions and "no_focus" not in r.gaps
     bare = trace_summary(e, 15_000_000, generic=False).first()
     assert "no_targets_configured" in bare.gaps
+
+
+def dense_trace(seed, seconds=40):
+    """Operations of three scripts, strings and references around requests whose fields are equal to, inside, or around them."""
+    rng = random.Random(seed)
+    long = [f"material-{i:02d}-text" for i in range(6)]
+    rows, t = [], 1_000_000
+    for i in range(seconds * 5):
+        t += rng.choice([0, 20_000, 300_000])
+        name = f"https://cdn/{rng.choice('abc')}.js"
+        if rng.random() < 0.25:
+            sig = rng.choice([*long, "text", "material", f"<{long[0]}>", f"<{long[1]}|{long[2]}>"])
+            other = rng.choice([long[0], long[3], "a", f"({long[4]})"])
+            url = f"https://h/api?sig={quote(sig)}&token={quote(other)}"
+            rows.append(record(i, api="BrowserNetwork.request", category="network", mono_time_us=t, args=[{"url": url, "method": "GET"}]))
+            continue
+        args = {"value": rng.choice([*long, "short", f"[{long[5]}]"]), "left_ref": f"r{rng.randrange(40)}", "right_ref": f"r{rng.randrange(40)}"}
+        if rng.random() < 0.7:
+            args["result_ref"] = f"r{rng.randrange(40)}"
+        if rng.random() < 0.9:
+            args["callsite_script"] = name
+        rows.append(record(i, api=rng.choice(["Bitwise.xor", "Navigator.platform"]), mono_time_us=t, args=[args]))
+    return rows
+
+
+@pytest.mark.parametrize("script", ["auto", "https://cdn/a.js"])
+def test_summary_is_that_of_the_tables(spark, write_trace, script):
+    e = scan_ndjson(spark, write_trace(dense_trace(7, 24), "a.ndjson")).unionByName(scan_ndjson(spark, write_trace(dense_trace(8, 12), "b.ndjson"))).cache()
+    tables = plan.explain(e, req.requests(e), "sig", 900_000, script=script)
+    count = lambda name, column: tables[name].groupBy("anchor_id").agg(F.count(F.lit(1)).alias(column))
+    want = tables["anchors"].select("anchor_id")
+    for name, column in (("ops", "window_ops"), ("dag_edges", "dag_edges"), ("dag_inputs", "dag_inputs")):
+        want = want.join(count(name, column), "anchor_id", "left")
+    want = want.join(evidence.pairing_summary(tables["pairing"]), "anchor_id", "left")
+    got = tables["summary"].select(*want.columns, "signer_script").collect()
+    assert len(got) > 30
+    assert sorted(tuple(r)[:-1] for r in got) == sorted(tuple(r) for r in want.collect())
+    assert len({(r.direct_fields, r.composite_fields, r.context_only_fields) for r in got}) > 4
+    if script == "auto":
+        assert len({r.signer_script for r in got}) >= 3
+
+
+def test_summary_joins_no_anchors_with_events(spark, write_trace, monkeypatch):
+    e = scan_ndjson(spark, write_trace(burst_trace()))
+    monkeypatch.setattr(plan, "window_join", lambda *a: pytest.fail("rows of anchors and events"))
+    row = plan.explain(e, req.requests(e), "sig", 300_000)["summary"].first()
+    assert (row.window_ops, row.window_ops_all_scripts, row.direct_fields, row.dag_edges, row.dag_inputs) == (13, 15, 1, 24, 12)

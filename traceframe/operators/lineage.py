@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceframe.functions import lookup, text
@@ -20,13 +20,18 @@ def argument_refs(ops: DataFrame, keep: list[str]) -> DataFrame:
     ).where("value IS NOT NULL")
 
 
+def is_input_ref(key: Column) -> Column:
+    """Every key ending in ``_ref`` except the result ones is an input."""
+    return key.endswith("_ref") & ~key.isin(*lookup.RESULT_REF_KEYS)
+
+
 def dag(refs: DataFrame, keys: list[str]):
     """(edges, producers, inputs, first values) of long reference rows.
 
     Edges gather an operation's members, so a group is as large as one argument object; inputs and values only need
-    its result and its pairs. Every key ending in ``_ref`` except the result ones is an input.
+    its result and its pairs.
     """
-    is_ref = F.col("key").endswith("_ref") & ~F.col("key").isin(*lookup.RESULT_REF_KEYS)
+    is_ref = is_input_ref(F.col("key"))
     is_result = F.col("key") == "result_ref"
     per_op = refs.where(F.col("key").endswith("_ref")).groupBy("op", *keys).agg(
         F.max(F.when(is_result, F.col("value"))).alias("to"),
