@@ -271,3 +271,25 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     few = spark.range(0, 100, 1, 2)
     assert driverviews.spread(few, 100).rdd.getNumPartitions() == 4
     assert driverviews.spread(few, 9 * driverviews.SPREAD_ROWS + 1).rdd.getNumPartitions() == 10
+
+
+REF_ARGS = [
+    [{"a_ref": "string_ref:1", "a": "raw"}, {"a_ref": "string_ref:2"}, {"b": 1, "b_refs": ["string_ref:3", "string_ref:4"]}],
+    [{"a_ref": "string_ref:1", "a": {"preview": "raw"}}, {"c_ref": "string_ref:2", "c": {"d": {"e": "raw"}}}],
+    [{"a_ref": "string:length:4", "f_ref": {"g_ref": "bytes_sha1:5"}, "h": "string_ref:6", "ref": "string_ref:7", "value": "string_ref:8"}],
+    [{"f_ref": [{"g": ["string:length:9"], "g_ref": ["bytes_sha1:5"]}], "k_preview": {"k_ref": "string_ref:1", "k": "raw"}}],
+    [{"m": {"n_ref": "string_ref:1", "o.n": "raw", "redacted": {"n": "raw"}}, "m.n": 3}, {"result_ref": "string_ref:2", "serialized": None, "result": []}],
+]
+
+
+def test_raw_members_speak_for_references_of_their_object_only(load, capsys):
+    events = load([record(i, args=args) for i, args in enumerate(REF_ARGS)])
+    rows = rules.material_refs(rules.event_leaves(events))
+    number = events.select("file_index", F.get_json_object("raw", "$.seq").cast("int").alias("seq"))
+    found = sorted((r.seq, r.rule, r.path) for r in rows.join(number, "file_index").collect())
+    assert found == [
+        (0, "opaque_ref", "args[1].a_ref"), (1, "opaque_ref", "args[0].a_ref"), (2, "opaque_ref", "args[0].ref"), (2, "summary_ref", "args[0].a_ref"),
+        (3, "summary_ref", "args[0].f_ref[0].g[0]"), (4, "opaque_ref", "args[0].m.n_ref"), (4, "opaque_ref", "args[1].result_ref"),
+    ]
+    # Raw members of names that no reference asks for are left before they are sent.
+    assert "LeftSemi" in plan_of(rows, capsys)

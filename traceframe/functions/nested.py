@@ -182,8 +182,9 @@ class _Collector:
 
     def batch(self, source: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
         """The leaves beside the kept columns of their rows."""
-        taken = source.take(pa.array(self.rows, pa.int64()))
-        arrays = [taken.column(j) for j in range(source.num_columns - 1)]
+        rows = pa.array(self.rows, pa.int64())
+        # Not the last column, the text itself: it would be copied for each of its leaves.
+        arrays = [source.column(j).take(rows) for j in range(source.num_columns - 1)]
         at = pa.array(self.at, pa.int64())
         places = [[p[j] for p in self.places] for j in range(5)]
         kinds = {n: t for n, _, t in _LEAF_FIELDS}
